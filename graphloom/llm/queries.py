@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, langid, mixing, neardup, pii
+from graphloom.llm import decontaminate, langid, ledger, mixing, neardup, pii
 from graphloom.session import table
 
 
@@ -30,14 +30,26 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.ledger(table(spark, sf_dir, "documents"))
+
+
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.ablations(ledger.ledger(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_mix_sources": op3_mix_sources,
     "op7_redact_pii": op7_redact_pii,
     "op8_language_id": op8_language_id,
+    "op10_quality_rules": op10_quality_rules,
+    "quality_rule_ablations": quality_rule_ablations,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
+    "op10_quality_rules": ledger.ORACLE,
+    "quality_rule_ablations": ledger.ABLATION_ORACLE,
 }
