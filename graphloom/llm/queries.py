@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, langid, ledger, mixing, neardup, pii, ruleclassifier
+from graphloom.llm import decontaminate, langid, ledger, licenses, mixing, neardup, pii, ruleclassifier
 from graphloom.session import table
 
 
@@ -22,6 +22,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruleclassifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_mix_sources": op3_mix_sources,
+    "op4_license_scan": op4_license_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_redact_pii": op7_redact_pii,
     "op8_language_id": op8_language_id,
