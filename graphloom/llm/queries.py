@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, langid, ledger, licenses, mixing, neardup, pii, ruleclassifier
+from graphloom.llm import chat, decontaminate, htmltext, langid, ledger, licenses, mixing, neardup, pii, ruleclassifier
 from graphloom.session import table
 
 
@@ -26,6 +26,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.prefix_tree(table(spark, sf_dir, "conversations"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruleclassifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.ledger(table(spark, sf_dir, "documents"))
 
@@ -51,9 +59,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_mix_sources": op3_mix_sources,
     "op4_license_scan": op4_license_scan,
+    "op5_chat_prefix_tree": op5_chat_prefix_tree,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_redact_pii": op7_redact_pii,
     "op8_language_id": op8_language_id,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
     "quality_rule_ablations": quality_rule_ablations,
 }
