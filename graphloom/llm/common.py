@@ -17,6 +17,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(ids: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Stored ids with a broadcast hint while they are few (the default is some tens of MB); beyond that a join with them shuffles."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` up to and with each row, in the given order within each group.
 

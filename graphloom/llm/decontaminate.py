@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import sized, stored
 from graphloom.llm.textkit import TOKEN, Hasher, chunks
 
 SEGMENT = 8 << 20
@@ -184,6 +184,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8) -> DataFram
     return search(build_index(docs), benchmark, n)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8) -> DataFrame:
+    """The rows of docs, with all their columns, in which nothing of the benchmark was found; rows without doc_id stay."""
+    found = stored(decontaminate(docs, benchmark, n).select("doc_id").distinct())
+    return docs.join(sized(found), "doc_id", "left_anti").select(*docs.columns)
+
+
 ORACLE = f"""
 WITH d AS (SELECT doc_id, w, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM documents)),
 dt AS (SELECT doc_id, pos, w[pos + 1] AS tok FROM d),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, stored
+from graphloom.llm.common import components, sized, stored
 from graphloom.llm.textkit import Hasher, chunks, grams, mix
 
 SHINGLE = 3
@@ -158,7 +158,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     sigs = signatures(docs)
     found, _ = edges(sigs, threshold)
     gone = stored(components(found).where("node <> root").select(F.col("node").alias("doc_id")))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
     again = stored(sigs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return kept
