@@ -1,10 +1,376 @@
-"""The queries over the reference's operators, by name, each with DuckDB SQL where SQL can express it."""
+"""The queries over the reference's operators, by name, each with DuckDB SQL where SQL can express it.
+
+All run on the projection of the tables to a graph (``plans.projection``), for all its nodes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.model import PropertyGraph
+from graphloom.operators import communities, locate, lookup, manifest, neighbors, review, structure, traverse
+from graphloom.plans.projection import TABLES, project
+from graphloom.session import table
+from graphloom.sinks import rag, symbols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+ANCESTORS = "list_transform(range(1, len(string_split({0}, '.')) + 1), lambda i: array_to_string(string_split({0}, '.')[:i], '.'))"
+REFS = f"""
+inb AS (SELECT type, source, target FROM edges WHERE type IN ('calls', 'references', 'inherits', 'imports', 'decorated_by')),
+memb AS (SELECT symbol, id FROM (SELECT id, unnest({ANCESTORS.format("id")}) AS symbol FROM nodes) WHERE symbol IN (SELECT id FROM nodes)),
+refs AS (SELECT m.symbol, i.source, i.type, coalesce(n.root, 'core') AS root, i.target FROM inb i JOIN memb m ON i.target = m.id LEFT JOIN nodes n ON n.id = i.source
+  WHERE NOT (n.id IS NOT NULL AND (i.source = m.symbol OR starts_with(i.source, m.symbol || '.'))))
+"""
+
+
+def _level(k: int) -> str:
+    before = " UNION ALL ".join(f"SELECT symbol, source FROM l{i}" for i in range(1, k))
+    return f"""
+c{k} AS (SELECT f.symbol, i.source, i.type, coalesce(n.root, 'core') AS root, i.target, row_number() OVER (PARTITION BY f.symbol, i.source ORDER BY i.target, i.type) AS k
+  FROM (SELECT DISTINCT symbol, source FROM l{k - 1}) f JOIN inb i ON i.target = f.source LEFT JOIN nodes n ON n.id = i.source
+  WHERE NOT (n.id IS NOT NULL AND (i.source = f.symbol OR starts_with(i.source, f.symbol || '.'))) AND NOT EXISTS (SELECT 1 FROM ({before}) s WHERE s.symbol = f.symbol AND s.source = i.source)),
+l{k} AS (SELECT symbol, source, type, root, target, {k} AS distance FROM c{k} WHERE k = 1)"""
+
+
+def impact_sql(depth: int) -> str:
+    levels = ", ".join(["l1 AS (SELECT *, 1 AS distance FROM refs)", *[_level(k) for k in range(2, depth + 1)]])
+    return f"{REFS}, {levels}, impact AS ({' UNION ALL '.join(f'SELECT * FROM l{k}' for k in range(1, depth + 1))})"
+
+
+def flow_sql(depth: int) -> str:
+    """Levels by shortest distance, then all calls of the nodes reached."""
+    return f"""
+cp AS (SELECT DISTINCT source, target FROM edges WHERE type = 'calls'),
+starts AS (SELECT DISTINCT source AS entry FROM cp LEFT JOIN nodes ON id = source WHERE source NOT IN (SELECT target FROM cp) AND coalesce(root, 'core') = 'core'),
+f0 AS (SELECT entry, entry AS node FROM starts),
+{"".join(f"f{k} AS (SELECT DISTINCT entry, target AS node FROM f{k - 1} JOIN cp ON source = node EXCEPT SELECT * FROM ({' UNION ALL '.join(f'SELECT * FROM f{i}' for i in range(k))}))," for k in range(1, depth))}
+flow AS ({" UNION ALL ".join(f"SELECT entry, source, target, {k + 1} AS distance FROM f{k} JOIN cp ON source = node" for k in range(depth))})"""
+
+
+def query(sql: str | None = None, more: str = "", name: str | None = None):
+    """Registers a function of the projected graph, with the SELECT that says the same over the CTEs nodes and edges."""
+
+    def add(f: Callable[[PropertyGraph], DataFrame]):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: f(project(spark, sf_dir))
+        if sql:
+            ORACLES[key] = f"WITH RECURSIVE {TABLES}{', ' + more if more else ''} {sql}"
+        return f
+
+    return add
+
+
+def on_tables(sql: str | None = None):
+    """The same for a function of (spark, sf_dir), with SQL over the tables."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- lookups ------------------------------------------------------------------
+
+query("SELECT kind, count(*) AS n FROM nodes GROUP BY kind", name="graph_stats_kinds")(lookup.stats_kinds)
+query("SELECT type, count(*) AS n FROM edges GROUP BY type", name="graph_stats_edges")(lookup.stats_edges)
+query("SELECT string_split(id, '.')[-1] AS name, id, kind, file, lineno FROM nodes", name="find_by_short_name")(lookup.find)
+query("SELECT id, kind, file, lineno FROM nodes WHERE contains(lower(id), 'r1.n') ORDER BY length(id), id LIMIT 50", name="search_ids")(lambda g: lookup.search(g, "R1.n"))
+query("SELECT DISTINCT name, id FROM (SELECT string_split(id, '.')[-1] AS name, id FROM nodes UNION ALL SELECT 'A' || s_suppkey, class_id FROM sup)", name="where_defined")(lookup.where_defined)
+query("SELECT symbol, id AS member FROM memb", REFS, name="members")(lookup.members)
+query("SELECT source, target AS decorator FROM edges WHERE type = 'decorated_by'", name="decorated_with")(lookup.decorated)
+query(
+    "SELECT DISTINCT t AS type, id FROM (SELECT id, unnest(regexp_extract_all(returns, '[A-Za-z_][A-Za-z0-9_]*')) AS t FROM nodes WHERE kind = 'function') WHERE t NOT IN ('Any', 'Callable', 'Dict', 'Iterable', 'List', 'Mapping', 'None', 'Optional', 'Sequence', 'Set', 'Tuple', 'Type', 'Union')",
+    name="type_producers",
+)(lookup.producers)
+query(
+    "SELECT DISTINCT t AS type, id FROM (SELECT id, unnest(regexp_extract_all(param, '[A-Za-z_][A-Za-z0-9_]*')) AS t FROM nodes WHERE kind = 'function') WHERE t NOT IN ('Any', 'Callable', 'Dict', 'Iterable', 'List', 'Mapping', 'None', 'Optional', 'Sequence', 'Set', 'Tuple', 'Type', 'Union')",
+    name="type_consumers",
+)(lookup.consumers)
+query("SELECT key FROM nodes WHERE kind = 'column' AND coalesce(subscripted, true)", name="columns_subscripted")(lookup.columns)
+query(
+    "SELECT regexp_replace(id, '\\.[^.]*$', '') AS module, id, kind, signature, docstring AS summary, false AS is_deprecated FROM nodes n WHERE visibility = 'public' AND kind IN ('class', 'function', 'attribute') AND EXISTS (SELECT 1 FROM nodes m WHERE m.kind = 'module' AND m.visibility = 'public' AND m.id = regexp_replace(n.id, '\\.[^.]*$', ''))",
+    name="api_surface",
+)(lookup.api_surface)
+query("SELECT regexp_replace(id, '\\.[^.]*$', '') AS module, id, kind FROM nodes WHERE visibility = 'public' AND kind IN ('class', 'function') AND root = 'core'", name="public_symbols")(lookup.public_symbols)
+
+
+def _library(spark: SparkSession, sf_dir: str) -> tuple[PropertyGraph, DataFrame]:
+    """Parts as nodes whose short names repeat, and requests for them that are only nearly ids."""
+    p = table(spark, sf_dir, "part")
+    number = F.concat(F.lit("P"), (F.col("p_partkey") % 97).cast("string"))
+    nodes = p.select(F.concat(F.lit("lib."), "p_type", F.lit("."), F.replace(F.col("p_brand"), F.lit("#"), F.lit("_")), F.lit(".v"), F.col("p_size").cast("string"), F.lit("."), number).alias("id")).distinct()
+    graph = PropertyGraph("lib", nodes, spark.createDataFrame([], "type string, source string, target string, extras struct<as:string>"))
+    requests = p.select(F.concat(F.lit("lib."), "p_type", F.lit("."), number).alias("input")).union(p.select(number)).union(nodes.select("id")).union(p.select(F.concat(F.lit("other.v"), F.col("p_size").cast("string"), F.lit("."), number))).distinct()
+    return graph, requests
+
+
+_LIBRARY = """
+WITH p AS (SELECT p_type, 'P' || (p_partkey % 97) AS num, p_size, replace(p_brand, '#', '_') AS brand FROM part),
+ids AS (SELECT DISTINCT 'lib.' || p_type || '.' || brand || '.v' || p_size || '.' || num AS id FROM p),
+req AS (SELECT DISTINCT input FROM (SELECT 'lib.' || p_type || '.' || num AS input FROM p UNION ALL SELECT num FROM p UNION ALL SELECT id FROM ids UNION ALL SELECT 'other.v' || p_size || '.' || num FROM p)),
+cand AS (SELECT input, id, len(list_intersect(list_distinct(string_split(input, '.')), list_distinct(string_split(id, '.')))) AS shared FROM req JOIN ids ON string_split(input, '.')[-1] = string_split(id, '.')[-1] WHERE input NOT IN (SELECT id FROM ids)),
+rnk AS (SELECT *, row_number() OVER (PARTITION BY input ORDER BY shared DESC, length(id), id) AS k, max(shared) OVER (PARTITION BY input) AS top FROM cand),
+res AS (SELECT input, min(id) FILTER (k = 1) AS id, count(*) FILTER (shared = top) > 1 AS ambiguous, coalesce(list_sort(list(id) FILTER (k > 1)), []) AS alternatives FROM rnk GROUP BY input
+  UNION ALL SELECT input, input, false, [] FROM req WHERE input IN (SELECT id FROM ids))
+"""
+
+
+@on_tables(_LIBRARY + " SELECT * FROM res")
+def resolve_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.resolve(*_library(spark, sf_dir))
+
+
+@on_tables(_LIBRARY + " SELECT input, input AS id FROM req WHERE input IN (SELECT id FROM ids) UNION ALL SELECT input, ids.id FROM req JOIN ids ON input = string_split(ids.id, '.')[-1] UNION ALL SELECT input, id FROM res WHERE contains(input, '.') AND input NOT IN (SELECT id FROM ids)")
+def impact_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.impact_targets(*_library(spark, sf_dir))
+
+
+# -- neighbourhoods -----------------------------------------------------------
+
+query("SELECT DISTINCT source AS module, target AS imports FROM edges WHERE type = 'imports'", name="module_dependencies")(neighbors.dependencies)
+query("SELECT DISTINCT source AS imported_by, target AS module FROM edges WHERE type = 'imports'", name="module_dependents")(neighbors.dependents)
+query("SELECT DISTINCT source AS class, target AS base FROM edges WHERE type = 'inherits'", name="class_bases")(neighbors.bases)
+query("SELECT DISTINCT source AS subclass, target AS class FROM edges WHERE type = 'inherits'", name="class_subclasses")(neighbors.subclasses)
+query("SELECT DISTINCT source AS implementer, target AS protocol FROM edges WHERE type = 'implements'", name="protocol_implementers")(neighbors.implementers)
+query("SELECT DISTINCT source AS caller, target AS symbol FROM edges WHERE type = 'calls'", name="callers")(neighbors.callers)
+query("SELECT DISTINCT source AS symbol, target AS callee FROM edges WHERE type = 'calls'", name="callees")(neighbors.callees)
+query("SELECT e.target AS protocol, e.source AS class, reg_key AS key, reg_decorator AS decorator FROM edges e LEFT JOIN nodes ON id = source WHERE type = 'implements'", name="families")(neighbors.families)
+query("SELECT symbol, source AS caller, target, callsites, posargs, kwargs, splat FROM calls JOIN memb ON target = id", REFS, name="call_contract")(neighbors.call_contract)
+query(
+    "SELECT key, coalesce(list_sort(list(DISTINCT e.source) FILTER (type = 'writes')), []) AS writes, coalesce(list_sort(list(DISTINCT e.source) FILTER (type = 'reads')), []) AS reads FROM nodes LEFT JOIN edges e ON target = id AND type IN ('reads', 'writes') WHERE kind = 'column' GROUP BY key",
+    name="column_flow",
+)(neighbors.column_flow)
+query("SELECT source AS symbol, coalesce(list_sort(list(DISTINCT target[8:]) FILTER (type = 'reads')), []) AS reads, coalesce(list_sort(list(DISTINCT target[8:]) FILTER (type = 'writes')), []) AS writes FROM edges WHERE type IN ('reads', 'writes') GROUP BY source", name="columns_of")(neighbors.columns_of)
+query("SELECT * FROM refs", REFS, name="references_to")(neighbors.references_to)
+query("SELECT symbol, root, count(*) AS n FROM refs GROUP BY ALL", REFS, name="used_by_root")(neighbors.used_by_root)
+query(
+    f"SELECT c.id AS class, e.target, min(e.source) AS via FROM edges e JOIN (SELECT id, unnest({ANCESTORS.format('id')}) AS up FROM nodes WHERE kind = 'function') f ON e.source = f.id JOIN nodes c ON c.id = up AND c.kind = 'class' WHERE e.type = 'calls' AND f.id <> up AND NOT starts_with(e.target, c.id || '.') GROUP BY ALL",
+    name="class_outward_calls",
+)(neighbors.class_outward_calls)
+query(
+    "SELECT symbol, root, source, type FROM (SELECT *, row_number() OVER (PARTITION BY symbol, root ORDER BY type, source, target) AS k FROM refs WHERE root <> 'core') WHERE k <= 20", REFS, name="vault_used_by"
+)(neighbors.vault_used_by)
+
+
+@on_tables("SELECT DISTINCT a.p_partkey AS class, b.p_partkey AS sibling FROM part a JOIN part b USING (p_type) WHERE a.p_partkey <> b.p_partkey AND a.p_brand = b.p_brand")
+def family_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose protocol is a type and brand: siblings are quadratic in a family, and these are small."""
+    p = table(spark, sf_dir, "part")
+    edges = p.select(F.lit("implements").alias("type"), F.col("p_partkey").alias("source"), F.concat_ws("/", "p_type", "p_brand").alias("target"))
+    return neighbors.family_siblings(PropertyGraph("w", edges, edges))
+
+
+# -- traversals ---------------------------------------------------------------
+
+query("SELECT * FROM impact", impact_sql(2), name="impact_depth2")(lambda g: traverse.impact(g, depth=2))
+query("SELECT symbol, root, type, count(*) AS n FROM impact GROUP BY ALL", impact_sql(2), name="impact_by_root")(lambda g: traverse.impact_by_root(traverse.impact(g, depth=2)))
+query("SELECT symbol, distance, count(*) AS n FROM impact GROUP BY ALL", impact_sql(3), name="impact_histogram")(lambda g: traverse.impact_by_distance(traverse.impact(g, depth=3)))
+query(
+    "SELECT *, CASE WHEN breadth = 0 THEN 'none' WHEN breadth >= 30 OR n_roots >= 4 OR (breadth >= 15 AND max_distance >= 3) THEN 'high' WHEN breadth >= 5 OR n_roots >= 2 OR max_distance >= 2 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT symbol, count(*) AS breadth, max(distance) AS max_distance, count(DISTINCT root) AS n_roots FROM impact GROUP BY symbol)",
+    impact_sql(2),
+    name="impact_risk",
+)(lambda g: traverse.impact_summary(traverse.impact(g, depth=2)))
+query("SELECT entry AS id FROM starts", flow_sql(1), name="entry_points")(traverse.entry_points)
+query("SELECT * FROM flow", flow_sql(3), name="flow_depth3")(lambda g: traverse.flow(g, max_depth=3))
+query("SELECT entry, count(DISTINCT target) FILTER (target <> entry) AS reached, max(distance) AS max_depth FROM flow GROUP BY entry", flow_sql(4), name="flow_reach_by_entry")(lambda g: traverse.flow_reach(traverse.flow(g, max_depth=4)))
+query(
+    "SELECT len(path) AS length, path FROM walk WHERE closed",
+    """ip AS (SELECT DISTINCT source, target FROM edges WHERE type = 'imports'),
+walk AS (SELECT source AS start, target AS last, CASE WHEN source = target THEN [source] ELSE [source, target] END AS path, source = target AS closed FROM ip WHERE source <= target
+  UNION ALL SELECT start, target, CASE WHEN target = start THEN path ELSE list_append(path, target) END, target = start FROM walk JOIN ip ON source = last
+  WHERE NOT closed AND len(path) <= 8 AND (target = start OR (target > start AND NOT list_contains(path, target) AND len(path) < 8)))""",
+    name="import_cycles",
+)(traverse.import_cycles)
+query(name="communities")(communities.communities)
+
+
+# -- structure ----------------------------------------------------------------
+
+_LAYERS = """
+ip AS (SELECT DISTINCT source, target FROM edges WHERE type = 'imports'),
+vx AS (SELECT id AS module FROM nodes WHERE kind = 'module' UNION SELECT source FROM ip UNION SELECT target FROM ip),
+lay AS (SELECT module, CASE WHEN string_split(module, '.')[1] = 'w' AND len(string_split(module, '.')) >= 2 THEN string_split(module, '.')[2] ELSE '(root)' END AS layer, coalesce(root, 'core') AS root FROM vx LEFT JOIN nodes ON id = module),
+le AS (SELECT a.layer AS source_layer, b.layer AS target_layer, count(*) AS n FROM ip JOIN lay a ON a.module = source JOIN lay b ON b.module = target WHERE a.root = 'core' AND b.root = 'core' AND a.layer <> b.layer GROUP BY ALL)
+"""
+query("SELECT layer, module FROM lay WHERE root = 'core'", _LAYERS, name="layers")(structure.layers)
+query("SELECT * FROM le", _LAYERS, name="layer_edges")(structure.layer_edges)
+query("SELECT a.source_layer AS layer_a, a.target_layer AS layer_b FROM le a JOIN le b ON a.source_layer = b.target_layer AND a.target_layer = b.source_layer WHERE a.source_layer < a.target_layer", _LAYERS, name="layer_violations")(structure.layer_violations)
+_COUPLING = _LAYERS + ", cpl AS (SELECT module, root, (SELECT count(*) FROM ip WHERE target = module) AS ca, (SELECT count(*) FROM ip WHERE source = module) AS ce FROM lay)"
+query("SELECT module, ca, ce, CASE WHEN ca + ce = 0 THEN 0.0 ELSE ce::DOUBLE / (ca + ce) END AS instability FROM cpl WHERE root = 'core'", _COUPLING, name="coupling")(structure.coupling)
+query("SELECT module, ca AS n_importers FROM cpl WHERE ca > 0 ORDER BY ca DESC, module LIMIT 15", _COUPLING, name="most_depended_modules")(structure.most_depended)
+query("SELECT source AS class, count(*) AS methods FROM edges JOIN nodes s ON s.id = source AND s.kind = 'class' JOIN nodes t ON t.id = target AND t.kind = 'function' WHERE type = 'contains' AND s.root = 'core' GROUP BY source HAVING count(*) >= 12", name="god_classes")(structure.god_classes)
+_DEGREES = "deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM (SELECT DISTINCT source, target FROM calls) UNION ALL SELECT target FROM (SELECT DISTINCT source, target FROM calls)) GROUP BY id)"
+query("SELECT id, degree, false AS pervasive FROM deg JOIN nodes USING (id) WHERE root = 'core'", _DEGREES, name="call_degrees")(structure.call_degrees)
+query("SELECT id, degree, false AS pervasive FROM deg JOIN nodes USING (id) WHERE root = 'core' ORDER BY degree DESC, id LIMIT 15", _DEGREES, name="call_hubs")(structure.call_hubs)
+query("SELECT id FROM nodes WHERE kind = 'function' AND visibility = 'private' AND id NOT IN (SELECT target FROM calls)", name="dead_symbols")(structure.dead_symbols)
+query("SELECT root, module FROM lay WHERE module <> 'w' AND module NOT IN (SELECT target FROM ip)", _LAYERS, name="orphan_modules")(structure.orphan_modules)
+query("SELECT root, list_sort(list(module)) AS modules FROM lay WHERE module <> 'w' AND module NOT IN (SELECT target FROM ip) GROUP BY root", _LAYERS, name="orphans_by_root")(structure.orphans_by_root)
+query("SELECT 'imported' AS resolution, count(*) AS n FROM calls HAVING count(*) > 0", name="calls_by_resolution")(structure.calls_by_resolution)
+
+
+# -- places and review --------------------------------------------------------
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place in its nation's file for every customer."""
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select(F.format_string("w/R%d/N%d.py", "n_regionkey", "n_nationkey").alias("file"), (F.col("c_custkey") * 7 % 5000).cast("int").alias("line"))
+
+
+_AT = """
+plc AS (SELECT DISTINCT printf('w/R%d/N%d.py', n_regionkey, n_nationkey) AS file, (c_custkey * 7 % 5000)::INT AS line FROM customer JOIN nation ON c_nationkey = n_nationkey),
+def AS (SELECT file, lineno AS lo, coalesce(endlineno, lineno) AS hi, id FROM nodes WHERE kind IN ('function', 'class', 'attribute') AND file IS NOT NULL AND lineno IS NOT NULL),
+md AS (SELECT file, max(id) AS module FROM nodes WHERE kind = 'module' AND file IS NOT NULL GROUP BY file)
+"""
+
+
+@on_tables(f"WITH {TABLES}, {_AT} SELECT p.file, p.line, coalesce((SELECT arg_min(d.id, (d.hi - d.lo, d.id)) FROM def d WHERE d.file = p.file AND p.line BETWEEN d.lo AND d.hi), module) AS symbol FROM plc p LEFT JOIN md USING (file)")
+def symbol_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locate.symbol_at(project(spark, sf_dir), _places(spark, sf_dir))
+
+
+_IN = _AT + """,
+lin AS (SELECT file, line AS start, line + 12 AS "end", unnest(range(line, line + 13)) AS line FROM plc),
+tgt AS (SELECT l.file, l.start, l."end", coalesce(arg_min(d.id, (d.hi - d.lo, d.id)), any_value(module)) AS symbol FROM lin l LEFT JOIN def d ON d.file = l.file AND l.line BETWEEN d.lo AND d.hi LEFT JOIN md ON md.file = l.file GROUP BY l.file, l.start, l."end", l.line),
+hit AS (SELECT DISTINCT file, start::INT AS start, "end"::INT AS "end", symbol FROM tgt)
+"""
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _places(spark, sf_dir).select("file", F.col("line").alias("start"), (F.col("line") + 12).alias("end"))
+
+
+@on_tables(f"WITH {TABLES}, {_IN} SELECT * FROM hit")
+def symbols_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locate.symbols_in_ranges(project(spark, sf_dir), _ranges(spark, sf_dir))
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of diffs: one of each nation's file, with a hunk for every customer."""
+    place = _places(spark, sf_dir).distinct()
+    head = place.select("file").distinct().select(F.col("file").alias("diff"), F.lit(0).alias("n"), F.concat(F.lit("+++ b/"), "file").alias("line"))
+    hunks = place.select(F.col("file").alias("diff"), (F.col("line") + 1).alias("n"), F.when(F.col("line") % 3 == 0, F.format_string("@@ -1,2 +%d @@", "line")).when(F.col("line") % 3 == 1, F.format_string("@@ -3 +%d,0 @@ def x", "line")).otherwise(F.format_string("@@ -9,4 +%d,7 @@", "line")).alias("line"))
+    return head.union(hunks)
+
+
+@on_tables(f"WITH {TABLES}, {_AT} SELECT file AS diff, file, line AS start, line + CASE WHEN line % 3 = 2 THEN 6 ELSE 0 END AS \"end\" FROM plc")
+def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locate.diff_hunks(_diffs(spark, sf_dir))
+
+
+_REVIEW = f"""
+{REFS}, {_IN},
+chg AS (SELECT DISTINCT symbol FROM hit),
+nin AS (SELECT target AS symbol, count(*) AS n FROM (SELECT DISTINCT source, target FROM calls) GROUP BY 1),
+nout AS (SELECT source AS symbol, count(*) AS n FROM (SELECT DISTINCT source, target FROM calls) GROUP BY 1),
+con AS (SELECT symbol, count(*) AS n FROM calls JOIN memb ON target = id GROUP BY 1),
+rf AS (SELECT symbol, count(*) AS n, count(*) FILTER (root <> 'core') AS ext FROM refs GROUP BY 1),
+rows_ AS (SELECT c.symbol, kind, coalesce(nin.n, 0) AS n_callers, CASE WHEN kind = 'function' THEN coalesce(nout.n, 0) ELSE 0 END AS n_callees, coalesce(con.n, 0) AS n_contract, coalesce(rf.ext, 0) AS n_external, coalesce(rf.n, 0) AS n_references, []::VARCHAR[] AS reads, []::VARCHAR[] AS writes
+  FROM chg c JOIN nodes ON id = c.symbol LEFT JOIN nin ON nin.symbol = c.symbol LEFT JOIN nout ON nout.symbol = c.symbol LEFT JOIN con ON con.symbol = c.symbol LEFT JOIN rf ON rf.symbol = c.symbol),
+dos AS (SELECT *, n_callers + 2 * n_external + n_contract AS score, CASE WHEN n_external > 0 OR n_callers + 2 * n_external + n_contract >= 5 THEN 'high' WHEN n_callers + 2 * n_external + n_contract >= 2 THEN 'medium' ELSE 'low' END AS risk FROM rows_)
+"""
+
+
+@on_tables(f"WITH {TABLES}, {_REVIEW} SELECT * FROM dos")
+def review_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.review(project(spark, sf_dir), _ranges(spark, sf_dir))
+
+
+@on_tables(f"WITH {TABLES}, {_REVIEW} SELECT risk, count(*) AS n, sum(n_references)::BIGINT AS n_references, sum(n_external)::BIGINT AS n_external FROM dos GROUP BY risk")
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.summary(review.review(project(spark, sf_dir), _ranges(spark, sf_dir)))
+
+
+# -- manifests ----------------------------------------------------------------
+
+_MANIFEST = """
+WITH man AS (SELECT source || '/' || lang || '/d' || doc_id || '.txt' AS path, source AS role, '.txt' AS ext, sha256(text) AS sha, strlen(text)::BIGINT AS bytes,
+  (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND text NOT LIKE '%' || chr(10) THEN 1 ELSE 0 END)::BIGINT AS loc FROM documents)
+"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text", F.col("source").alias("role"))
+
+
+@on_tables(_MANIFEST + "SELECT * FROM man")
+def scope_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_files(spark, sf_dir))
+
+
+@on_tables(_MANIFEST + "SELECT role, ext, count(*) AS files, sum(bytes)::BIGINT AS bytes, sum(loc)::BIGINT AS loc FROM man GROUP BY GROUPING SETS ((role), (ext), ())")
+def scope_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.profile(manifest.manifest(_files(spark, sf_dir)))
+
+
+@on_tables(_MANIFEST + "SELECT 'sha256:' || sha256(string_agg(path || chr(9) || sha, chr(10) ORDER BY path)) AS scope_id FROM man")
+def scope_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.scope_id(manifest.manifest(_files(spark, sf_dir)))
+
+
+@on_tables(_MANIFEST + "SELECT path, bytes FROM man ORDER BY bytes DESC, path LIMIT 10")
+def scope_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.largest(manifest.manifest(_files(spark, sf_dir)))
+
+
+@on_tables(
+    """WITH a AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || ' ' ELSE text END) AS sha FROM documents WHERE doc_id % 7 <> 0)
+SELECT 'd' || coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (doc_id) WHERE a.sha IS DISTINCT FROM b.sha"""
+)
+def scope_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of all documents: the second lacks every seventh, has every fifth more, and ends every third differently."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "text")
+    old = d.where("doc_id % 5 <> 0").select("path", F.sha2("text", 256).alias("sha"))
+    new = d.where("doc_id % 7 <> 0").select("path", F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("sha"))
+    return manifest.diff(old, new)
+
+
+@on_tables("SELECT source || '/' || lang || '/d' || doc_id || '.txt' AS path, CASE WHEN source = 'src1' AND lang = 'de' THEN 'german' WHEN source = 'src1' THEN 'one' WHEN lang = 'fr' AND source = 'src2' THEN 'french' ELSE 'core' END AS role FROM documents")
+def role_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = spark.createDataFrame([("src1", "one"), ("src1/de", "german"), ("src2/fr", "french"), ("src", "never")], "prefix string, role string")
+    return manifest.assign_roles(_files(spark, sf_dir).select("path"), roots)
+
+
+# -- exports ------------------------------------------------------------------
+
+_RAG = """
+cp AS (SELECT DISTINCT source, target FROM calls),
+sh AS (SELECT id, string_split(id, '.')[-1] AS s FROM nodes),
+ca AS (SELECT source AS id, list_sort(list(target)) AS l FROM cp GROUP BY 1),
+cb AS (SELECT target AS id, list_sort(list(source)) AS l FROM cp GROUP BY 1),
+ba AS (SELECT source AS id, list_sort(list(DISTINCT target)) AS l FROM edges WHERE type = 'inherits' GROUP BY 1),
+im AS (SELECT source AS id, list_sort(list(DISTINCT target)) AS l FROM edges WHERE type = 'implements' GROUP BY 1),
+vi AS (SELECT class AS id, list_sort(list({'target': target, 'via': via})) AS l FROM (SELECT c.id AS class, e.target, min(e.source) AS via FROM cp e JOIN nodes c ON c.kind = 'class' AND c.id = regexp_replace(e.source, '\\.[^.]*$', '') WHERE NOT starts_with(e.target, c.id || '.') GROUP BY ALL) GROUP BY 1)
+"""
+query(
+    """SELECT n.id, n.kind || ' ' || string_split(n.id, '.')[-1] || ' in ' || regexp_replace(n.id, '\\.[^.]*$', '') || '.' || coalesce(' Signature: ' || n.signature || '.', '') || coalesce(' ' || n.docstring, '')
+ || coalesce(' Inherits: ' || array_to_string(list_transform(ba.l, lambda x: string_split(x, '.')[-1]), ', ') || '.', '')
+ || coalesce(' Calls: ' || array_to_string(list_transform(ca.l[:8], lambda x: string_split(x, '.')[-1]), ', ') || '.', '') || coalesce(' Called by: ' || array_to_string(list_transform(cb.l[:8], lambda x: string_split(x, '.')[-1]), ', ') || '.', '')
+ || coalesce(' Registered as ''' || n.reg_key || '''.', '') || coalesce(' Implements: ' || array_to_string(list_transform(im.l, lambda x: string_split(x, '.')[-1]), ', ') || '.', '')
+ || coalesce(' Methods call: ' || array_to_string(list_transform(vi.l[:8], lambda x: string_split(x.target, '.')[-1] || ' (via ' || string_split(x.via, '.')[-1] || ')'), ', ') || '.', '') AS text
+ FROM nodes n LEFT JOIN ba ON ba.id = n.id LEFT JOIN ca ON ca.id = n.id LEFT JOIN cb ON cb.id = n.id LEFT JOIN im ON im.id = n.id LEFT JOIN vi ON vi.id = n.id WHERE n.kind IN ('class', 'function')""",
+    _RAG,
+    name="rag_text",
+)(lambda g: rag.chunks(g).select("id", "text"))
+query(
+    """SELECT n.id, kind, file, lineno, endlineno, reg_key AS registered_as, ba.l AS bases, ca.l AS calls, cb.l AS called_by, im.l AS implements, len(vi.l) AS n_seams FROM nodes n LEFT JOIN ba ON ba.id = n.id LEFT JOIN ca ON ca.id = n.id LEFT JOIN cb ON cb.id = n.id LEFT JOIN im ON im.id = n.id LEFT JOIN vi ON vi.id = n.id WHERE n.kind IN ('class', 'function')""",
+    _RAG,
+    name="rag_chunks",
+)(lambda g: rag.chunks(g).select("id", "kind", "file", "lineno", "endlineno", "registered_as", "bases", "calls", "called_by", "implements", F.when(F.col("calls_via_methods").isNotNull(), F.size("calls_via_methods")).alias("n_seams")))
+query(
+    f"""SELECT id, string_agg(CASE WHEN regexp_matches(s, '^[A-Za-z0-9_+$]+$') THEN s ELSE '`' || replace(s, '`', '``') || '`' END || CASE coalesce(kind, 'module') WHEN 'class' THEN '#' WHEN 'function' THEN '().' WHEN 'attribute' THEN '.' ELSE '/' END, '' ORDER BY length(prefix)) AS descriptor
+ FROM (SELECT p.id, prefix, string_split(prefix, '.')[-1] AS s, k.kind FROM (SELECT id, unnest({ANCESTORS.format("id")}) AS prefix FROM nodes) p LEFT JOIN nodes k ON k.id = prefix) GROUP BY id""",
+    name="symbol_descriptors",
+)(symbols.descriptors)
+query(
+    "SELECT n.id, CASE n.kind WHEN 'module' THEN 'Module' WHEN 'class' THEN 'Class' WHEN 'function' THEN CASE WHEN c.id IS NULL THEN 'Function' ELSE 'Method' END ELSE 'UnspecifiedKind' END AS symbol_kind FROM nodes n LEFT JOIN nodes c ON c.kind = 'class' AND c.id = regexp_replace(n.id, '\\.[^.]*$', '') AND c.id <> n.id",
+    name="symbol_kinds",
+)(symbols.symbol_kind)
