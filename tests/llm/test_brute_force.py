@@ -1,0 +1,274 @@
+"""Each operator against a plain restatement of what it should give, on a few hundred random rows."""
+
+import collections
+import itertools
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from graphloom.llm import chat, common, decontaminate, htmltext, langid, ledger, licenses, measures, mixing, neardup, pii, ruleclassifier
+from graphloom.llm.textkit import Hasher
+
+TOKEN = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def words(text):
+    return TOKEN.findall((text or "").lower())
+
+
+@pytest.fixture(scope="module")
+def texts():
+    random.seed(3)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 7))) for _ in range(900)]
+    own = [" ".join(random.choices(vocabulary, k=random.randint(1, 120))) for _ in range(120)]
+    for i in range(60):  # near and exact copies, in groups
+        w = own[i % 7].split()
+        for _ in range(random.randint(0, 3)):
+            w[random.randrange(len(w))] = random.choice(vocabulary)
+        own.append(" ".join(w))
+    return own
+
+
+def test_tokens_are_those_of_the_pattern():
+    samples = ["", "Ça va? Élan-12!", "a_b C d", "x" * 300_000 + " y", "ÀÉÎ 中文 z"]
+    h, at = Hasher().tokens(pa.array([*samples, None]))
+    assert np.diff(at).tolist() == [len(words(s)) for s in [*samples, None]]
+    single = {t: Hasher().tokens(pa.array([t]))[0][0] for s in samples for t in words(s)}
+    assert h.tolist() == [int(single[t]) for s in samples for t in words(s)]
+
+
+def test_near_duplicates(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.duplicate_of): r.similarity for r in neardup.near_duplicates(df).collect()}
+    grams = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in map(words, texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    exact = {}
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        exact[b, a] = len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+        if exact[b, a] >= neardup.THRESHOLD + 0.1:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    sure = {(i, find(i)) for i in range(len(texts)) if find(i) != i}
+    assert len(sure & set(got)) >= 0.95 * len(sure)
+    assert all(exact[p] > neardup.THRESHOLD - 0.2 or p in sure for p in got)
+    assert max(abs(s - exact[p]) for p, s in got.items()) < 0.2
+
+
+def test_similarity_is_unbiased():
+    random.seed(1)
+    a = [f"w{i}" for i in range(400)]
+    b = a[:250] + [f"x{i}" for i in range(150)]
+    h, at = Hasher().tokens(pa.array([" ".join(a), " ".join(b)]))
+    low = neardup.minima(h, at, [])
+    w = neardup.pack(low)
+    like = sum(((int(w[0, i]) >> s) & 15) == ((int(w[1, i]) >> s) & 15) for i in range(neardup.WORDS) for s in range(0, 64, 4))
+    estimate = (like / neardup.HASHES - 1 / 16) / (1 - 1 / 16)
+    assert abs(estimate - 248 / 548) < 0.12
+
+
+def test_hot_groups(spark):
+    """Thousands of copies, some with a change, are one group."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base + (f" extra{i} more{i}" if i % 3 == 0 else "")) for i in range(1500)] + [(5000 + i, " ".join(f"q{i}x{j}" for j in range(30))) for i in range(50)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1499 and {r.duplicate_of for r in got} == {0}
+
+
+def test_exact_and_proximity_matches(spark, texts):
+    random.seed(5)
+    items = [" ".join(random.choices(texts[i].split(), k=14)) for i in range(0, 10)]
+    planted = [(1000 + i, "before " + x + " after " + x) for i, x in enumerate(items)]
+    spread = [(2000 + i, "aa bb " + " zz ".join([" ".join(x.split()[:7]), " ".join(x.split()[7:])])) for i, x in enumerate(items)]
+    rows = [*enumerate(texts), *planted, *spread]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    want = collections.Counter()
+    for d, t in rows:
+        w = words(t)
+        for i, x in enumerate(items):
+            v = words(x)
+            for diagonal in range(-len(v), len(w)):
+                run = 0
+                for p in range(len(v) + 1):
+                    if p < len(v) and 0 <= diagonal + p < len(w) and w[diagonal + p] == v[p]:
+                        run += 1
+                    else:
+                        if run >= 8:
+                            want[d, i, diagonal + p - run, p - run, run] += 1
+                        run = 0
+    assert collections.Counter((r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_tokens) for r in got if r.kind == "exact") == want
+    assert {(2000 + i, i) for i in range(10)} <= {(r.doc_id, r.item_id) for r in got if r.kind == "proximity"}
+
+
+def test_mixture(spark, texts):
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    shares = {"s0": 0.7, "s1": 0.2, "s2": 0.1}
+    got = mixing.mix(df, shares).collect()
+    total = sum(len(t.split()) for t in texts)
+    for s, share in shares.items():
+        own = [(r.n_tokens, r.copies) for r in got if r.source == s]
+        budget = int(total * share)
+        assert budget - max(len(t.split()) for t in texts) <= sum(n * c for n, c in own) <= budget
+        assert max(c for _, c in own) - min(c for _, c in own) <= 1  # complete epochs come first
+
+
+def test_mixture_prefers_quality(spark):
+    df = spark.createDataFrame([(i, "word word " + ("##$$ %%&& **||" if i % 2 else "word text more"), "s") for i in range(400)], "doc_id long, text string, source string")
+    got = [r.doc_id for r in mixing.mix(df, {"s": 1.0}, total=500).collect()]
+    assert len([d for d in got if d % 2 == 0]) > 2 * len([d for d in got if d % 2])
+
+
+def test_running_total(spark):
+    rows = [(i % 4, i * 7919 % 101, i) for i in range(300)]
+    got = common.running_total(spark.createDataFrame(rows, "g int, o int, v int"), ["g"], ["o", "v"], "v", "t").collect()
+    sums = collections.defaultdict(int)
+    want = set()
+    for g, o, v in sorted(rows):
+        sums[g] += v
+        want.add((g, o, v, sums[g]))
+    assert {(r.g, r.o, r.v, r.t) for r in got} == want
+
+
+def test_components(spark):
+    random.seed(9)
+    edges = [(random.randrange(200), random.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_license_spans(spark, texts):
+    random.seed(2)
+    templates = [("A", "one two three four five six seven eight nine ten"), ("B", "alpha beta gamma delta epsilon zeta")]
+    rows, want = [], set()
+    for i, t in enumerate(texts[:40]):
+        w = words(t)
+        name, own = templates[i % 2]
+        own = own.split()
+        if i % 4 == 0:
+            own.insert(6, "inserted")
+        at = random.randrange(len(w) + 1)
+        rows.append((i, " ".join([*w[:at], *own, *w[at:]])))
+        want.add((i, name, at, at + len(own)))
+    rows.append((99, "one two three four five and then nothing"))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
+    assert {(r.doc_id, r.license, r.start, r.end) for r in got} == want
+
+
+def test_common_words_against_all_subsequences():
+    random.seed(4)
+    for _ in range(200):
+        a, b = [random.choices(range(4), k=random.randint(0, 7)) for _ in range(2)]
+        best = 0
+        for n in range(len(b), 0, -1):
+            if any(tuple(a[i] for i in s) in set(itertools.combinations(b, n)) for s in itertools.combinations(range(len(a)), n)):
+                best = n
+                break
+        n, start, end = licenses.common_words(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert n == best and end - start >= n if n else best == 0
+
+
+def test_prefix_tree(spark):
+    random.seed(1)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"w{random.randint(0, 1 + t)}") for c in range(50) for t in range(random.randint(1, 5))]
+    got = chat.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    convs = collections.defaultdict(list)
+    for c, _, role, text in sorted(rows):
+        convs[c].append((role, text))
+    nodes = collections.Counter(tuple(p[: i + 1]) for p in convs.values() for i in range(len(p)))
+    assert len(got) == len(nodes)
+    place = {tuple(convs[r.conv_id][: r.depth + 1]): r for r in got}
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.tree].append(r)
+    for own in by.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert r.start == at and len(r.tokens) == r.n_tokens
+            at += r.n_tokens
+    for p, r in place.items():
+        above = {x for i in range(1, len(p)) for x in range(place[p[:i]].start, place[p[:i]].start + place[p[:i]].n_tokens)}
+        assert {x for i in r.ancestors for x in range(i.start, i.end)} == above and r.position == len(above)
+        below = [q for q in place if q[: len(p)] == p]
+        assert r.attended_until == max(place[q].start + place[q].n_tokens for q in below) and r.n_conversations == nodes[p]
+
+
+def test_measures(texts):
+    samples = [*texts[:20], "A a a\nA a a\n\n  \nB1 #$ |x\r\n", "", "Ünï the THE und"]
+    got = measures.Measurer().measure(pa.array(samples))
+    for s, row in zip(samples, got.tolist()):
+        w, lines, t = re.findall(r"[^ \t\n\r]+", s), [x for x in s.split("\n") if re.search(r"[^ \t\r]", x)], words(s)
+        counts = collections.Counter(t)
+        assert row == [len(s), len(w), sum(map(len, w)), len(re.findall(r"[0-9]", s)), len(re.findall(r"[A-Z]", s)), sum(c in measures.SYMBOLS for c in s), len(lines), len(lines) - len(set(lines)), len(t), len(counts), max(counts.values(), default=0), sum(x in measures.STOP_WORDS for x in t)]
+
+
+def test_ablations(spark, texts):
+    entries = ledger.ledger(spark.createDataFrame(list(enumerate([*texts, "### $$$ %%%", "A B C D E F"])), "doc_id long, text string"))
+    failures = [r.failures for r in entries.collect()]
+    for r in ledger.ablations(entries).collect():
+        own, bit = ledger.mask(r.policy), 1 << list(ledger.RULES).index(r.rule)
+        assert (r.n_docs, r.n_fail, r.n_only, r.n_pass, r.n_pass_without) == (len(failures), sum(f & bit > 0 for f in failures), sum(f & own == bit for f in failures), sum(f & own == 0 for f in failures), sum(f & (own ^ bit) == 0 for f in failures))
+
+
+def test_rules_compile_to_what_they_say(spark):
+    random.seed(8)
+    rows = [(i, ("the cat and a dog of it " * random.randint(1, 9)) if i % 3 else "### zz%% " * random.randint(2, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300)], "doc_id long, quality int")
+    stats = ruleclassifier.with_statistics(measures.measured(df)).cache()
+    model = ruleclassifier.fit(stats, labels)
+    got = ruleclassifier.classify(df, labels, model).toPandas().set_index("doc_id")
+    x = stats.toPandas().set_index("doc_id").loc[got.index]
+    assert np.allclose(model.probability(x[ruleclassifier.NAMES].to_numpy(float)), got.probability)
+    assert (got.keep == (got.index % 3 > 0)).mean() > 0.97 and len(model.rules) < 60
+
+
+def test_language_on_held_out_texts(spark):
+    random.seed(6)
+    language = {"aa": "kolo mira tesa vuna".split(), "bb": "strunk pfeil wachs gurt".split(), "cc": "queue eaux oiseau lieu".split()}
+    make = lambda n: [(" ".join(random.choices(w, k=random.randint(3, 40))), name) for name, w in language.items() for _ in range(n)]
+    train, test = make(60), make(30)
+    model = langid.train([t for t, _ in train], [n for _, n in train])
+    best, p, rejected = model.identify(Hasher(), pa.array([t for t, _ in test]))
+    assert np.mean([model.names[b] == n for b, (_, n) in zip(best, test)]) > 0.98 and rejected.mean() < 0.02
+    assert model.identify(Hasher(), pa.array(langid.nonsense(np.random.default_rng(5), 200)))[2].mean() > 0.9
+    got = langid.identify(spark.createDataFrame(test, "text string, lang string").selectExpr("monotonically_increasing_id() as doc_id", "text"), model).where("rejected").count()
+    assert got == rejected.sum()
+
+
+def test_pii_on_held_out_examples():
+    model = pii.train(examples=5000)
+    x, y, kinds = pii._rows(pii._examples(np.random.default_rng(99), 1500))
+    hit = model.trees.probability(x) >= model.thresholds[kinds]
+    assert (hit & (y > 0)).sum() / y.sum() > 0.97 and (hit & (y > 0)).sum() / hit.sum() > 0.96
+    text = "card 4111111111111111, order 4111111111111112, at 10.21.132.43 or 10.1.2.300, +1 (212) 555-1234"
+    assert pii.replaced(text, [(a, b, pii.KINDS[k], p) for a, b, k, p in model.spans(text)]) == "card [CARD], order 4111111111111112, at [IP] or 10.1.2.300, [PHONE]"
+
+
+def test_pii_windows_miss_nothing():
+    model = pii.train(examples=2500)
+    random.seed(7)
+    for _ in range(40):
+        parts = [random.choice(["word", "é" * 50, "x.12@mail.example.com", "+1 (212) 555-1234", "4111111111111111", "\n", "a" * 300]) for _ in range(30)]
+        text = " ".join(parts)
+        found = pii._found(model, pa.array([text])).get(0, [])
+        assert [(a, b, k) for a, b, k, _ in found] == [(a, b, pii.KINDS[k]) for a, b, k, _ in model.spans(text)]
+
+
+def test_blocks_inherit_from_the_nearest():
+    assert htmltext.labels([None, True, None, None, False, None]) == [True, True, True, False, False, False]
+    assert htmltext.labels([False, None, True]) == [False, True, True] and htmltext.labels([None, None]) == [False, False]
+    page = "<nav><a href='x'>one</a> <a>two</a></nav><h1>A title</h1><p>" + "The cat and the dog of it &amp; more. " * 8 + "</p><p>Short end.</p><hr><footer>&copy; 2020 me</footer>"
+    assert htmltext.main_text(page)[0].startswith("A title\nThe cat and the dog of it & more.") and "©" not in htmltext.main_text(page)[0]
