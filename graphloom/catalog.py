@@ -5,6 +5,7 @@ All run on the projection of the tables to a graph (``plans.projection``), for a
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,18 @@ from graphloom.sinks import rag, symbols
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+
+
+@functools.lru_cache(maxsize=4)
+def _planned(application: str, sf_dir: str) -> PropertyGraph:
+    return project(SparkSession.active(), sf_dir)
+
+
+def graph_of(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The projected graph of a folder. Its plan, not its rows, is kept for the next query: a plan of this size takes seconds to write down."""
+    return _planned(spark.sparkContext.applicationId, sf_dir)
+
+
 ANCESTORS = "list_transform(range(1, len(string_split({0}, '.')) + 1), lambda i: array_to_string(string_split({0}, '.')[:i], '.'))"
 REFS = f"""
 inb AS (SELECT type, source, target FROM edges WHERE type IN ('calls', 'references', 'inherits', 'imports', 'decorated_by')),
@@ -57,7 +70,7 @@ def query(sql: str | None = None, more: str = "", name: str | None = None):
 
     def add(f: Callable[[PropertyGraph], DataFrame]):
         key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: f(project(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: f(graph_of(spark, sf_dir))
         if sql:
             ORACLES[key] = f"WITH RECURSIVE {TABLES}{', ' + more if more else ''} {sql}"
         return f
@@ -234,7 +247,7 @@ md AS (SELECT file, max(id) AS module FROM nodes WHERE kind = 'module' AND file
 
 @on_tables(f"WITH {TABLES}, {_AT} SELECT p.file, p.line, coalesce((SELECT arg_min(d.id, (d.hi - d.lo, d.id)) FROM def d WHERE d.file = p.file AND p.line BETWEEN d.lo AND d.hi), module) AS symbol FROM plc p LEFT JOIN md USING (file)")
 def symbol_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return locate.symbol_at(project(spark, sf_dir), _places(spark, sf_dir))
+    return locate.symbol_at(graph_of(spark, sf_dir), _places(spark, sf_dir))
 
 
 _IN = _AT + """,
@@ -250,7 +263,7 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @on_tables(f"WITH {TABLES}, {_IN} SELECT * FROM hit")
 def symbols_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return locate.symbols_in_ranges(project(spark, sf_dir), _ranges(spark, sf_dir))
+    return locate.symbols_in_ranges(graph_of(spark, sf_dir), _ranges(spark, sf_dir))
 
 
 def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,12 +294,12 @@ dos AS (SELECT *, n_callers + 2 * n_external + n_contract AS score, CASE WHEN n_
 
 @on_tables(f"WITH {TABLES}, {_REVIEW} SELECT * FROM dos")
 def review_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.review(project(spark, sf_dir), _ranges(spark, sf_dir))
+    return review.review(graph_of(spark, sf_dir), _ranges(spark, sf_dir))
 
 
 @on_tables(f"WITH {TABLES}, {_REVIEW} SELECT risk, count(*) AS n, sum(n_references)::BIGINT AS n_references, sum(n_external)::BIGINT AS n_external FROM dos GROUP BY risk")
 def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.summary(review.review(project(spark, sf_dir), _ranges(spark, sf_dir)))
+    return review.summary(review.review(graph_of(spark, sf_dir), _ranges(spark, sf_dir)))
 
 
 # -- manifests ----------------------------------------------------------------

@@ -6,8 +6,8 @@ that the schema doesn't know are kept in its ``other`` map, as JSON text.
 
 from __future__ import annotations
 
-import dataclasses
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,37 +41,61 @@ def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+DEFAULTS = {"visibility": "'public'", "is_deprecated": "false", "decorators": "cast(array() as array<string>)"}
+
+
 def conform(df: DataFrame, ddl: str) -> DataFrame:
     """df with exactly the schema's columns, missing ones null or, in nodes, at their defaults. Fields of extras may be missing too."""
     have = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for f in schema(ddl).fields:
+        kind = f.dataType.simpleString()
         if f.name == "extras":
             inner = {g.name for g in have["extras"].fields} if "extras" in have else set()
-            value = F.struct(*[(F.col(f"extras.{g.name}").cast(g.dataType) if g.name in inner else F.lit(None).cast(g.dataType)).alias(g.name) for g in f.dataType.fields])
-        elif f.name in have:
-            value = F.col(f.name).cast(f.dataType)
+            fields = [f"'{g.name}', cast({f'extras.`{g.name}`' if g.name in inner else 'null'} as {g.dataType.simpleString()})" for g in f.dataType.fields]
+            value = f"named_struct({', '.join(fields)})"
         else:
-            value = F.lit(None).cast(f.dataType)
-        if f.name == "visibility":
-            value = F.coalesce(value, F.lit("public"))
-        elif f.name == "is_deprecated":
-            value = F.coalesce(value, F.lit(False))
-        elif f.name == "decorators":
-            value = F.coalesce(value, F.expr("cast(array() as array<string>)"))
-        out.append(value.alias(f.name))
-    return df.select(*out)
-
-
-@dataclasses.dataclass(frozen=True)
+            value = f"cast({f'`{f.name}`' if f.name in have else 'null'} as {kind})"
+            value = f"coalesce({value}, {DEFAULTS[f.name]})" if f.name in DEFAULTS else value
+        out.append(f"{value} as `{f.name}`")
+    return df.selectExpr(*out)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 class PropertyGraph:
-    target: str
-    nodes: DataFrame
-    edges: DataFrame
+    """nodes and edges are DataFrames. A graph whose edges are stored or made by type takes ``by_type``, a function for each type; then
+    ``of`` touches only those asked for, and ``edges`` is their union. nodes may be a function, called when they are first needed."""
+
+    def __init__(self, target: str, nodes: DataFrame | Callable[[], DataFrame], edges: DataFrame | None = None, by_type: dict[str, Callable[[], DataFrame]] | None = None) -> None:
+        if (edges is None) == (by_type is None):
+            raise ValueError("a graph has either edges or by_type")
+        self.target, self._nodes, self._edges = target, nodes, edges
+        self._by_type = None if by_type is None else {k: functools.cache(f) for k, f in by_type.items()}
+
+    @property
+    def nodes(self) -> DataFrame:
+        if not isinstance(self._nodes, DataFrame) and callable(self._nodes):
+            self._nodes = self._nodes()
+        return self._nodes
+
+    @property
+    def edges(self) -> DataFrame:
+        if self._edges is None:
+            self._edges = union([f() for f in self._by_type.values()])
+        return self._edges
 
     def of(self, *types: str) -> DataFrame:
-        """Edges of the given types; a filter on ``type`` alone, which reaches the scan or drops whole branches of a union."""
-        return self.edges.where(F.col("type").isin(*types))
+        """Edges of the given types; a filter on ``type`` alone, which reaches the scan."""
+        if self._by_type is None:
+            return self.edges.where(F.col("type").isin(*types))
+        own = [f for t, f in self._by_type.items() if t in types]
+        return union([f() for f in own]) if own else self.edges.limit(0)
 
     def pairs(self, kind: str) -> DataFrame:
         """Distinct (source, target) of one type: the simple directed graph of that type."""

@@ -11,11 +11,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.model import EDGES, NODES, PropertyGraph, conform, schema
-from graphloom.session import table
+from graphloom.model import EDGES, NODES, PropertyGraph, conform, schema, union
+from graphloom.session import Folder, table
 
 LINE = 20  # characters that a shared line has at least
 
@@ -85,10 +87,7 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
         make(keyed.groupBy("key").agg(F.bool_or("subscript").alias("subscript")), F.concat(F.lit("column:"), col("key")), "column", key=col("key"), subscripted=col("subscript")),
         make(_doc_references(spark, sf).select("source").distinct(), col("source"), "doc", "docs"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return union(parts)
 
 
 def _doc_references(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,41 +119,45 @@ def _imports(spark: SparkSession, sf: str) -> DataFrame:
     return own.join(F.broadcast(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("module").alias("target"))), "c_nationkey").select(F.lit("imports").alias("type"), "source", "target")
 
 
-def _edges(spark: SparkSession, sf: str) -> DataFrame:
+def _by_type(spark: SparkSession, sf: str) -> dict[str, Callable[[], DataFrame]]:
     col, lit = F.col, F.lit
 
     def make(df: DataFrame, kind: str, source: Column, target: Column, **extras: Column) -> DataFrame:
         more = [F.struct(*[v.alias(k) for k, v in extras.items()]).alias("extras")] if extras else []
         return conform(df.select(lit(kind).alias("type"), source.alias("source"), target.alias("target"), *more), EDGES)
 
-    nation, customers, suppliers, orders, parts = _nation(spark, sf), _customers(spark, sf), _suppliers(spark, sf), _orders(spark, sf), table(spark, sf, "part")
-    region = F.substring_index("module", ".", 2)
-    used = table(spark, sf, "events").withColumn("key", F.get_json_object("props", "$.k")).where("key is not null").select(F.concat(lit("ev.U"), col("user_id").cast("string")).alias("source"), F.concat(lit("column:k"), col("key")).alias("target"), col("event_type").isin("purchase", "signup").alias("writes"), F.when(col("event_type") == "signup", "dict-literal").otherwise("subscript").alias("access")).distinct()
-    parts_ = [
-        make(table(spark, sf, "region"), "contains", lit("w"), F.format_string("w.R%d", "r_regionkey")),
-        make(nation, "contains", region, col("module")),
-        make(customers, "contains", col("module"), col("class_id")),
-        make(suppliers, "contains", col("module"), col("class_id")),
-        make(orders, "contains", col("class_id"), col("id")),
-        conform(_imports(spark, sf), EDGES),
-        make(suppliers, "export", col("module"), col("class_id"), **{"as": F.concat(lit("A"), col("s_suppkey").cast("string")), "public": col("s_acctbal") > 0}),
-        conform(_calls(spark, sf), EDGES),
-        make(customers, "inherits", col("class_id"), F.concat(lit("seg."), col("segment")), external=lit(True)),
-        make(orders, "decorated_by", col("id"), F.concat(lit("prio."), col("o_orderpriority"))),
-        make(parts, "implements", F.concat(lit("reg.P"), col("p_partkey").cast("string")), F.concat(lit("proto."), col("p_type")), via=lit("registry")),
-        make(used.where("writes"), "writes", col("source"), col("target"), resolution=lit("string-key"), access=col("access")),
-        make(used.where("not writes"), "reads", col("source"), col("target"), resolution=lit("string-key"), access=col("access")),
-        make(_doc_references(spark, sf), "references", col("source"), col("target"), resolution=lit("doc")),
-    ]
-    out = parts_[0]
-    for p in parts_[1:]:
-        out = out.union(p)
-    return out
+    def contains() -> DataFrame:
+        return union([
+            make(table(spark, sf, "region"), "contains", lit("w"), F.format_string("w.R%d", "r_regionkey")),
+            make(_nation(spark, sf), "contains", F.substring_index("module", ".", 2), col("module")),
+            make(_customers(spark, sf), "contains", col("module"), col("class_id")),
+            make(_suppliers(spark, sf), "contains", col("module"), col("class_id")),
+            make(_orders(spark, sf), "contains", col("class_id"), col("id")),
+        ])
+
+    def touches(kind: str) -> DataFrame:
+        own = table(spark, sf, "events").withColumn("key", F.get_json_object("props", "$.k")).where("key is not null").where(col("event_type").isin("purchase", "signup") == (kind == "writes"))
+        used = own.select(F.concat(lit("ev.U"), col("user_id").cast("string")).alias("source"), F.concat(lit("column:k"), col("key")).alias("target"), F.when(col("event_type") == "signup", "dict-literal").otherwise("subscript").alias("access")).distinct()
+        return make(used, kind, col("source"), col("target"), resolution=lit("string-key"), access=col("access"))
+
+    return {
+        "contains": contains,
+        "imports": lambda: conform(_imports(spark, sf), EDGES),
+        "export": lambda: make(_suppliers(spark, sf), "export", col("module"), col("class_id"), **{"as": F.concat(lit("A"), col("s_suppkey").cast("string")), "public": col("s_acctbal") > 0}),
+        "calls": lambda: conform(_calls(spark, sf), EDGES),
+        "inherits": lambda: make(_customers(spark, sf), "inherits", col("class_id"), F.concat(lit("seg."), col("segment")), external=lit(True)),
+        "decorated_by": lambda: make(_orders(spark, sf), "decorated_by", col("id"), F.concat(lit("prio."), col("o_orderpriority"))),
+        "implements": lambda: make(table(spark, sf, "part"), "implements", F.concat(lit("reg.P"), col("p_partkey").cast("string")), F.concat(lit("proto."), col("p_type")), via=lit("registry")),
+        "writes": lambda: touches("writes"),
+        "reads": lambda: touches("reads"),
+        "references": lambda: make(_doc_references(spark, sf), "references", col("source"), col("target"), resolution=lit("doc")),
+    }
 
 
 def project(spark: SparkSession, sf: str) -> PropertyGraph:
-    """The graph over a folder of tables. Nothing is computed yet: a query that filters on ``type`` or ``kind`` prunes the other branches."""
-    return PropertyGraph("w", _nodes(spark, sf), _edges(spark, sf))
+    """The graph over a folder of tables; types of edges that a query doesn't ask for aren't even planned."""
+    sf = Folder(sf)
+    return PropertyGraph("w", lambda: _nodes(spark, sf), by_type=_by_type(spark, sf))
 
 
 TABLES = f"""

@@ -7,9 +7,24 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+class Folder(str):
+    """The path of a folder of tables. Their schemas are read once: a plan that names a table often would else open its files as often."""
+
+    def __new__(cls, path: str) -> Folder:
+        out = super().__new__(cls, path)
+        out.schemas = {}
+        return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, a file or a folder of files."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    schemas = getattr(sf_dir, "schemas", None)
+    if schemas is None:
+        return spark.read.parquet(path)
+    if name not in schemas:
+        schemas[name] = spark.read.parquet(path).schema
+    return spark.read.schema(schemas[name]).parquet(path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
