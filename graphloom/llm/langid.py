@@ -188,7 +188,7 @@ def _broadcast(docs: DataFrame, model: Model | None):
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``(doc_id, language, probability, rejected)`` of every row."""
+    """``(doc_id, language, probability, keep)`` of every row; keep is false where the text is rejected."""
     shared = _broadcast(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,15 +196,15 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in chunks(batches, "text", 1 << 20):
             n = batch.num_rows
             if m is None:
-                cols = [pa.nulls(n, pa.string()), pa.nulls(n, pa.float64()), pa.array(np.zeros(n, bool))]
+                cols = [pa.nulls(n, pa.string()), pa.nulls(n, pa.float64()), pa.array(np.ones(n, bool))]
             else:
                 best, p, no = m.identify(hasher, batch.column("text"))
                 names = pa.array([x for x in m.names], pa.string())
                 language = names.take(pa.array(best))
-                cols = [pc.if_else(pa.array(p > 0), language, pa.scalar(None, pa.string())), pa.array(p), pa.array(no)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "language", "probability", "rejected"])
+                cols = [pc.if_else(pa.array(p > 0), language, pa.scalar(None, pa.string())), pa.array(p), pa.array(~no)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "language", "probability", "keep"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, language string, probability double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, language string, probability double, keep boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -39,6 +39,7 @@ POLICIES = {
     "junk_v2": ["empty", "many_words", "short_words", "long_words", "symbols", "digits", "upper_case", "repeated_lines", "top_token", "few_different", "no_stop_words"],
     "strict_v1": list(RULES),
 }
+CURRENT = "junk_v2"
 
 
 def mask(policy: str) -> int:
@@ -46,10 +47,14 @@ def mask(policy: str) -> int:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """``(doc_id, failures, ...)`` with the measurements and a ``passes_`` column for each policy."""
+    """``(doc_id, failures, ...)`` with the measurements, for every row."""
     bits = " | ".join(f"IF({condition}, {1 << i}L, 0L)" for i, condition in enumerate(RULES.values()))
-    out = measured(docs).withColumn("failures", F.expr(bits))
-    return out.select("doc_id", "failures", *MEASURES, *[(F.col("failures").bitwiseAND(F.lit(mask(p))) == 0).alias(f"passes_{p}") for p in POLICIES])
+    return measured(docs).withColumn("failures", F.expr(bits)).select("doc_id", "failures", *MEASURES)
+
+
+def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """A ledger with ``keep``: whether the document passes the policy."""
+    return entries.withColumn("keep", F.col("failures").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
 def ablations(entries: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def ablations(entries: DataFrame) -> DataFrame:
 
 _FAILURES = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(RULES.values()))
 ORACLE = f"""
-SELECT doc_id, failures, {", ".join(MEASURES)}, {", ".join(f"failures & {mask(p)} = 0 AS passes_{p}" for p in POLICIES)}
+SELECT doc_id, failures, {", ".join(MEASURES)}, failures & {mask(CURRENT)} = 0 AS keep
 FROM (SELECT *, ({_FAILURES})::BIGINT AS failures FROM ({SQL}))
 """
 _POLICY_ROWS = ", ".join(f"('{p}', '{r}', {mask(p)}, {1 << list(RULES).index(r)})" for p, own in POLICIES.items() for r in own)

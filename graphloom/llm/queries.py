@@ -47,7 +47,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.ledger(table(spark, sf_dir, "documents"))
+    return ledger.apply_policy(ledger.ledger(table(spark, sf_dir, "documents")))
 
 
 def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
