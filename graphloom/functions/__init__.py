@@ -1 +1,9 @@
+"""Column functions over dotted ids and types."""
 
+from graphloom.model import ancestry, parent, short, within
+from graphloom.operators.lookup import first_line, type_tokens
+from graphloom.operators.neighbors import pervasive
+from graphloom.operators.traverse import risk
+from graphloom.sinks.symbols import escaped
+
+__all__ = ["ancestry", "escaped", "first_line", "parent", "pervasive", "risk", "short", "type_tokens", "within"]

@@ -36,18 +36,24 @@ def _parsed(df: DataFrame, spec: str) -> DataFrame:
     return df.withColumn("extras", F.struct(*[known[n].alias(n) for n in names], F.when(F.size(other) > 0, other).alias("other")))
 
 
+def _rows(fields: str) -> str:
+    return "array<struct<" + ",".join(f"{name}:{kind}" for name, kind in (f.split(" ") for f in fields.split(", "))) + ">>"
+
+
 def load(spark: SparkSession, path: str) -> PropertyGraph:
-    """A graph from its document. Of nodes that share an id the last counts; the version is checked, unknown fields of rows are refused."""
-    doc = spark.read.schema(f"codemap_schema string, graph_schema string, target string, nodes array<struct<{NODE_JSON.replace(' string', ':string').replace(' int', ':int').replace(' array', ':array').replace(' boolean', ':boolean')}>>, edges array<struct<{EDGE_JSON.replace(' string', ':string')}>>").option("multiLine", True).json(path)
-    doc = cut(doc)
-    head = doc.select(F.coalesce("graph_schema", "codemap_schema").alias("version"), "target").first()
+    """A graph from its document, whatever the name before ``_schema`` that its version goes by.
+
+    Of nodes that share an id the last counts. Another major version is refused.
+    """
+    doc = cut(spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m")))
+    head = doc.select(F.get(F.map_values(F.map_filter("m", lambda k, v: k.endswith("_schema"))), F.lit(0)).alias("version"), F.element_at("m", "target").alias("target")).first()
     if head is None or head.target is None:
         raise ValueError(f"{path} holds no graph")
     if head.version is not None and head.version.split(".")[0] != SCHEMA_VERSION.split(".")[0]:
         raise ValueError(f"schema {head.version} can't be read, this is {SCHEMA_VERSION}")
-    nodes = doc.select(F.posexplode("nodes").alias("n", "r")).select("n", "r.*")
+    nodes = doc.select(F.posexplode(F.from_json(F.element_at("m", "nodes"), _rows(NODE_JSON))).alias("n", "r")).select("n", "r.*")
     last = nodes.groupBy("id").agg(F.max_by(F.struct(*[c for c in nodes.columns if c not in ("n", "id")]), "n").alias("r")).select("id", "r.*")
-    edges = doc.select(F.posexplode("edges").alias("ord", "r")).select("ord", "r.*")
+    edges = doc.select(F.posexplode(F.from_json(F.element_at("m", "edges"), _rows(EDGE_JSON))).alias("ord", "r")).select("ord", "r.*")
     return PropertyGraph(head.target, cut(conform(_parsed(last, NODE_EXTRAS), NODES)), cut(canonical_order(conform(_parsed(edges, EDGE_EXTRAS), EDGES))))
 
 

@@ -17,7 +17,7 @@ from graphloom.sources import canonical, freshness
 def build(spark, nodes, edges, target="p"):
     """nodes: id -> kind or dict; edges: (type, source, target[, extras])."""
     rows = [{"id": i, **({"kind": n} if isinstance(n, str) else n)} for i, n in nodes.items()]
-    doc = {"codemap_schema": "0.9", "target": target, "nodes": rows, "edges": [{"type": e[0], "source": e[1], "target": e[2], "extras": e[3] if len(e) > 3 else {}} for e in edges]}
+    doc = {"graph_schema": "0.9", "target": target, "nodes": rows, "edges": [{"type": e[0], "source": e[1], "target": e[2], "extras": e[3] if len(e) > 3 else {}} for e in edges]}
     ns = spark.createDataFrame([(json.dumps(r),) for r in doc["nodes"]], "v string")
     es = spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(doc["edges"])], "v string, ord long")
     from pyspark.sql import functions as F
@@ -201,7 +201,7 @@ def small(spark):
 
 
 def test_canonical_document(spark, tmp_path):
-    doc = {"codemap_schema": "0.9", "target": "p", "nodes": [{"id": "p.b", "kind": "function", "extras": {"returns": "int", "odd": {"x": [1]}}}, {"id": "p.a", "kind": "class"}, {"id": "p.a", "kind": "module", "docstring": "é"}], "edges": [{"type": "calls", "source": "p.b", "target": "z", "extras": {"callsites": 2, "new": "v"}}, {"type": "calls", "source": "p.b", "target": "z", "extras": {}}]}
+    doc = {"other_schema": "0.9", "target": "p", "nodes": [{"id": "p.b", "kind": "function", "extras": {"returns": "int", "odd": {"x": [1]}}}, {"id": "p.a", "kind": "class"}, {"id": "p.a", "kind": "module", "docstring": "é"}], "edges": [{"type": "calls", "source": "p.b", "target": "z", "extras": {"callsites": 2, "new": "v"}}, {"type": "calls", "source": "p.b", "target": "z", "extras": {}}]}
     path = tmp_path / "g.json"
     path.write_text(json.dumps(doc))
     g = canonical.load(spark, str(path))
@@ -213,7 +213,7 @@ def test_canonical_document(spark, tmp_path):
     assert path.read_text() == once + "\n" and canonical.dumps(canonical.load(spark, str(path))) == once
     canonical.write_tables(g, str(tmp_path / "tables"))
     assert canonical.dumps(canonical.read_tables(spark, str(tmp_path / "tables"))) == once
-    path.write_text(json.dumps(doc | {"codemap_schema": "7.0"}))
+    path.write_text(json.dumps(doc | {"other_schema": "7.0"}))
     with pytest.raises(ValueError):
         canonical.load(spark, str(path))
     assert freshness.freshness(str(tmp_path / "none")) is None and freshness.freshness(str(path), now=0)["age_seconds"] == 0
