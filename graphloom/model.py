@@ -9,10 +9,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.session import cut
+
 SCHEMA_VERSION = "0.9"
 KINDS = ("module", "class", "function", "attribute", "doc", "column")
 #: Edges that say who depends on whom.
@@ -139,12 +141,15 @@ def with_root(df: DataFrame, graph: PropertyGraph, node: str, name: str = "root"
 
 
 def canonical_order(edges: DataFrame) -> DataFrame:
-    """Edges with ``ord``: by type, source, target, then as they were."""
-    from pyspark.sql import Window
-
-    # Within a type only; positions count up from the totals of the types before, which are few.
-    w = Window.partitionBy("type").orderBy("source", "target", "ord")
-    totals = edges.groupBy("type").agg(F.count("*").alias("_n"))
-    before = totals.alias("a").join(totals.alias("b"), F.col("b.type") < F.col("a.type"), "left").groupBy(F.col("a.type").alias("_type")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    out = edges.withColumn("_k", F.row_number().over(w)).join(F.broadcast(before), F.col("type") == F.col("_type"))
-    return out.withColumn("ord", F.col("_before") + F.col("_k")).drop("_k", "_before", "_type")
+    """Edges with ``ord``: their place by type, source, target, then as they were.
+
+    Ranges of that order are numbered each on its own; to each is added how many edges the ranges before it have. So no task sorts
+    all edges of a type.
+    """
+    keys = ["type", "source", "target", "ord"]
+    ranged = cut(edges.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
+    return numbered.join(before, "_range").withColumn("ord", F.col("_before") + F.col("_k")).drop("_range", "_before", "_k").select(*edges.columns)

@@ -24,8 +24,8 @@ def manifest(files: DataFrame) -> DataFrame:
 
 def profile(files: DataFrame) -> DataFrame:
     """``(role, ext, files, bytes, loc)``: by role, by extension, and the total, the other columns being null."""
-    files.createOrReplaceTempView("_graphloom_manifest")
-    return files.sparkSession.sql("SELECT role, ext, count(*) AS files, sum(bytes) AS bytes, sum(loc) AS loc FROM _graphloom_manifest GROUP BY GROUPING SETS ((role), (ext), ())")
+    sets = files.groupingSets([[F.col("role")], [F.col("ext")], []], F.col("role"), F.col("ext"))
+    return sets.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum("loc").alias("loc"))
 
 
 def largest(files: DataFrame, limit: int = 10) -> DataFrame:
