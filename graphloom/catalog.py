@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.extract.build import extract_files
 from graphloom.model import PropertyGraph
 from graphloom.operators import communities, locate, lookup, manifest, neighbors, review, structure, traverse
 from graphloom.plans.projection import TABLES, project
@@ -229,6 +230,31 @@ query("SELECT root, list_sort(list(module)) AS modules FROM lay WHERE module <>
 query("SELECT 'imported' AS resolution, count(*) AS n FROM calls HAVING count(*) > 0", name="calls_by_resolution")(structure.calls_by_resolution)
 
 
+query("SELECT source, target FROM dref", name="doc_references")(lambda g: g.pairs("references"))
+
+
+def _sample(spark: SparkSession) -> PropertyGraph:
+    """The graph of a small package, from its text."""
+    files = {
+        "shop/__init__.py": "from shop.parts import One as First\n__all__ = ['First']\n",
+        "shop/registry.py": "from typing import Protocol\n\nclass PartStrategy(Protocol):\n    def work(self) -> int: ...\n\nclass Registry:\n    def register_part(cls, name): ...\n    def get_part(cls, name): ...\n",
+        "shop/parts.py": "from shop.registry import Registry\n\n@Registry.register_part('one')\nclass One:\n    def work(self) -> int:\n        row = {'total': 1}\n        row['out'] = row['in']\n        return self.help(row, flag=True)\n\n    def help(self, row, flag=False):\n        return len(row)\n",
+        "shop/user.py": "from shop.registry import Registry\n\ndef exact():\n    return Registry.get_part('one')\n",
+    }
+    return extract_files(spark.createDataFrame(list(files.items()), "path string, text string"), "shop")
+
+
+@on_tables("SELECT * FROM (VALUES ('calls', 'shop.parts.One.work', 'shop.parts.One.help'), ('calls', 'shop.user.exact', 'shop.parts.One'), ('calls', 'shop.user.exact', 'shop.registry.Registry.get_part'), ('export', 'shop', 'shop.parts.One'), ('export', 'shop.parts', 'shop.registry.Registry'), ('export', 'shop.user', 'shop.registry.Registry'), ('implements', 'shop.parts.One', 'shop.registry.PartStrategy'), ('imports', 'shop', 'shop.parts'), ('imports', 'shop.parts', 'shop.registry'), ('imports', 'shop.user', 'shop.registry'), ('inherits', 'shop.registry.PartStrategy', 'typing.Protocol'), ('reads', 'shop.parts.One.work', 'column:in'), ('writes', 'shop.parts.One.work', 'column:out'), ('writes', 'shop.parts.One.work', 'column:total')) t(type, source, target)")
+def extract_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction, from source text to edges; the expected rows are written down, as no table holds code."""
+    return _sample(spark).edges.where("type not in ('contains', 'decorated_by')").select("type", "source", "target")
+
+
+@on_tables("SELECT 3::BIGINT AS n_out, 2::BIGINT AS n_resolved, 1::BIGINT AS n_external, 0::BIGINT AS n_unresolved, 0::BIGINT AS n_dynamic")
+def behavior_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.coverage(_sample(spark))
+
+
 # -- places and review --------------------------------------------------------
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import os
-import subprocess
 import sys
 from pathlib import Path
 
@@ -18,6 +17,7 @@ from graphloom.operators import locate, manifest, review
 from graphloom.service.session import Session
 from graphloom.sinks import rag, symbols, text
 from graphloom.sources import canonical, freshness
+from graphloom.sources.git import state
 
 
 def _spark() -> SparkSession:
@@ -34,20 +34,12 @@ def scope(spark: SparkSession, core: str, consumers: tuple[str, ...] = (), docs:
         every = every.union(p)
     files = manifest.manifest(every).cache()
 
-    def git(*args: str) -> str | None:
-        try:
-            r = subprocess.run(["git", "-C", core, *args], capture_output=True, text=True, timeout=30)
-        except (OSError, subprocess.TimeoutExpired):
-            return None
-        return r.stdout.strip() if r.returncode == 0 else None
-
-    commit = git("rev-parse", "HEAD")
     return {
         "scope_id": manifest.scope_id(files).first().scope_id,
         "root": str(Path(core).resolve().parent),
         "profile": [r.asDict() for r in manifest.profile(files).collect()],
         "largest": [r.asDict() for r in manifest.largest(files).collect()],
-        "git": {"commit": commit, "ref": git("rev-parse", "--abbrev-ref", "HEAD"), "dirty": bool(git("status", "--porcelain"))} if commit else None,
+        "git": state(core, (".",)),
         "files": [r.asDict() for r in files.orderBy("path").collect()],
     }
 
@@ -85,7 +77,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--symbol")
     c.add_argument("--depth", type=int, default=2)
     c = command("export")
-    c.add_argument("view", choices=["rag", "mermaid", "vault", "docs", "symbols"])
+    c.add_argument("view", choices=["rag", "mermaid", "vault", "docs", "symbols", "index"])
     c.add_argument("-o", "--output")
     c.add_argument("--kind", default="class")
     c.add_argument("--scope")
@@ -151,6 +143,8 @@ def run(argv: list[str]) -> int:
                 path = Path(args.output or "vault") / r.path
                 path.parent.mkdir(parents=True, exist_ok=True)
                 path.write_text(r.content, encoding="utf-8")
+        elif args.view == "index":
+            symbols.write_index(graph, args.output or "index.scip", os.getcwd())
         else:
             rows = rag.json_lines(graph).orderBy("id").select("value") if args.view == "rag" else symbols.index(graph).orderBy("file", "symbol").select(F.to_json(F.struct("*")).alias("value"))
             _emit("".join(r.value + "\n" for r in rows.toLocalIterator()), args.output)

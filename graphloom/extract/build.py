@@ -111,8 +111,12 @@ def extract(spark: SparkSession, package: str, deep: bool = False) -> PropertyGr
         raise NotImplementedError("calls are resolved by name only; type inference needs an analyser that isn't part of this package")
     if "://" not in package and not Path(package).is_dir():
         raise NotADirectoryError(f"not a package's folder: {package}")
-    target = package.rstrip("/").rpartition("/")[2]
-    facts = cut(_facts(sources(spark, package, "*.py"), _core_worker))
+    return extract_files(sources(spark, package, "*.py"), package.rstrip("/").rpartition("/")[2])
+
+
+def extract_files(files: DataFrame, target: str) -> PropertyGraph:
+    """The graph of a package whose files are rows ``(path, text)``, the paths beginning with the package's name."""
+    facts = cut(_facts(files, _core_worker))
     of = lambda fact: facts.where(F.col("fact") == fact)
     edges: list[DataFrame] = []
 

@@ -264,3 +264,45 @@ def test_exports(small):
             bad()
     found = {r.symbol.split(" ")[-1]: (r.start, r.end, r.language) for r in symbols.index(small).collect()}
     assert found["p/m/C#"] == (0, 8, "Python") and found["p/m/C#f()."] == (1, 3, "Python")
+
+
+def test_index_in_protocol_buffers(small, tmp_path):
+    symbols.write_index(small, str(tmp_path / "i"), "/x")
+
+    def fields(raw):
+        i, out = 0, []
+        while i < len(raw):
+            key, i = number(raw, i)
+            value, i = number(raw, i)
+            if key & 7 == 2:
+                value, i = raw[i : i + value], i + value
+            out.append((key >> 3, value))
+        return out
+
+    def number(raw, i):
+        n = shift = 0
+        while True:
+            n |= (raw[i] & 127) << shift
+            shift += 7
+            i += 1
+            if raw[i - 1] < 128:
+                return n, i
+
+    top = fields((tmp_path / "i").read_bytes())
+    docs = [fields(v) for f, v in top if f == 2]
+    assert [dict(d)[1] for d in docs] == [b"p/__init__.py", b"p/m.py"] and dict(docs[1])[4] == b"Python"
+    own = [dict(fields(v)) for f, v in docs[1] if f == 3]
+    assert {o[1].split()[-1]: o.get(5) for o in own} == {b"p/m/": 29, b"p/m/C#": 7, b"p/m/C#f().": 26}
+    places = {dict(fields(v))[2].split()[-1]: dict(fields(v)) for f, v in docs[1] if f == 2}
+    assert dict(fields(places[b"p/m/C#f()."][8])) == {1: 1} and dict(fields(places[b"p/m/C#f()."][11])) == {1: 1, 3: 3}
+
+
+def test_git_lists_files(spark, tmp_path):
+    from graphloom.sources import git
+
+    if git.git(str(tmp_path), "init") is None:
+        pytest.skip("no git here")
+    (tmp_path / "a b.py").write_text("x")
+    git.git(str(tmp_path), "add", ".")
+    assert [r.path for r in git.tracked(spark, str(tmp_path)).collect()] == ["a b.py"] and len(git.tracked(spark, str(tmp_path)).first().blob) == 40
+    assert git.state(str(tmp_path)) is None or git.state(str(tmp_path))["dirty"]
