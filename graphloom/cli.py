@@ -83,7 +83,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--scope")
     c.add_argument("--root")
     c.add_argument("--depth", type=int, default=2)
-    command("review").add_argument("diff", nargs="?", default="-")
+    c = command("review")
+    c.add_argument("diff", nargs="?", default="-")
+    c.add_argument("--format", choices=["md", "json"], default="md")
     command("serve").add_argument("--source-root")
     command("refresh", graph=False).add_argument("graph")
     return p
@@ -152,8 +154,12 @@ def run(argv: list[str]) -> int:
         diff = sys.stdin.read() if args.diff == "-" else Path(args.diff).read_text(encoding="utf-8")
         lines = spark.createDataFrame([("-", i, x) for i, x in enumerate(diff.splitlines())], "diff string, n int, line string")
         hunks = locate.diff_hunks(lines).select("file", "start", "end")
-        rows = review.review(graph, hunks).orderBy(F.desc("score"), "symbol").collect()
-        _emit("".join(json.dumps(r.asDict(True), ensure_ascii=False) + "\n" for r in rows), None)
+        found = review.review(graph, hunks)
+        if args.format == "json":
+            rows = found.orderBy(F.desc("score"), "symbol").collect()
+            _emit("".join(json.dumps(r.asDict(True), ensure_ascii=False) + "\n" for r in rows), None)
+        else:
+            _emit(text.review(found, review.unresolved_hunks(graph, hunks)), None)
     else:
         Session(graph, args.source_root, args.graph).serve(sys.stdin, sys.stdout)
     return 0

@@ -171,6 +171,18 @@ def impact(graph: PropertyGraph, symbol: str, depth: int = 2) -> str:
     return "\n".join(out)
 
 
+def review(dossiers: DataFrame, unresolved: DataFrame | None = None) -> str:
+    """The dossiers of a change, riskiest first."""
+    rows = dossiers.orderBy(F.desc("score"), "symbol").collect()
+    out = ["# Review", "", f"{len(rows)} symbols changed, {sum(r.risk == 'high' for r in rows)} of them at high risk.", ""]
+    for r in rows:
+        facts = [f"score {r.score}", f"{r.n_callers} callers", f"{r.n_contract} places of call to check when its signature changes", f"{r.n_external} references from outside the core"]
+        keys = [f"{how} {', '.join(k)}" for how, k in (("reads", r.reads), ("writes", r.writes)) if k]
+        out += [f"## `{r.symbol}`: {r.risk}", "", *_bullets(facts + keys), ""]
+    lost = [f"{r.file}, lines {r.start} to {r.end}" for r in unresolved.orderBy("file", "start").collect()] if unresolved is not None else []
+    return "\n".join(out + (["## Places without a symbol", "", *_bullets(lost), ""] if lost else []))
+
+
 def subsystems(graph: PropertyGraph) -> str:
     groups = sorted(communities.communities(graph).collect(), key=lambda r: (-r.size, r.modules[0]))
     out = [f"# Subsystems of `{graph.target}`", ""]

@@ -57,7 +57,8 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["export", "vault", "--graph", out, "-o", str(tmp_path / "v")]) == 0 and (tmp_path / "v/pk.a.md").exists()
     (tmp_path / "d.diff").write_text("+++ b/pk/a.py\n@@ -1 +5,1 @@\n")
     capsys.readouterr()
-    assert cli.main(["review", str(tmp_path / "d.diff"), "--graph", out]) == 0 and json.loads(capsys.readouterr().out)["symbol"] == "pk.a.g"
+    assert cli.main(["review", str(tmp_path / "d.diff"), "--graph", out]) == 0 and "## `pk.a.g`: " in capsys.readouterr().out
+    assert cli.main(["review", str(tmp_path / "d.diff"), "--graph", out, "--format", "json"]) == 0 and json.loads(capsys.readouterr().out)["symbol"] == "pk.a.g"
     assert cli.main(["scope", package, "-o", str(tmp_path / "s.json")]) == 0 and cli.main(["scope", package, "--diff", str(tmp_path / "s.json")]) == 0
     (tmp_path / "pk/a.py").write_text("x = 1\n")
     capsys.readouterr()
