@@ -1,7 +1,8 @@
 """Redaction of personal data and secrets by candidate gradient boosting.
 
 Generators of high recall propose spans, which may overlap: anything like an e-mail address, an IP address, a telephone number, a
-payment card, a bank account, a social security number or a secret key. Boosted trees judge each by features of its format (digits,
+payment card, a bank account, a social security number or a secret key. Of digits next to each other, every run of whole groups that
+has a kind's shape is proposed, so that a number is found beside a date or another number. Boosted trees judge each by features of its format (digits,
 check sums, octets, separators, entropy) and of its context (the characters on either side, words before it). They are fitted on
 made-up examples, true ones and look-alikes (numbers of orders, versions, dates, failed check sums, hashes), as no labelled text
 exists; a held-out half calibrates the probabilities and gives each kind the lowest threshold at which its precision is ``PRECISION``.
@@ -17,6 +18,7 @@ there, ``n_chars``; ``redactions`` ignores other columns. Starts and ends count
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
 import re
 from collections.abc import Iterator
@@ -31,19 +33,19 @@ from graphloom.llm import boosting
 from graphloom.llm.textkit import chunks, lowered
 
 PRECISION = 0.99
+LEAST = 0.2
 KINDS = ["EMAIL", "IP", "PHONE", "CARD", "BANK", "SSN", "SECRET"]
 GENERATORS = [
     ("EMAIL", re.compile(r"[^\s@<>\"'(),;:\[\]#*%&$!|]+@[\w-]+(?:\.[\w-]+)*")),
     ("IP", re.compile(r"\d+(?:\.\d+){3,}")),
     ("IP", re.compile(r"(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4}")),
-    ("PHONE", re.compile(r"\+?\(?\d(?:[ ./()-]{0,2}\d){6,16}")),
-    ("PHONE", re.compile(r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}")),
-    ("CARD", re.compile(r"\d(?:[ -]?\d){12,}")),
-    ("CARD", re.compile(r"(?<!\d)\d{13,19}(?!\d)")),
-    ("BANK", re.compile(r"[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?")),
-    ("SSN", re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}")),
+    ("IP", re.compile(r"(?<![^\W_])(?=((?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4})(?![^\W_]))")),
+    *[("BANK", re.compile(rf"(?=([A-Za-z]{{2}}\d{{2}}(?: ?[A-Za-z0-9]{{4}}){{{n}}}{tail})(?![A-Za-z0-9]))")) for n in range(2, 8) for tail in ("", " ?[A-Za-z0-9]{1,3}")],
+    ("SSN", re.compile(r"(?<!\d)(?=(\d{3}[- ]\d{2}[- ]\d{4})(?!\d))")),
     ("SECRET", re.compile(r"[A-Za-z0-9_+/=-]{16,}")),
 ]
+#: Kinds made of whole groups of digits: how many digits, and what may stand between two groups.
+GROUPS = [("PHONE", 7, 17, re.compile(r"[ ./()-]{1,2}")), ("CARD", 13, 19, re.compile(r"[ -]"))]
 HINTS = [
     re.compile(p, re.IGNORECASE)
     for p in (r"mail|contact|write", r"tel|phone|call|fax|mobil|handy", r"\bip\b|server|host|addr", r"card|visa|master|credit|karte|tarjeta", r"token|secret|passw|api|key|bearer|auth|pwd", r"ssn|social", r"iban|account|bank|konto", r"\bv\b|vers|release|build", r"order|invoice|ref|isbn|article|page|\bid\b|\bno\b|serial", r"commit|hash|sha|md5|uuid|digest|checksum", r"[=:] *[\"']?$")
@@ -71,6 +73,7 @@ def describe(kind: int, text: str, start: int, end: int) -> list[float]:
     digits = re.sub(r"\D", "", t)
     parts = t.split(".")
     octets = kind == 1 and ":" not in t and len(parts) == 4 and all(p.isdigit() and int(p) < 256 and str(int(p)) == p for p in (q[:4] for q in parts))
+    groups, separators = re.findall(r"\d+", t), re.sub(r"[^\W_]", "", t)
     letters = sum(c.isalpha() for c in t)
     domain = t.rpartition("@")[2].split(".")
     top = len(domain) > 1 and domain[-1].isalpha() and 2 <= len(domain[-1]) <= 24
@@ -81,15 +84,34 @@ def describe(kind: int, text: str, start: int, end: int) -> list[float]:
         *[float(kind == k) for k in range(len(KINDS))],
         float(len(s)), float(len(digits)), float(letters), len(digits) / len(t), float(sum(c in "0123456789abcdefABCDEF" for c in t) / len(t)),
         float(-(share * np.log2(share)).sum()), float(kind == 3 and luhn(digits)), float(kind == 3 and (digits[0] in "456" or digits[:2] in ("34", "35", "36", "37", "38", "22", "23", "24", "25", "26", "27"))), float(octets), float(len(parts)), float(t.count(":")), float(top), float(any(c.isalnum() for c in local)), float(t.count("@")),
-        float(t.startswith("+")), float("(" in t and ")" in t), float(sum(c in " .-/" for c in t)), float(len(re.findall(r"\d+", t))), float(max(map(len, re.findall(r"\d+", t)), default=0)), float(kind == 4 and iban(t)), float(t.count("-")), float(any(c.isupper() for c in t) and any(c.islower() for c in t)),
+        float(t.startswith("+")), float("(" in t and ")" in t), float(sum(c in " .-/" for c in t)), float(len(groups)), float(max(map(len, groups), default=0)), float(kind == 4 and iban(t)), float(t.count("-")), float(any(c.isupper() for c in t) and any(c.islower() for c in t)),
         _side(text[start - 1 : start]), _side(text[end : end + 1]), float(before.rstrip(" ")[-1:] in "\"'" and bool(before)), float(bool(re.match(r"(19|20)\d\d[-./]\d\d?[-./]\d\d?", t))), float(digits[:3] in ("000", "666") or digits[:1] == "9"),
+        float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0), float(min(map(len, groups), default=0)), float(len(set(separators))), float(kind == 3 and len(digits) in (13, 14, 15, 16, 19)), float(kind == 3 and (len(groups) == 1 or [*map(len, groups)] == [4, 6, 5] or all(len(g) == 4 for g in groups[:-1]) and len(groups[-1]) <= 4)), float(bool(re.search(r"\d[ ./()+-]{1,3}$", before))), float(bool(re.match(r"[ ./()+-]{1,3}\d", text[end : end + 4]))), float(bool(re.search(r"[A-Za-z]{2}\d\d(?: ?[A-Za-z0-9]{4})* ?$", before))), float(bool(re.search(r"\d\d?[-./]\d\d?[-./]\d{2,4}|\d{4}[-./]\d\d?[-./]\d\d?", t))),
         *[float(bool(h.search(before))) for h in HINTS],
     ]
 
 
+def _digit_runs(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of every run of whole groups of digits with as many digits as a kind of GROUPS has."""
+    groups = [m.span() for m in re.finditer(r"\d+", text)]
+    for kind, low, high, gap in GROUPS:
+        joined = [len(between) <= 2 and gap.fullmatch(between) is not None for between in (text[a:b] for (_, a), (b, _) in zip(groups, groups[1:]))]
+        for i, (start, _) in enumerate(groups):
+            starts, digits = [start], 0
+            if kind == "PHONE":  # with and without a bracket and a plus before it
+                starts += [start - len(x) for x in ("(", "+", "+(") if text.endswith(x, 0, start)]
+            for j in range(i, len(groups)):
+                digits += groups[j][1] - groups[j][0]
+                if digits > high or j > i and not joined[j - 1]:
+                    break
+                if digits >= low:
+                    yield from ((kind, a, groups[j][1]) for a in starts)
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end); spans of different kinds may overlap."""
-    return sorted({(KINDS.index(kind), m.start(), m.end()) for kind, pattern in GENERATORS for m in pattern.finditer(text)})
+    """(kind, start, end); spans may overlap, of one kind too."""
+    found = [(kind, *m.span(m.lastindex or 0)) for kind, pattern in GENERATORS for m in pattern.finditer(text)]
+    return sorted({(KINDS.index(kind), a, b) for kind, a, b in [*found, *_digit_runs(text)]})
 
 
 def _examples(random: np.random.Generator, n: int) -> list[tuple[str, str | None, int, int]]:
@@ -100,6 +122,8 @@ def _examples(random: np.random.Generator, n: int) -> list[tuple[str, str | None
     hexa = lambda k: "".join(random.choice(list("0123456789abcdef"), k))
     alnum = lambda k: "".join(random.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), k))
 
+    unlike = lambda k: next(s for s in iter(lambda: num(k), "") if not luhn(s))  # noqa: E731  what passes by chance is no look-alike
+
     def card(good: bool) -> str:
         k = pick(15, 16, 16, 16, 16, 13, 19)
         lead = pick("4", "4", "4", "51", "53", "55", "34", "37", "6011", "65", "2221", "2500", "36", "35") if good else pick("", "", "4", "5", "6", "0", "1", "7", "8", "9")
@@ -138,10 +162,10 @@ def _examples(random: np.random.Generator, n: int) -> list[tuple[str, str | None
             else:
                 s, hint = pick((f"{octet()}.{octet()}.{octet()}.{int(random.integers(256, 1000))}", pick("", "server ")), (f"{int(random.integers(256, 1000))}.{octet()}.{octet()}.{octet()}", ""), (f"{ip()}.{octet()}", ""), (".".join(num(1) for _ in range(4)), pick("version ", "v ", "release ")), (f"0{num(2)}.{octet()}.{octet()}.0{num(1)}", ""), (f"{num(2)}:{num(2)}:{num(2)}:{num(2)}", ""))
         elif kind == "PHONE":
-            s = phone() if good else pick(num(8), num(10), num(14), f"20{num(2)}-0{num(1)}-1{num(1)}", f"20{num(2)}-0{num(1)}-1{num(1)} 10", f"{num(2)} {num(3)} {num(3)}", f"{num(4)}-{num(4)}", f"{num(1)}-{num(5)}-{num(3)}-{num(1)}", f"{num(7)}", f"{num(16)}", f"{num(3)}/{num(2)}/{num(4)}")
+            s = phone() if good else pick(num(8), num(10), unlike(14), f"20{num(2)}-0{num(1)}-1{num(1)}", f"20{num(2)}-0{num(1)}-1{num(1)} 10", f"{num(2)} {num(3)} {num(3)}", f"{num(4)}-{num(4)}", f"{num(1)}-{num(5)}-{num(3)}-{num(1)}", f"{num(7)}", f"{unlike(16)}", f"{num(3)}/{num(2)}/{num(4)}")
             hint = pick("", "", "tel. ", "call ", "phone: ") if good else pick("", "", "order ", "invoice no ", "isbn ")
         elif kind == "CARD":
-            s = card(good) if good or random.random() < 0.8 else pick(num(20), num(24), num(13), num(14))
+            s = card(good) if good or random.random() < 0.8 else pick(num(20), num(24), unlike(13), unlike(14))
             hint = pick("", "", "", "card ", "visa: ") if good else pick("", "", "", "order ", "serial ", "ref ")
         elif kind == "BANK":
             s = bank(good)
@@ -156,7 +180,7 @@ def _examples(random: np.random.Generator, n: int) -> list[tuple[str, str | None
             if good:
                 hint = lead + quote
             else:
-                s, hint = pick((hexa(40), pick("commit ", "sha ", "hash: ", "")), (hexa(64), pick("digest ", "checksum ", "")), (f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", pick("uuid ", "id ", "")), (f"{word(9, 12)}{word(9, 12)}{num(1)}", ""), (f"{word()}-{word()}-{word()}-{num(2)}", ""), (num(18), ""), ("-" * 20 + num(1), ""), (word(8, 9) + "_" + word(8, 9) + num(1), lead))
+                s, hint = pick((hexa(40), pick("commit ", "sha ", "hash: ", "")), (hexa(64), pick("digest ", "checksum ", "")), (f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", pick("uuid ", "id ", "")), (f"{word(9, 12)}{word(9, 12)}{num(1)}", ""), (f"{word()}-{word()}-{word()}-{num(2)}", ""), (unlike(18), ""), ("-" * 20 + num(1), ""), (word(8, 9) + "_" + word(8, 9) + num(1), lead))
         if random.random() < 0.15:
             s, hint = s.upper(), hint.upper()
         head = " ".join(word() for _ in range(int(random.integers(0, 5))))
@@ -164,11 +188,26 @@ def _examples(random: np.random.Generator, n: int) -> list[tuple[str, str | None
         if good and random.random() < 0.05:
             head = (head + " " + num(16)).strip()
             start = f"{head} {hint}"
+        digits = lambda: pick(num(2), num(3), num(4), f"20{num(2)}-0{num(1)}-1{num(1)}", f"0{num(1)}/2{num(1)}", f"{num(2)}.{num(2)}.20{num(2)}", s, s, s)
+        if good and kind != "SECRET" and random.random() < 0.25:  # other digits stand next to it
+            start += f"{pick('', '', 'id ', 'order ', 'no ')}{digits()} "
         tail = pick("", "", " ", ".", ",", '"', "###", "!!", "%%%", "$$$", "***", ")", ";") + " " + " ".join(word() for _ in range(int(random.integers(0, 4))))
+        if good and kind != "SECRET" and random.random() < 0.25:
+            tail = f" {digits()}" + tail
         out.append((start + s + tail, kind if good else None, len(start), len(start) + len(s)))
     return out
 
 
+def settled(found: list[tuple[int, int, int]], p: np.ndarray, least: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(start, end, kind, probability), in order, of one text's candidates that reach their kind's least probability and win overlaps."""
+    taken: list[tuple[int, int, int, float]] = []
+    for q, a, b, k in sorted(((float(q), a, b, k) for q, (k, a, b) in zip(p, found) if q >= least[k]), key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
+        i = bisect.bisect_left(taken, (a,))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+            taken.insert(i, (a, b, k, q))
+    return taken
+
+
 @dataclasses.dataclass
 class Model:
     trees: boosting.Trees
@@ -179,20 +218,20 @@ class Model:
         found = candidates(text)
         if not found:
             return []
-        p = self.trees.probability(np.array([describe(k, text, a, b) for k, a, b in found]))
-        taken: list[tuple[int, int, int, float]] = []
-        for q, a, b, k in sorted(((float(q), a, b, k) for q, (k, a, b) in zip(p, found) if q >= self.thresholds[k]), key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
-            if all(b <= c or a >= d for c, d, *_ in taken):
-                taken.append((a, b, k, q))
-        return sorted(taken)
+        return settled(found, self.trees.probability(np.array([describe(k, text, a, b) for k, a, b in found])), self.thresholds)
+
+
+def _own(example: tuple[str, str | None, int, int]) -> list[tuple[int, int, int]]:
+    """The candidates that overlap the example's span."""
+    text, _, start, end = example
+    return [(k, a, b) for k, a, b in candidates(text) if b > start and a < end]
 
 
 def _rows(examples: list[tuple[str, str | None, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x, y, kinds = [], [], []
-    for text, kind, start, end in examples:
-        for k, a, b in candidates(text):
-            if b <= start or a >= end:
-                continue
+    for example in examples:
+        text, kind, start, end = example
+        for k, a, b in _own(example):
             x.append(describe(k, text, a, b))
             y.append(float(kind is not None and KINDS[k] == kind and (a, b) == (start, end)))
             kinds.append(k)
@@ -202,15 +241,23 @@ def _rows(examples: list[tuple[str, str | None, int, int]]) -> tuple[np.ndarray,
 def train(examples: int = 7000, seed: int = 11) -> Model:
     random = np.random.default_rng(seed)
     trees = boosting.fit(*_rows(_examples(random, examples))[:2], trees=90, depth=4, rate=0.25)
-    x, y, kinds = _rows(_examples(random, examples // 2))
+    held = _examples(random, examples // 2)
+    x, y, kinds = _rows(held)
     boosting.calibrate(trees, x, y)
-    p, thresholds = trees.probability(x), np.full(len(KINDS), 0.5)
+    p, thresholds, least = trees.probability(x), np.full(len(KINDS), 0.5), np.full(len(KINDS), LEAST)
+    won, at = np.zeros(len(p), bool), 0  # precision is that of the spans left when overlaps are settled
+    for example in held:
+        found = _own(example)
+        winners = {(k, a, b) for a, b, k, _ in settled(found, p[at : at + len(found)], least)}
+        won[at : at + len(found)] = [c in winners for c in found]
+        at += len(found)
     for k in range(len(KINDS)):
-        q, t = p[kinds == k], y[kinds == k]
+        q, t = p[won & (kinds == k)], y[won & (kinds == k)]
         order = np.argsort(-q, kind="stable")
         right = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
-        if (good := np.flatnonzero(right >= PRECISION)).size:
-            thresholds[k] = max(0.2, float(q[order][good[-1]]))
+        if (good := np.flatnonzero(right >= PRECISION)).size:  # between the last span that passes and the next one
+            i = good[-1]
+            thresholds[k] = (q[order][i] + q[order][i + 1]) / 2 if i + 1 < len(q) else LEAST
     return Model(trees, thresholds)
 
 

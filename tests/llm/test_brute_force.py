@@ -257,6 +257,24 @@ def test_pii_on_held_out_examples():
     assert pii.replaced(text, [(a, b, pii.KINDS[k], p) for a, b, k, p in model.spans(text)]) == "card [CARD], order 4111111111111112, at [IP] or 10.1.2.300, [PHONE]"
 
 
+def test_pii_next_to_other_digits():
+    """Recall is over true spans: one that is never proposed counts as missed."""
+    texts = [
+        ("pay with 4111 1111 1111 1111 12/27 ok", [("4111 1111 1111 1111", "CARD")]),
+        ("on 2024-01-15 555-123-4567 ok", [("555-123-4567", "PHONE")]),
+        ("id 42 555-123-4567 ok", [("555-123-4567", "PHONE")]),
+        ("x 4111 1111 1111 1111 5500 0055 5555 5559 y", [("4111 1111 1111 1111", "CARD"), ("5500 0055 5555 5559", "CARD")]),
+        ("call 212-555-0143 646-555-0177 now", [("212-555-0143", "PHONE"), ("646-555-0177", "PHONE")]),
+        ("pay to ES91 2100 0418 4502 0005 1332 from 2024", [("ES91 2100 0418 4502 0005 1332", "BANK")]),
+    ]
+    model = pii.train()
+    for text, true in texts:
+        assert {(s, k) for s, k in true} <= {(text[a:b], pii.KINDS[k]) for k, a, b in pii.candidates(text)}
+        assert [(text[a:b], pii.KINDS[k]) for a, b, k, _ in model.spans(text)] == true
+    own = [e for e in pii._examples(np.random.default_rng(99), 1500) if e[1]]
+    assert sum((a, b, kind) in {(s, e, pii.KINDS[k]) for s, e, k, _ in model.spans(text)} for text, kind, a, b in own) / len(own) > 0.96
+
+
 def test_pii_windows_miss_nothing():
     model = pii.train(examples=2500)
     random.seed(7)
