@@ -2,7 +2,7 @@
 
 Generators of high recall propose spans, which may overlap: anything like an e-mail address, an IP address, a telephone number, a
 payment card, a bank account, a social security number or a secret key. Of digits next to each other, every run of whole groups that
-has a kind's shape is proposed, so that a number is found beside a date or another number. Boosted trees judge each by features of its format (digits,
+has a kind's shape is proposed, so that a number is found beside a date or another number; of NAME=key, the key too. Boosted trees judge each by features of its format (digits,
 check sums, octets, separators, entropy) and of its context (the characters on either side, words before it). They are fitted on
 made-up examples, true ones and look-alikes (numbers of orders, versions, dates, failed check sums, hashes), as no labelled text
 exists; a held-out half calibrates the probabilities and gives each kind the lowest threshold at which its precision is ``PRECISION``.
@@ -43,6 +43,8 @@ GENERATORS = [
     *[("BANK", re.compile(rf"(?=([A-Za-z]{{2}}\d{{2}}(?: ?[A-Za-z0-9]{{4}}){{{n}}}{tail})(?![A-Za-z0-9]))")) for n in range(2, 8) for tail in ("", " ?[A-Za-z0-9]{1,3}")],
     ("SSN", re.compile(r"(?<!\d)(?=(\d{3}[- ]\d{2}[- ]\d{4})(?!\d))")),
     ("SECRET", re.compile(r"[A-Za-z0-9_+/=-]{16,}")),
+    ("SECRET", re.compile(r"(?<![A-Za-z0-9_+/-])(?:[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?|[A-Za-z0-9_+/-]{15}=(?![A-Za-z0-9_+/=-])|[A-Za-z0-9_+/-]{14}==(?![A-Za-z0-9_+/=-]))")),
+    ("SECRET", re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]+=+([A-Za-z0-9_+/-][A-Za-z0-9_+/=-]{15,})")),
 ]
 #: Kinds made of whole groups of digits: how many digits, and what may stand between two groups.
 GROUPS = [("PHONE", 7, 17, re.compile(r"[ ./()-]{1,2}")), ("CARD", 13, 19, re.compile(r"[ -]"))]
@@ -174,13 +176,13 @@ def _examples(random: np.random.Generator, n: int) -> list[tuple[str, str | None
             s = f"{pick('1', '2', '3', '4', '5', '7')}{num(2)}-{num(2)}-{num(4)}" if good else pick(f"9{num(2)}-{num(2)}-{num(4)}", f"000-{num(2)}-{num(4)}", f"{num(3)}-{num(2)}-{num(4)}-{num(3)}", f"{num(2)}{num(3)}-{num(2)}-{num(4)}")
             hint = pick("", "", "ssn ", "social security: ") if good else pick("", "order ", "serial ")
         else:
-            s = pick(hexa(40), hexa(32), hexa(64), alnum(20), alnum(32), alnum(40), "AKIA" + alnum(16).upper(), "ghp_" + alnum(36), "sk-" + alnum(32))
+            s = pick(hexa(40), hexa(32), hexa(64), alnum(20), alnum(32), alnum(40), alnum(38) + "==", "AKIA" + alnum(16).upper(), "ghp_" + alnum(36), "sk-" + alnum(32))
             quote = pick("", '"', "'")
-            lead = pick("token", "api_key", "secret", "password", "access key", "auth", "bearer") + pick(" = ", "=", ": ", " ")
+            lead = pick("token", "api_key", "secret", "password", "access key", "auth", "bearer", "SECRET_KEY", "aws_secret_access_key") + pick(" = ", "=", ": ", " ")
             if good:
                 hint = lead + quote
             else:
-                s, hint = pick((hexa(40), pick("commit ", "sha ", "hash: ", "")), (hexa(64), pick("digest ", "checksum ", "")), (f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", pick("uuid ", "id ", "")), (f"{word(9, 12)}{word(9, 12)}{num(1)}", ""), (f"{word()}-{word()}-{word()}-{num(2)}", ""), (unlike(18), ""), ("-" * 20 + num(1), ""), (word(8, 9) + "_" + word(8, 9) + num(1), lead))
+                s, hint = pick((hexa(40), pick("commit ", "sha ", "hash: ", "commit=", "")), (hexa(64), pick("digest ", "checksum ", "sha256=", "")), (f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", pick("uuid ", "id ", "")), (f"{word(9, 12)}{word(9, 12)}{num(1)}", ""), (f"{word()}-{word()}-{word()}-{num(2)}", ""), (unlike(18), ""), ("-" * 20 + num(1), ""), (word(8, 9) + "_" + word(8, 9) + num(1), lead))
         if random.random() < 0.15:
             s, hint = s.upper(), hint.upper()
         head = " ".join(word() for _ in range(int(random.integers(0, 5))))

@@ -275,6 +275,15 @@ def test_pii_next_to_other_digits():
     assert sum((a, b, kind) in {(s, e, pii.KINDS[k]) for s, e, k, _ in model.spans(text)} for text, kind, a, b in own) / len(own) > 0.96
 
 
+def test_pii_secrets_after_a_name():
+    model = pii.train()
+    for key in ("sk-Zq3Rt8Lm1Xv6Bn0Kp5Ws9Yd2Hf7Jc4Ga", "3f786850e387550fdab836ed7e6dc881", "Zq3Rt8Lm1Xv6Bn0Kp5Ws9Yd2Hf7Jc4GaQe8Uo1=="):
+        for name in ("API_KEY", "token", "aws_secret_access_key"):
+            text = f"see {name}={key} ok"
+            assert (pii.KINDS.index("SECRET"), text.index(key), text.index(key) + len(key)) in pii.candidates(text)
+            assert pii.replaced(text, [(a, b, pii.KINDS[k], p) for a, b, k, p in model.spans(text)]) == f"see {name}=[SECRET] ok"
+
+
 def test_pii_windows_miss_nothing():
     model = pii.train(examples=2500)
     random.seed(7)
