@@ -9,7 +9,8 @@ exists; a held-out half calibrates the probabilities and gives each kind the low
 Of the spans that pass, overlapping ones are settled in favour of the more probable, then longer, then earlier. Each is replaced by
 its kind in square brackets.
 
-Whole texts are searched: every generator needs a digit or an @, so only the words around those are looked at, of whatever length.
+Whole texts are searched: every generator needs a digit, an @, three colons close together or a run of 16 bytes that a key may hold, so
+only the words around those are looked at, of whatever length.
 
 Defined results: a null text stays null and has no spans; empty texts, texts without spans and rows without doc_id are left as they
 are; repeated rows are treated alike; an empty table gives none. ``redact`` keeps all columns and changes ``text`` and, if it is
@@ -46,6 +47,7 @@ GENERATORS = [
     ("SECRET", re.compile(r"(?<![A-Za-z0-9_+/-])(?:[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?|[A-Za-z0-9_+/-]{15}=(?![A-Za-z0-9_+/=-])|[A-Za-z0-9_+/-]{14}==(?![A-Za-z0-9_+/=-]))")),
     ("SECRET", re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]+=+([A-Za-z0-9_+/-][A-Za-z0-9_+/=-]{15,})")),
 ]
+SECRET = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-", np.uint8))
 #: Kinds made of whole groups of digits: how many digits, and what may stand between two groups.
 GROUPS = [("PHONE", 7, 17, re.compile(r"[ ./()-]{1,2}")), ("CARD", 13, 19, re.compile(r"[ -]"))]
 HINTS = [
@@ -88,7 +90,7 @@ def describe(kind: int, text: str, start: int, end: int) -> list[float]:
         float(-(share * np.log2(share)).sum()), float(kind == 3 and luhn(digits)), float(kind == 3 and (digits[0] in "456" or digits[:2] in ("34", "35", "36", "37", "38", "22", "23", "24", "25", "26", "27"))), float(octets), float(len(parts)), float(t.count(":")), float(top), float(any(c.isalnum() for c in local)), float(t.count("@")),
         float(t.startswith("+")), float("(" in t and ")" in t), float(sum(c in " .-/" for c in t)), float(len(groups)), float(max(map(len, groups), default=0)), float(kind == 4 and iban(t)), float(t.count("-")), float(any(c.isupper() for c in t) and any(c.islower() for c in t)),
         _side(text[start - 1 : start]), _side(text[end : end + 1]), float(before.rstrip(" ")[-1:] in "\"'" and bool(before)), float(bool(re.match(r"(19|20)\d\d[-./]\d\d?[-./]\d\d?", t))), float(digits[:3] in ("000", "666") or digits[:1] == "9"),
-        float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0), float(min(map(len, groups), default=0)), float(len(set(separators))), float(kind == 3 and len(digits) in (13, 14, 15, 16, 19)), float(kind == 3 and (len(groups) == 1 or [*map(len, groups)] == [4, 6, 5] or all(len(g) == 4 for g in groups[:-1]) and len(groups[-1]) <= 4)), float(bool(re.search(r"\d[ ./()+-]{1,3}$", before))), float(bool(re.match(r"[ ./()+-]{1,3}\d", text[end : end + 4]))), float(bool(re.search(r"[A-Za-z]{2}\d\d(?: ?[A-Za-z0-9]{4})* ?$", before))), float(bool(re.search(r"\d\d?[-./]\d\d?[-./]\d{2,4}|\d{4}[-./]\d\d?[-./]\d\d?", t))),
+        float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0), float(min(map(len, groups), default=0)), float(len(set(separators))), float(kind == 3 and len(digits) in (13, 14, 15, 16, 19)), float(kind == 3 and (len(groups) == 1 or [*map(len, groups)] == [4, 6, 5] or all(len(g) == 4 for g in groups[:-1]) and len(groups[-1]) <= 4)), sum(c.isupper() for c in t) / len(t), sum(a.isupper() != b.isupper() for a, b in zip(t, t[1:])) / len(t), float(bool(re.search(r"\d[ ./()+-]{1,3}$", before))), float(bool(re.match(r"[ ./()+-]{1,3}\d", text[end : end + 4]))), float(bool(re.search(r"[A-Za-z]{2}\d\d(?: ?[A-Za-z0-9]{4})* ?$", before))), float(bool(re.search(r"\d\d?[-./]\d\d?[-./]\d{2,4}|\d{4}[-./]\d\d?[-./]\d\d?", t))),
         *[float(bool(h.search(before))) for h in HINTS],
     ]
 
@@ -124,6 +126,8 @@ def _examples(random: np.random.Generator, n: int) -> list[tuple[str, str | None
     hexa = lambda k: "".join(random.choice(list("0123456789abcdef"), k))
     alnum = lambda k: "".join(random.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), k))
 
+    letters = lambda k: "".join(random.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), k))
+
     unlike = lambda k: next(s for s in iter(lambda: num(k), "") if not luhn(s))  # noqa: E731  what passes by chance is no look-alike
 
     def card(good: bool) -> str:
@@ -176,14 +180,14 @@ def _examples(random: np.random.Generator, n: int) -> list[tuple[str, str | None
             s = f"{pick('1', '2', '3', '4', '5', '7')}{num(2)}-{num(2)}-{num(4)}" if good else pick(f"9{num(2)}-{num(2)}-{num(4)}", f"000-{num(2)}-{num(4)}", f"{num(3)}-{num(2)}-{num(4)}-{num(3)}", f"{num(2)}{num(3)}-{num(2)}-{num(4)}")
             hint = pick("", "", "ssn ", "social security: ") if good else pick("", "order ", "serial ")
         else:
-            s = pick(hexa(40), hexa(32), hexa(64), alnum(20), alnum(32), alnum(40), alnum(38) + "==", "AKIA" + alnum(16).upper(), "ghp_" + alnum(36), "sk-" + alnum(32))
+            s = pick(hexa(40), hexa(32), hexa(64), alnum(20), alnum(32), alnum(40), alnum(38) + "==", "AKIA" + alnum(16).upper(), "ghp_" + alnum(36), "sk-" + alnum(32), letters(int(random.integers(16, 41))), letters(int(random.integers(16, 41))).upper())
             quote = pick("", '"', "'")
             lead = pick("token", "api_key", "secret", "password", "access key", "auth", "bearer", "SECRET_KEY", "aws_secret_access_key") + pick(" = ", "=", ": ", " ")
             if good:
                 hint = lead + quote
             else:
-                s, hint = pick((hexa(40), pick("commit ", "sha ", "hash: ", "commit=", "")), (hexa(64), pick("digest ", "checksum ", "sha256=", "")), (f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", pick("uuid ", "id ", "")), (f"{word(9, 12)}{word(9, 12)}{num(1)}", ""), (f"{word()}-{word()}-{word()}-{num(2)}", ""), (unlike(18), ""), ("-" * 20 + num(1), ""), (word(8, 9) + "_" + word(8, 9) + num(1), lead))
-        if random.random() < 0.15:
+                s, hint = pick((hexa(40), pick("commit ", "sha ", "hash: ", "commit=", "")), (hexa(64), pick("digest ", "checksum ", "sha256=", "")), (f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", pick("uuid ", "id ", "")), (f"{word(9, 12)}{word(9, 12)}{num(1)}", ""), (f"{word()}-{word()}-{word()}-{num(2)}", ""), (unlike(18), ""), ("-" * 20 + num(1), ""), (word(8, 9) + "_" + word(8, 9) + num(1), lead), (pick("_", "-", "/").join(word() for _ in range(5)) + "_" + word(8, 9), pick("", lead)), (word(16, 24), ""), (word(4, 8) + "".join(word(4, 8).title() for _ in range(3)), pick("", lead)), (pick("-", "=", "_") * int(random.integers(16, 60)), ""))
+        if random.random() < 0.15 and (good or not s.isalpha()):
             s, hint = s.upper(), hint.upper()
         head = " ".join(word() for _ in range(int(random.integers(0, 5))))
         start = head + pick(" ", " ", " ", "\n", ", ") + hint if head else hint
@@ -264,14 +268,21 @@ def train(examples: int = 7000, seed: int = 11) -> Model:
 
 
 def windows(data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
-    """(text, start, end): the bytes around digits and @, out to white space, nearby ones joined."""
-    anchor = np.flatnonzero(((data >= 48) & (data <= 57)) | (data == 64))
+    """(text, start, end): the bytes around digits, @, runs that may be keys and colons close together, out to white space, nearby ones joined."""
+    marked = ((data >= 48) & (data <= 57)) | (data == 64)
+    edge = np.flatnonzero(np.diff(SECRET[data].astype(np.int8), prepend=0, append=0))
+    marked[edge[0::2][edge[1::2] - edge[0::2] >= 16]] = True
+    colon = np.flatnonzero(data == 58)
+    marked[colon[:-2][colon[2:] - colon[:-2] <= 10]] = True
+    anchor = np.flatnonzero(marked)
     if not len(anchor):
         return []
     space = np.flatnonzero(data <= 32)  # each text ends with one
+    after = np.concatenate([[0], space + 1])
     doc = np.searchsorted(at, anchor, "right") - 1
-    left = np.maximum(np.concatenate([[0], space + 1])[np.searchsorted(space, np.maximum(anchor - 40, 0))], at[doc])
-    right = np.minimum(space[np.minimum(np.searchsorted(space, np.minimum(anchor + 12, len(data) - 1)), len(space) - 1)], at[doc + 1] - 1)
+    word = after[np.searchsorted(space, anchor)]  # a span begins in its anchor's word; 24 characters before it have up to 96 bytes
+    left = np.maximum(after[np.searchsorted(space, np.maximum(word - 96, 0))], at[doc])
+    right = np.minimum(space[np.minimum(np.searchsorted(space, np.minimum(anchor + 44, len(data) - 1)), len(space) - 1)], at[doc + 1] - 1)
     new = np.ones(len(anchor), bool)
     reach = np.maximum.accumulate(right)
     new[1:] = (left[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
