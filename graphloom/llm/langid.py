@@ -2,8 +2,9 @@
 
 Features of a text are its words and the byte trigrams around each byte of a word (neighbours outside the word count as a space),
 hashed into buckets; every bucket has a vector, a text is the mean of its features' vectors, and a softmax over a linear map of
-that mean gives the languages' probabilities. The model is fitted on at most ``SAMPLE`` labelled documents of at most ``LONGEST``
-characters, those with the smallest hash of doc_id, on pieces of 1 to 60 words, beside made-up text in no language (random letters,
+that mean gives the languages' probabilities. The model is fitted on at most ``SAMPLE`` labelled documents, in each language those with
+the smallest hash (half of them shared equally among the languages, so that a rare one is learnt in a corpus of any size, the rest in
+proportion), of longer documents on a part of ``LONGEST`` characters, on pieces of 1 to 60 words, beside made-up text in no language (random letters,
 scripts and digits) as a class of its own. A fifth of the documents is held out: on it a temperature is chosen that gives the least
 log loss, and the rejection threshold for the likeliest language's probability is set at twice what 99 % of the made-up pieces stay under, or lower where
 that would reject more than one in a thousand of the labelled pieces.
@@ -11,7 +12,7 @@ that would reject more than one in a thousand of the labelled pieces.
 As the map is linear, the vectors are multiplied out once, so classifying costs one table look-up a feature; whole texts are read.
 
 Defined results: a null text, an empty one or one without words has no language, probability 0, and is rejected; with fewer than two labelled languages nothing can be fitted, and then nothing
-is rejected and language and probability are null; repeated rows and rows without doc_id get their own results; ties go to the
+is rejected and language and probability are null; with more than ``SAMPLE / (2 LEAST)`` languages rare ones may not be learnt; repeated rows and rows without doc_id get their own results; ties go to the
 language first in order of name; an empty table gives none; other columns are ignored by ``identify`` and kept by ``keep_identified``.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.textkit import Hasher, chunks
@@ -173,13 +174,22 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 4, e
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from the labelled rows ``(doc_id, text, lang)`` of docs; ``sample`` bounds what the driver gathers."""
-    labelled = docs.where(F.col("lang").isNotNull())
-    # A cut of the hash that leaves about that many rows: what reaches the driver doesn't grow with the number of tasks.
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    cut = int((1 << 40) * min(1.0, 1.2 * sample / max(1, labelled.count())))
-    rows = labelled.where((hashed < cut) & (F.length("text") > 0) & (F.length("text") <= LONGEST))
-    rows = rows.select("text", "lang", F.xxhash64("doc_id").alias("h")).limit(2 * sample).collect()
-    rows = sorted(rows, key=lambda r: (r.h, r.text, r.lang))[:sample]
+    hashed = F.xxhash64("doc_id", "text")
+    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", F.col("lang").cast("string").alias("lang"), hashed.alias("h"))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return None
+    # Half the sample is shared equally among the languages, the rest by what each still has.
+    least = {x: min(n, sample // (2 * len(counts))) for x, n in counts.items()}
+    more = (sample - sum(least.values())) / max(1, sum(counts.values()) - sum(least.values()))
+    quota = {x: min(n, least[x] + int(more * (n - least[x]))) for x, n in counts.items()}
+    # A cut of the hash for each language leaves somewhat more rows than that; of them the first ones count.
+    cuts = docs.sparkSession.createDataFrame([(x, q, int((1 << 40) * min(1.0, (q + 5 * q**0.5 + 10) / counts[x]))) for x, q in quota.items()], "lang string, quota int, cut long")
+    long = F.length("text") > LONGEST
+    piece = F.when(long, F.col("text").substr(F.pmod("h", F.length("text") - LONGEST + 1).cast("int") + 1, F.lit(LONGEST))).otherwise(F.col("text"))
+    rows = labelled.join(F.broadcast(cuts), "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("cut")).select(piece.alias("text"), "lang", "h", "quota")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where("k <= quota").select("text", "lang", "h").collect()
+    rows = sorted(rows, key=lambda r: (r.h, r.text, r.lang))
     return train([r.text for r in rows], [r.lang for r in rows])
 
 

@@ -248,6 +248,19 @@ def test_language_on_held_out_texts(spark):
     assert got == rejected.sum()
 
 
+def test_rare_languages_and_long_documents_are_learnt(spark):
+    random.seed(12)
+    language = {"aa": "kolo mira tesa vuna".split(), "bb": "strunk pfeil wachs gurt".split(), "cc": "queue eaux oiseau lieu".split(), "dd": "hyv yksi talo metsa".split()}
+    make = lambda x, k: " ".join(random.choices(language[x], k=k))
+    rows = [(make(x, 20), x) for x in ("aa", "bb") for _ in range(1500)] + [(make("cc", 20), "cc") for _ in range(20)] + [(make("dd", 6000), "dd") for _ in range(12)]
+    df = spark.createDataFrame(rows, "text string, lang string").selectExpr("monotonically_increasing_id() as doc_id", "text", "lang")
+    model = langid.fit(df, sample=120)
+    assert model.names == ["aa", "bb", "cc", "dd", langid.NONE]
+    test = [(make(x, 20), x) for x in language for _ in range(20)]
+    best, _, _ = model.identify(Hasher(), pa.array([t for t, _ in test]))
+    assert np.mean([model.names[b] == x for b, (_, x) in zip(best, test)]) > 0.95
+
+
 def test_pii_on_held_out_examples():
     model = pii.train(examples=5000)
     x, y, kinds = pii._rows(pii._examples(np.random.default_rng(99), 1500))
