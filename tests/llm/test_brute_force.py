@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -263,7 +264,7 @@ def test_rare_languages_and_long_documents_are_learnt(spark):
 
 def test_pii_on_held_out_examples():
     model = pii.train(examples=5000)
-    x, y, kinds = pii._rows(pii._examples(np.random.default_rng(99), 1500))
+    x, y, kinds, _, _ = pii._rows(pii._examples(np.random.default_rng(99), 1500))
     hit = model.trees.probability(x) >= model.thresholds[kinds]
     assert (hit & (y > 0)).sum() / y.sum() > 0.97 and (hit & (y > 0)).sum() / hit.sum() > 0.96
     text = "card 4111111111111111, order 4111111111111112, at 10.21.132.43 or 10.1.2.300, +1 (212) 555-1234"
@@ -322,6 +323,87 @@ def test_pii_windows_without_digits():
         assert [(a, b, k) for a, b, k, _ in found] == [(a, b, pii.KINDS[k]) for a, b, k, _ in model.spans(text)]
 
 
+def plain_features(kind, text, start, end):
+    """Some features of a candidate restated with regular expressions, by column of ``describe``."""
+    s, before, after = text[start:end], text[max(0, start - pii.BEFORE) : start], text[end : end + 4]
+    digits, groups = re.sub(r"[^0-9]", "", s), re.findall(r"[0-9]+", s)
+    shares = [n / len(s) for n in collections.Counter(s).values()]
+    parts = s.split(".")
+    return {
+        7: len(s), 8: len(digits), 12: -sum(p * np.log2(p) for p in shares), 13: kind == pii.CARD and pii.luhn(digits),
+        15: kind == pii.IP and ":" not in s and len(parts) == 4 and all(p.isdigit() and int(p[:4]) < 256 and str(int(p[:4])) == p for p in parts),
+        24: len(groups), 25: max(map(len, groups), default=0), 26: kind == pii.BANK and bool(pii.iban(s)), 32: bool(re.match(r"(19|20)\d\d[-./]\d\d?[-./]\d\d?", s)),
+        31: before.rstrip(" ")[-1:] in ("'", '"'), 33: digits[:3] in ("000", "666") or digits[:1] == "9", 34: len(groups[0]) if groups else 0, 35: len(groups[-1]) if groups else 0, 36: min(map(len, groups), default=0),
+        37: len({c for c in s if not c.isalnum()}), 41: sum(a.isupper() != b.isupper() for a, b in zip(s, s[1:])) / len(s),
+        42: bool(re.search(r"\d[ ./()+-]{1,3}$", before)), 43: bool(re.match(r"[ ./()+-]{1,3}\d", after)), 44: bool(re.search(r"[A-Za-z]{2}\d\d(?: ?[A-Za-z0-9]{4})* ?$", before)),
+        45: bool(re.search(r"\d\d?[-./]\d\d?[-./]\d{2,4}|\d{4}[-./]\d\d?[-./]\d\d?", s)), **{46 + i: any(m.start() >= start - pii.BEFORE and m.end() <= start for m in h.finditer(text, start - 2 * pii.BEFORE, end + 9)) for i, h in enumerate(pii.HINTS)}, 56: bool(re.search(r"[=:] *[\"']?$", before)),
+    }
+
+
+def test_pii_features_are_what_they_say():
+    examples = pii._examples(np.random.default_rng(4), 400)
+    page = pii.Page(pii.GAP + "".join(t + pii.GAP for t, _, _, _ in examples))
+    kind, start, end = page.candidates()
+    x = page.describe(kind, start, end)
+    for row, k, a, b in zip(x, kind.tolist(), start.tolist(), end.tolist()):
+        for column, value in plain_features(k, page.text, a, b).items():
+            assert abs(row[column] - value) < 1e-9, (column, page.text[a - 30 : a], page.text[a:b])
+
+
+def plain_candidates(text):
+    """Spans of some kinds, found by trying every start and end."""
+    out = set()
+    for a in range(len(text)):
+        for b in range(a + 1, len(text) + 1):
+            s = text[a:b]
+            inside = lambda c: c.isascii() and (c.isalnum() or c in "_+/-=")
+            edges = not (a and inside(text[a - 1])) and not (b < len(text) and inside(text[b]))
+            if len(s) >= 16 and all(map(inside, s)) and edges:
+                out.add((pii.SECRET, a, b))
+            if re.fullmatch(r"\d{3}[- ]\d\d[- ]\d{4}", s) and not text[a - 1 : a].isdigit() and not text[b : b + 1].isdigit():
+                out.add((pii.SSN, a, b))
+            number = re.fullmatch(r"\d+(?:[ -]\d+)*", s) and not text[a - 1 : a].isdigit() and not text[b : b + 1].isdigit()
+            if number and 13 <= len(re.sub(r"\D", "", s)) <= 19:
+                out.add((pii.CARD, a, b))
+            if re.fullmatch(r"[^\s@<>\"'(),;:\[\]#*%&$!|]+@[\w-]+(\.[\w-]+)*", s) and (a == 0 or text[a - 1].isspace()) and not re.match(r"[\w-]|\.[\w-]", text[b : b + 2]):
+                out.add((pii.EMAIL, a, b))
+    return out
+
+
+def test_pii_candidates_against_all_spans():
+    random.seed(21)
+    parts = ["jo.x@mail.example", "a@b", "4111 1111 1111 1111", "123-45-6789", "QwErTyUiOpAsDfGhJk", "token=abcdefabcdefabcdef", "12/27", "x", "é", "99", "__init__", "=" * 17, "(", "555-0143"]
+    for _ in range(60):
+        text = " ".join(random.choices(parts, k=5))
+        assert plain_candidates(text) <= set(pii.candidates(text)), text
+
+
+def test_pii_overlaps_are_settled_best_first():
+    random.seed(22)
+    for _ in range(300):
+        n = random.randint(1, 12)
+        spans = [(random.randrange(7), a, a + random.randint(1, 6)) for a in (random.randrange(20) for _ in range(n))]
+        p = np.array([random.choice([0.1, 0.3, 0.5, 0.9]) for _ in range(n)])
+        taken = []
+        for i in sorted((i for i in range(n) if p[i] >= 0.2), key=lambda i: (-p[i], spans[i][1] - spans[i][2], spans[i][1], spans[i][0])):
+            if all(spans[i][2] <= spans[j][1] or spans[i][1] >= spans[j][2] for j in taken):
+                taken.append(i)
+        kind, start, end = np.array(spans).T
+        assert sorted(spans[i] for i in pii.settled(kind, start, end, p, np.full(7, 0.2))) == sorted(spans[i] for i in taken)
+
+
+def test_pii_long_and_dense_texts():
+    """Time is in proportion to the length: ten times the length takes far less than a hundred times as long."""
+    model, times = pii.train(), {}
+    for n in (2000, 20_000):
+        texts = [" ".join(f"10.{i % 256}.{i // 256 % 256}.7" for i in range(n)), "a" * (20 * n), "1" * (20 * n), "a@" * (4 * n), "AB12CD34" * n]
+        began = time.time()
+        found = pii._found(model, pa.array(texts))
+        times[n] = time.time() - began
+        assert len(found[0]) > 0.9 * n and 1 not in found
+    assert times[20_000] < 40 * times[2000]
+
+
 def test_blocks_inherit_from_the_nearest():
     assert htmltext.labels([None, True, None, None, False, None]) == [True, True, True, False, False, False]
     assert htmltext.labels([False, None, True]) == [False, True, True] and htmltext.labels([None, None]) == [False, False]
