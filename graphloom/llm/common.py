@@ -14,7 +14,24 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: later reads take only the columns they need, and a lost executor costs nothing."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/graphloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._graphloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote, once nothing reads it any more."""
+    jvm, path = df.sparkSession._jvm, df._graphloom_path
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column that df doesn't have, however it spells them."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
 
 
 def sized(ids: DataFrame, rows: int = 1_000_000) -> DataFrame:

@@ -106,6 +106,63 @@ def test_exact_and_proximity_matches(spark, texts):
     assert {(2000 + i, i) for i in range(10)} <= {(r.doc_id, r.item_id) for r in got if r.kind == "proximity"}
 
 
+def plain_proximity(docs, items):
+    """{(document, item): (most terms, first alignment)} by every alignment of every pair."""
+    frequency = collections.Counter(t for d in docs for t in set(words(d)))
+    out = {}
+    for j, x in enumerate(items):
+        v = words(x)
+        first = {t: v.index(t) for t in v}
+        size, need, slop = len(first), -(-7 * len(first) // 10), max(3, len(v) // 4)
+        if size < 6:
+            continue
+        rare = sorted(first, key=lambda t: (frequency[t], first[t]))[: size - need + 1]
+        for i, d in enumerate(docs):
+            w = words(d)
+            at = collections.defaultdict(list)
+            for p, t in enumerate(w):
+                at[t].append(p)
+            for start in {p - first[t] for t in rare for p in at[t]}:
+                terms = sum(any(abs(p - q - start) <= slop for p in at[t]) for t, q in first.items())
+                if terms >= need:
+                    out[i, j] = max(out.get((i, j), (0, 0)), (terms, -start))
+    return out
+
+
+def test_proximity_of_changed_copies(spark, texts):
+    """Against every alignment; and copies in which every fifth to seventh word is another are found."""
+    random.seed(15)
+    items = [" ".join(random.choices(texts[i].split() + [f"only{i}x{j}" for j in range(3)], k=random.randint(5, 50))) for i in range(0, 12)]
+    docs = list(texts)
+    for k in (5, 6, 7):
+        docs += [" ".join(["lead"] * 9 + [f"new{k}x{p}" if p % k == k - 1 else t for p, t in enumerate(words(x))] + ["tail"] * 9) for x in items]
+    got = decontaminate.decontaminate(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    exact = {(r.doc_id, r.item_id) for r in got if r.kind == "exact"}
+    want = {(i, j, max(0, -start), n) for (i, j), (n, start) in plain_proximity(docs, items).items() if (i, j) not in exact}
+    assert {(r.doc_id, r.item_id, r.doc_start, r.n_tokens) for r in got if r.kind == "proximity"} == want
+    changed = {(len(texts) + k * 12 + j, j) for k in range(3) for j, x in enumerate(items) if len(set(words(x))) >= 6}
+    assert len(changed & (exact | {(i, j) for i, j, _, _ in want})) >= 0.9 * len(changed)
+
+
+def test_items_without_a_match_cost_little():
+    """Twice as many items that have nothing in common with a segment take nearly as long."""
+    h, at = Hasher().tokens(pa.array([" ".join(f"w{i % 997}" for i in range(200_000))]))
+    order = np.argsort(h, kind="stable")
+    token, begin = np.unique(h[order], return_index=True)
+    lists = [p.astype(np.int32).tobytes() for p in np.split(order, begin[1:])]
+    times = {}
+    for n in (2000, 4000):
+        own, bounds = Hasher().tokens(pa.array([" ".join(f"x{i}y{j}" for j in range(30)) for i in range(n)] + [" ".join(f"w{j}" for j in range(30))]))
+        row = np.repeat(np.arange(n + 1), np.diff(bounds))
+        items = decontaminate.prepared(row, row, decontaminate.ramp(np.diff(bounds)), own.view(np.int64), {}, 8)
+        began = time.time()
+        here = np.isin(token.view(np.int64), items.vocabulary)
+        part = decontaminate.Lists(np.searchsorted(items.vocabulary, token.view(np.int64)[here]), [x for x, k in zip(lists, here) if k], len(items.vocabulary), np.array([0, len(h)]))
+        assert set(decontaminate._exact(items, part)[0]) == {n} and len(decontaminate._proximity(items, part)[0])
+        times[n] = time.time() - began
+    assert times[4000] < 1.9 * times[2000] + 0.05
+
+
 def test_mixture(spark, texts):
     rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
