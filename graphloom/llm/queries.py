@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import chat, decontaminate, htmltext, langid, ledger, licenses, mixing, neardup, pii, ruleclassifier
 from graphloom.session import table
 
+#: The vocabulary of op5, unless the session's setting ``graphloom.tokenizer`` names another; the driver reads it.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -27,7 +30,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.prefix_tree(table(spark, sf_dir, "conversations"))
+    return chat.prefix_tree(table(spark, sf_dir, "conversations"), spark.conf.get("graphloom.tokenizer", TOKENIZER))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

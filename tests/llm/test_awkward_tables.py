@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontaminate, htmltext, langid, ledger, licenses, mixing, neardup, pii, ruleclassifier
+from graphloom.llm import chat, decontaminate, htmltext, langid, ledger, licenses, mixing, neardup, pii, queries, ruleclassifier
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "one quick fox jumps over some lazy logs " * 30_000
@@ -106,6 +106,6 @@ def test_pages(spark):
 def test_chat(spark):
     rows = [(1, 0, None, None), (1, 0, None, None), (2, 0, "", ""), (None, 0, "user", "x"), (3, None, "user", "x"), (4, 1, "user", "hi " * 20_000), (4, 1, "user", "also")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rank", F.lit(0)).withColumn("node", F.lit(0))
-    got = {r.conv_id: r for r in chat.prefix_tree(df).orderBy("conv_id", "depth").collect()}
-    assert chat.prefix_tree(df).count() == 3 and got[1].n_conversations == 2 and got[4].depth == 1
-    assert chat.prefix_tree(df.limit(0)).count() == 0
+    got = {r.conv_id: r for r in chat.prefix_tree(df, queries.TOKENIZER).orderBy("conv_id", "depth").collect()}
+    assert chat.prefix_tree(df, queries.TOKENIZER).count() == 3 and got[1].n_conversations == 2 and got[4].depth == 1
+    assert chat.prefix_tree(df.limit(0), queries.TOKENIZER).count() == 0

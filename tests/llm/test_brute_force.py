@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphloom.llm import chat, common, decontaminate, htmltext, langid, ledger, licenses, measures, mixing, neardup, pii, ruleclassifier
+from graphloom.llm import chat, common, decontaminate, htmltext, langid, ledger, licenses, measures, mixing, neardup, pii, queries, ruleclassifier
 from graphloom.llm.textkit import Hasher
 
 TOKEN = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -238,10 +238,20 @@ def test_common_words_against_all_subsequences():
         assert n == best and end - start >= n if n else best == 0
 
 
-def test_prefix_tree(spark):
-    random.seed(1)
-    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"w{random.randint(0, 1 + t)}") for c in range(50) for t in range(random.randint(1, 5))]
-    got = chat.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+@pytest.mark.parametrize("ranges, choices", [(1, 2), (4, 2), (23, 2), (40, 1), (9, 30)])
+def test_prefix_tree(spark, ranges, choices):
+    """Also where ranges begin anywhere in the tree: at copies, within one path, at a new tree."""
+    random.seed(ranges)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"w{random.randint(0, choices - 1 + t // 3)}") for c in range(60) for t in range(random.randint(1, 8))]
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    old = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, [str(ranges), "false"]):
+            spark.conf.set(n, v)
+        got = chat.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), queries.TOKENIZER).collect()
+    finally:
+        for n, v in zip(names, old):
+            spark.conf.set(n, v)
     convs = collections.defaultdict(list)
     for c, _, role, text in sorted(rows):
         convs[c].append((role, text))
@@ -260,6 +270,7 @@ def test_prefix_tree(spark):
         above = {x for i in range(1, len(p)) for x in range(place[p[:i]].start, place[p[:i]].start + place[p[:i]].n_tokens)}
         assert {x for i in r.ancestors for x in range(i.start, i.end)} == above and r.position == len(above)
         below = [q for q in place if q[: len(p)] == p]
+        assert all(x.end < y.start for x, y in zip(r.ancestors, r.ancestors[1:]))
         assert r.attended_until == max(place[q].start + place[q].n_tokens for q in below) and r.n_conversations == nodes[p]
 
 
