@@ -8,12 +8,14 @@ of equal fields, counted with ``bit_count`` and corrected for the 1 in 16 fields
 Documents with the same minima are one node of the search, so thousands of exact copies cost one comparison each. In a band, all
 nodes are compared with the band's smallest; those that match it are connected through it, and those that don't are compared with
 every member. So the components are those of all candidate pairs, though a band of m copies needs m comparisons and not m * m.
-Nothing is capped. With 40 bands of 4 rows a pair of similarity 0.5 is a candidate with a probability of 0.92, one of 0.6 with 0.996.
+A band's smallest node and size are grouped sums, made before anything is shuffled. Nothing is capped. With 40 bands of 4 rows a pair of
+similarity 0.5 is a candidate with a probability of 0.92, one of 0.6 with 0.996.
 
 Defined results: a null text is an empty one; a text with fewer tokens than a shingle is one shingle, and one without tokens is
-known by its bytes, so that empty texts are copies of each other; rows without doc_id are ignored by ``near_duplicates`` and all
-kept by ``drop_near_duplicates``; rows that share a doc_id are one document, of which one row is kept; ties don't occur, as the
-smallest doc_id of a group stays; an empty table gives none; other columns are ignored.
+known by its bytes, so that empty texts are copies of each other; rows are known by doc_id and text, so that different texts that share a
+doc_id are judged each on its own, and rows alike in both are copies; of a group the row with the smallest doc_id stays, one without
+doc_id only if the whole group has none, and of those that tie the one whose text hashes lowest; ``near_duplicates`` names no row
+without doc_id and none that stays under its own; an empty table gives none; a very long text is hashed in blocks, whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, sized, stored
+from graphloom.llm.common import components, fresh, sized, stored
 from graphloom.llm.textkit import Hasher, chunks, grams, mix
 
 SHINGLE = 3
@@ -89,7 +92,7 @@ def pack(low: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
+    hasher, row = Hasher(), TaskContext.get().partitionId() << 40
     weight = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
     band = mix(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(20))
     for batch in chunks(batches, "text", 1 << 20):
@@ -100,16 +103,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = mix((mixed * weight).reshape(len(low), BANDS, ROWS).sum(axis=2, dtype=np.uint64) + band)
         whole = (mixed * weight).sum(axis=1, dtype=np.uint64), mix(low + weight).sum(axis=1, dtype=np.uint64)
         words = pack(low)
+        rows, row = np.arange(row, row + len(low)), row + len(low)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *[pa.array(mix(w).view(np.int64)) for w in whole], pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).ravel())), *[pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(WORDS)]],
-            ["doc_id", "w0", "w1", "bands", *WORD_COLUMNS],
+            [pa.array(rows), batch.column("doc_id"), batch.column("content"), *[pa.array(mix(w).view(np.int64)) for w in whole], pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).ravel())), *[pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(WORDS)]],
+            ["row", "doc_id", "content", "w0", "w1", "bands", *WORD_COLUMNS],
         )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, w0, w1, bands, s0 ... s9)`` of each row with an id, stored; w0 and w1 stand for all minima."""
-    schema = "doc_id long, w0 long, w1 long, bands array<long>, " + ", ".join(f"{c} long" for c in WORD_COLUMNS)
-    return stored(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures, schema))
+    """``(row, doc_id, content, w0, w1, bands, s0 ... s9)`` of each row, stored: a number for it, a hash of its text; w0 and w1 stand for all minima."""
+    schema = "row long, doc_id long, content long, w0 long, w1 long, bands array<long>, " + ", ".join(f"{c} long" for c in WORD_COLUMNS)
+    text = F.col("text").cast("string")
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text")).mapInArrow(_signatures, schema))
 
 
 def estimate(left: str, right: str) -> Column:
@@ -130,39 +135,50 @@ def _estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(sigs.select(F.col("node").alias("u"), words.alias("a")), "u").join(sigs.select(F.col("node").alias("v"), words.alias("b")), "v").select("u", "v", estimate("a", "b").alias("similarity"))
 
 
-def edges(sigs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) that connect every group of near duplicates, and the nodes with their words."""
-    nodes = stored(sigs.groupBy("w0", "w1").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in WORD_COLUMNS]))
-    copies = sigs.select("doc_id", "w0", "w1").join(nodes.select("node", "w0", "w1"), ["w0", "w1"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+def edges(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Edges (u, v) between row numbers that connect every group of near duplicates."""
+    nodes = stored(sigs.groupBy("w0", "w1").agg(F.min("row").alias("node"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in WORD_COLUMNS]))
+    copies = sigs.select("row", "w0", "w1").join(nodes.select("node", "w0", "w1"), ["w0", "w1"]).where("row <> node").select(F.col("row").alias("u"), F.col("node").alias("v"))
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = stored(keys.withColumn("leader", F.min("node").over(Window.partitionBy("key"))).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"))
-    first = stored(_estimated(shared.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), nodes))
+    leaders = stored(keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"))
+    shared = stored(keys.join(sized(leaders), "key").where("node <> leader"))
+    first = stored(_estimated(shared.select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), nodes))
     # What doesn't match its band's leader is compared with all of the band.
-    odd = shared.where("node <> leader").join(first.where(F.col("similarity") < threshold).select(F.col("u").alias("node"), F.col("v").alias("leader")), ["node", "leader"]).select("key", F.col("node").alias("u"))
-    rest = odd.join(shared.where("node <> leader").select("key", F.col("node").alias("v")), "key").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    odd = shared.join(first.where(F.col("similarity") < threshold).select(F.col("u").alias("node"), F.col("v").alias("leader")), ["node", "leader"]).select("key", F.col("node").alias("u"))
+    rest = odd.join(shared.select("key", F.col("node").alias("v")), "key").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     second = _estimated(rest, nodes)
-    return copies.union(first.union(second).where(F.col("similarity") >= threshold).select("u", "v")), nodes
+    return copies.union(first.union(second).where(F.col("similarity") >= threshold).select("u", "v"))
+
+
+def members(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(row, doc_id, content, kept)`` of all rows in a group of several, stored; kept is the (no_id, doc_id, content, row) of the one that stays."""
+    own = components(edges(sigs, threshold)).withColumnRenamed("node", "row").join(sigs.select("row", "doc_id", "content"), "row")
+    own = stored(own)
+    best = own.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "content", "row")).alias("kept"))
+    return own.join(best, "root").select("row", "doc_id", "content", "kept")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, duplicate_of, similarity)`` of every document that is not the smallest of its group; similarity to that one."""
     sigs = signatures(docs)
-    found, _ = edges(sigs, threshold)
-    pairs = stored(components(found).where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
-    every = sigs.withColumnRenamed("doc_id", "node")
-    return _estimated(pairs, every).groupBy(F.col("u").alias("doc_id"), F.col("v").alias("duplicate_of")).agg(F.max("similarity").alias("similarity"))
+    pairs = stored(members(sigs, threshold).where("doc_id <> kept.doc_id").select(F.col("row").alias("u"), F.col("kept.row").alias("v"), "doc_id", F.col("kept.doc_id").alias("duplicate_of")))
+    estimated = _estimated(pairs.select("u", "v"), sigs.withColumnRenamed("row", "node"))
+    return pairs.join(estimated, ["u", "v"]).groupBy("doc_id", "duplicate_of").agg(F.max("similarity").alias("similarity"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs but for those that duplicate another; of rows that share a doc_id, the one whose text hashes lowest."""
+    """The rows of docs, with all their columns, of which one of each group stays."""
     sigs = signatures(docs)
-    found, _ = edges(sigs, threshold)
-    gone = stored(components(found).where("node <> root").select(F.col("node").alias("doc_id")))
-    kept = docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = stored(sigs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    own = stored(members(sigs, threshold))
+    id_, content = fresh(docs, "row_id"), fresh(docs, "row_content")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(id_), F.xxhash64(F.col("doc_id").isNull(), F.col("content")).alias(content)]
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("content") == F.col("kept.content"))
+    gone = stored(own.where(~stays).select(*key).distinct())
+    again = stored(own.where(stays).groupBy(*key).count().where("count > 1").select(id_, content))
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), content: F.xxhash64(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string")))})
+    kept = keyed.join(sized(gone), [id_, content], "left_anti")
     if again.isEmpty():
-        return kept
-    one = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
-    one = one.withColumn("_first_", F.row_number().over(order)).where("_first_ = 1").drop("_first_")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+        return kept.select(*docs.columns)
+    # Of rows alike in doc_id and text any one stays.
+    one = kept.join(sized(again), [id_, content], "left_semi").dropDuplicates([id_, content])
+    return kept.join(sized(again), [id_, content], "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))

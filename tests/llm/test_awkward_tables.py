@@ -55,6 +55,16 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_without_or_with_shared_ids(spark):
+    a, b, c = [" ".join(f"{x}{i}" for i in range(30)) for x in "abc"]
+    rows = [(None, a), (None, a), (1, a), (1, b), (1, b), (2, b + " more"), (None, c), (None, c), (3, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_first_", F.lit(1)).withColumn("row_k", F.lit(1)).withColumn("Row_ID", F.lit(1))
+    kept = neardup.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (3, None)], key=str)
+    assert [tuple(r)[:2] for r in neardup.near_duplicates(df).collect()] == [(2, 1)]
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs, {"a": 0.5, "b": 0.5}, total=1000).collect()
     assert {r.source for r in got} <= {"a", "b"} and len([r for r in got if r.doc_id == 1]) == 2
