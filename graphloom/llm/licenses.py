@@ -6,16 +6,20 @@ within a fifth of the template's length of each other are merged, as words left
 span is then verified against the text: the longest common subsequence of the words where the template should stand and the template's
 own words must have at least ``COVERAGE`` of the latter.
 
-The templates are broadcast while they have at most ``BROADCAST`` hashes, and so are the ids of documents with votes; beyond that
+Templates are a table ``(license, text)``, by default that of ``licensepack``; such a table is collected, as it is a reference and not a corpus.
+Their hashes are broadcast while they have at most ``BROADCAST`` hashes, and so are the ids of documents with votes; beyond that
 both joins shuffle.
 
 Defined results: a null text is an empty one; rows without doc_id and texts or templates of fewer than K words have no spans;
 repeated rows report each their spans; a license that stands in a text several times is reported for each; of spans that overlap the
 one with the highest coverage stays, then the one with more words, then the earlier template; an empty table gives none; other columns are ignored. Starts and ends count words.
+Very long texts are hashed in pieces; each span is verified by itself, in time in proportion to its own length times the template's, and
+overlaps are looked up by place, so a text of many spans takes little more than in proportion to them.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import stored
+from graphloom.llm.licensepack import TEMPLATES
 from graphloom.llm.textkit import Hasher, chunks, grams
 
 K = 4
@@ -31,34 +36,6 @@ COVERAGE = 0.8
 BROADCAST = 200_000
 PIECE = 1 << 15
 
-#: (license, template); a license has several. Wordings of notices, and opening or closing passages of the full texts.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", "This project is licensed under the terms of the MIT license"),
-    ("MIT", "The above copyright notice and this permission notice shall be included in all"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "you may not use this file except in compliance with the License"),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("GPL", "You should have received a copy of the GNU General Public License along with this program"),
-    ("LGPL", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("AGPL", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-]
-
 SPAN = "doc_id long, license string, template int, start int, end int, n_words int, coverage double"
 
 
@@ -107,37 +84,48 @@ def votes(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
 
 def common_words(doc: np.ndarray, template: np.ndarray) -> tuple[int, int, int]:
     """The length of the longest common subsequence, and where in doc its first and last word stand, the closest together for that length."""
-    # Of each prefix of the template: the best (length, latest possible start) over the words of doc so far.
-    length, start = np.zeros(len(template) + 1, np.int64), np.full(len(template) + 1, -1, np.int64)
-    best = (0, 0, 0)
-    for i, w in enumerate(doc):
-        equal = np.flatnonzero(template == w)
-        old_l, old_s = length.copy(), start.copy()
-        for j in equal:
-            new_l, new_s = old_l[j] + 1, old_s[j] if old_l[j] else i
-            if (new_l, new_s) > (length[j + 1], start[j + 1]):
-                length[j + 1], start[j + 1] = new_l, new_s
-        if len(equal):
-            for j in range(1, len(template) + 1):
-                if (length[j - 1], start[j - 1]) > (length[j], start[j]):
-                    length[j], start[j] = length[j - 1], start[j - 1]
-            n, s = int(length[-1]), int(start[-1])
-            if n > best[0] or (n == best[0] and i - s < best[2] - best[1]):
-                best = (n, s, i)
+    # Of each prefix of the template: the best (length, latest possible start) over the words of doc so far, as length << 32 | start + 1.
+    one, best, state = 1 << 32, (0, 0, 0), np.zeros(len(template) + 1, np.int64)
+    places: dict[int, np.ndarray] = {}
+    for i in np.flatnonzero(np.isin(doc, template)).tolist():
+        w = int(doc[i])
+        if w not in places:
+            places[w] = np.flatnonzero(template == doc[i])
+        at = places[w]
+        longer = np.where(state[at] >= one, state[at] + one, one + i + 1)
+        state[at + 1] = np.maximum(state[at + 1], longer)
+        np.maximum.accumulate(state, out=state)
+        n, s = int(state[-1]) >> 32, (int(state[-1]) & (one - 1)) - 1
+        if n > best[0] or (n == best[0] and i - s < best[2] - best[1]):
+            best = (n, s, i)
     return best[0], best[1], best[2] + 1
 
 
 def apart(found: list[tuple[float, int, int, int, int]]) -> list[tuple[float, int, int, int, int]]:
     """Of (coverage, words, template, start, end) those that overlap no better one: more coverage, more words, the earlier template."""
-    out: list[tuple[float, int, int, int, int]] = []
+    out, taken = [], []
     for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
-        if all(f[4] <= o[3] or f[3] >= o[4] for o in out):
+        i = bisect.bisect_left(taken, (f[3],))
+        if (i == 0 or taken[i - 1][1] <= f[3]) and (i == len(taken) or taken[i][0] >= f[4]):
+            taken.insert(i, (f[3], f[4]))
             out.append(f)
     return out
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """``(doc_id, license, template, start, end, n_words, coverage)`` of every verified span."""
+def in_common(doc: np.ndarray, template: np.ndarray) -> int:
+    """How many words both have, repeated ones as often as in both: no subsequence is longer."""
+    words, times = np.unique(template, return_counts=True)
+    own, often = np.unique(doc[np.isin(doc, words)], return_counts=True)
+    return int(np.minimum(often, times[np.searchsorted(words, own)]).sum())
+
+
+def scan(docs: DataFrame, templates: DataFrame | list[tuple[str, str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
+    """``(doc_id, license, template, start, end, n_words, coverage)`` of every verified span.
+
+    templates: (license, text), as a list in the order that numbers them, or as a table, which is put in order of both columns.
+    """
+    if isinstance(templates, DataFrame):
+        templates = [tuple(r) for r in templates.select("license", "text").dropna().distinct().orderBy("license", "text").collect()]
     templates = TEMPLATES if templates is None else templates
     # The hash of the text tells rows apart that share an id.
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -156,6 +144,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, covera
                 for s in spans:
                     t = own[s["template"]]
                     low, high = max(0, s["low"]), min(len(words), s["high"] + len(t))
+                    if in_common(words[low:high], t) < coverage * len(t):
+                        continue
                     n, a, b = common_words(words[low:high], t)
                     if n >= coverage * len(t):
                         found.append((n / len(t), n, s["template"], low + a, low + b))
