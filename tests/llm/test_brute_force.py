@@ -225,6 +225,72 @@ def test_license_spans(spark, texts):
     assert {(r.doc_id, r.license, r.start, r.end) for r in got} == want
 
 
+def plain_scan(texts, templates):
+    """(document, template, start, end) by the rule itself: every diagonal with a run of K words, those close together merged, then verified."""
+    out = []
+    for d, text in enumerate(texts):
+        w, found = words(text), []
+        for k, (_, template) in enumerate(templates):
+            t = words(template)
+            diagonals = sorted({p - q for p in range(len(w)) for q in range(len(t)) if len(w[p : p + 4]) == 4 and w[p : p + 4] == t[q : q + 4]})
+            groups = [[x] for x in diagonals[:1]]
+            for x in diagonals[1:]:
+                groups[-1].append(x) if x - groups[-1][-1] <= max(1, len(t) // 5) else groups.append([x])
+            for g in groups:
+                low, part = max(0, g[0]), w[max(0, g[0]) : g[-1] + len(t)]
+                best = (0, 0, 0)
+                for a in range(len(part)):  # the longest common subsequence from each first word, by a table
+                    row = [0] * (len(t) + 1)
+                    for b in range(a, len(part)):
+                        new = row[:]
+                        for j in range(len(t)):
+                            new[j + 1] = max(new[j], row[j + 1], row[j] + 1 if part[b] == t[j] else 0)
+                        row = new
+                        if (row[-1], a - b) > (best[0], best[1] - best[2]):
+                            best = (row[-1], a, b)
+                n, a, b = best
+                if n >= licenses.COVERAGE * len(t):
+                    found.append((n / len(t), n, k, low + a, low + b + 1))
+        kept = []
+        for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+            if all(f[4] <= o[3] or f[3] >= o[4] for o in kept):
+                kept.append(f)
+        out += [(d, k, a, b, n) for _, n, k, a, b in kept]
+    return set(out)
+
+
+def test_license_scan_against_the_rule(spark):
+    """Templates that overlap and repeat words, with words left out, put in and changed."""
+    random.seed(31)
+    templates = [("A", "to use copy and modify the work and to sell the work"), ("A", "copy and modify the work and to sell"), ("B", "the work and the name and the work of the name"), ("C", "a b c d")]
+    texts = []
+    for _ in range(60):
+        w = []
+        for _ in range(random.randint(1, 3)):
+            own = random.choice(templates)[1].split()
+            for _ in range(random.randint(0, 2)):
+                at = random.randrange(len(own))
+                own[at : at + random.randint(0, 1)] = random.choice([[], ["x"], ["the"]])
+            w += random.choices(["the", "and", "y", "z", "a", "b"], k=random.randint(0, 6)) + own
+        texts.append(" ".join(w))
+    table = spark.createDataFrame(templates, "license string, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan(docs, templates).collect()
+    assert {(r.doc_id, r.template, r.start, r.end, r.n_words) for r in got} == plain_scan(texts, templates)
+    order = sorted(templates)
+    assert {(r.doc_id, r.template, r.start, r.end, r.n_words) for r in licenses.scan(docs, table).collect()} == plain_scan(texts, order)
+
+
+def test_license_pack_and_many_spans(spark):
+    full = next(t for x, t in licenses.TEMPLATES if x == "BSD-3-Clause")
+    text = "Copyright 2020 me. " + full.replace("distribution.", "distribution, if any.") + " the end " + "\nSPDX-License-Identifier: Apache-2.0" * 3
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("start").collect()
+    assert [r.license for r in got] == ["BSD-3-Clause", "Apache-2.0", "Apache-2.0", "Apache-2.0"]
+    many = [(1.0, 5, 0, 6 * i, 6 * i + 5) for i in range(40_000)]
+    began = time.time()
+    assert len(licenses.apart(many * 2)) == 40_000 and time.time() - began < 5
+
+
 def test_common_words_against_all_subsequences():
     random.seed(4)
     for _ in range(200):
@@ -472,6 +538,76 @@ def test_pii_long_and_dense_texts():
     assert times[20_000] < 40 * times[2000]
 
 
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--|<[!?][^>]*>")
+
+
+def plain_text(page):
+    """The rules of op9 one after the other: tags by one pattern, blocks as lists, both passes by looking at all blocks."""
+    import html as entities
+
+    pieces, at, links = [[]], 0, 0
+    while at < len(page):
+        m = TAG.match(page, at) if page[at] == "<" else None
+        if not m:
+            end = next((i for i in range(at + 1, len(page)) if page[i] == "<"), len(page)) if page[at] != "<" else at + 1
+            pieces[-1].append((entities.unescape(page[at:end]), links > 0))
+            at = end
+            continue
+        at = m.end()
+        if m.group() == "<!--":
+            at = page.find("-->", at) + 3 if "-->" in page[at:] else len(page)
+        elif m.group(2):
+            name = m.group(2).lower()
+            if name in htmltext.HIDDEN and not m.group(1) and not m.group(3).endswith("/"):
+                close = re.compile(f"</{name}\\s*>", re.I).search(page, at)
+                at = close.end() if close else len(page)
+                pieces.append([])
+            elif name == "a":
+                links = max(0, links - 1) if m.group(1) else links + 1
+            elif name not in htmltext.INLINE:
+                pieces.append([])
+    own = []
+    for p in pieces:
+        text = " ".join("".join(t for t, _ in p).split())
+        w = re.findall(r"[^\W_]+", text.lower())
+        if w:
+            linked = min(len(w), sum(len(re.findall(r"[^\W_]+", t)) for t, in_link in p if in_link))
+            own.append((text, len(w), linked, sum(x in measures.STOP_WORDS for x in w)))
+    sure = []
+    for text, n, linked, stops in own:
+        if linked / n > htmltext.LINKS or text.startswith(("©", "(c)", "Copyright")):
+            sure.append("bad")
+        elif n >= htmltext.LONG:
+            sure.append("good" if stops / n >= htmltext.STOPS else "bad")
+        else:
+            sure.append("good" if n >= htmltext.MEDIUM and stops / n >= 2 * htmltext.STOPS else None)
+    final = [s or next((sure[j] for j in sorted(range(len(sure)), key=lambda j: (abs(j - i), -j)) if sure[j]), "bad") for i, s in enumerate(sure)]
+    kept = [b[0] for b, s in zip(own, final) if s == "good"]
+    return "\n".join(kept), len(own), len(kept)
+
+
+def test_html_extraction_against_the_rules(spark):
+    """Random pages, well formed and not."""
+    random.seed(41)
+    parts = ["<p>", "</p>", "<div class='x'>", "<a href=\"u>v\">", "</a>", "<!-- <p> -->", "<script>if (a<b) x='</p>'</script>", "<br/>", "<!DOCTYPE html>", "<p ", "<", ">", "'", '"', "<a ", "&amp;", "© ", "<h1>", "<svg/>", "<!--", "-->", "<style>", "<nav>", "text_one " * 3, "the cat and of it with a dog in the house " * 2, "the long and winding road " * 8, "kra wol mup " * 12, "one two three"]
+    weight = [8 if i < 9 or i > 17 else 1 for i in range(len(parts))]
+    weight[19] = weight[20] = weight[21] = 0.2
+    pages = ["".join(random.choices(parts, weight, k=random.randint(1, 40))) for _ in range(400)]
+    got = htmltext.extract(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()
+    assert {r.page_id: (r.text, r.n_blocks, r.n_kept) for r in got} == {i: plain_text(p) for i, p in enumerate(pages)}
+
+
+@pytest.mark.parametrize("page", ["<p ", "<p '", '<a b="', "<!-- x", "< ", "<script>", "<p \"' ", "</p <", "&lt", "<p><a>x"])
+def test_html_of_any_shape_takes_linear_time(page):
+    times = {}
+    for n in (20_000, 200_000):
+        for tail in ("", ">", "'>", '">'):
+            began = time.time()
+            htmltext.main_text(page * (n // len(page)) + tail)
+            times[n] = max(times.get(n, 0.05), time.time() - began)
+    assert times[200_000] < 40 * times[20_000]
+
+
 def test_blocks_inherit_from_the_nearest():
     assert htmltext.labels([None, True, None, None, False, None]) == [True, True, True, False, False, False]
     assert htmltext.labels([False, None, True]) == [False, True, True] and htmltext.labels([None, None]) == [False, False]
