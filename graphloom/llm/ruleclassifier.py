@@ -5,12 +5,13 @@ root, to an inner node or a leaf, becomes a rule: a conjunction of bounds on sta
 all rules keeps few of them; its penalty is the largest whose held-out loss lies within a percent of the best. Rules with a weight are
 compiled into one Spark expression, so that scoring runs in the JVM on the stored counts.
 
-At most ``SAMPLE`` labelled documents are used, those with the smallest hash of doc_id. A fifth is held out; on it the threshold is
+At most ``SAMPLE`` labelled documents are used, those with the smallest hash of id, label and statistics, so that the rows of an id that
+repeats are drawn each on its own. A fifth is held out; on it the threshold is
 set: the highest, up to one half, at which ``KEEP`` of the good documents are kept.
 
 Defined results: a null text is an empty one; labels that are null, or whose document isn't there, are ignored; a document with
 several labels counts as often; without labels of both classes nothing is fitted, probability is null and every document is kept;
-rows without doc_id and repeated rows get a row each; an empty table gives none; other columns are ignored.
+rows without doc_id and repeated rows get a row each; an empty table gives none; a very long text is counted whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,11 +150,13 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Model | None:
 
 
 def fit(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from at most about ``sample`` labelled documents, which the driver gathers."""
-    known = labels.where("doc_id is not null and quality is not null")
-    cut = int((1 << 40) * min(1.0, sample / max(1, known.count())))
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < cut).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    rows = statistics.join(some, "doc_id").select("doc_id", *NAMES, "quality").limit(2 * sample).toPandas().sort_values(["doc_id", "quality", *NAMES])
+    """A model from at most ``sample`` labelled documents, which the driver gathers: those with the smallest hash of id, label and statistics."""
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    hashed = F.pmod(F.xxhash64("doc_id", "quality", *NAMES), F.lit(1 << 40))
+    rows = statistics.join(known, "doc_id").select("doc_id", *NAMES, "quality", hashed.alias("h"))
+    # A cut of the hash leaves somewhat more rows than that; of them the first ones count.
+    cut = int((1 << 40) * min(1.0, (sample + 5 * sample**0.5 + 10) / max(1, rows.count())))
+    rows = rows.where(F.col("h") < cut).orderBy("h", "doc_id", "quality", *NAMES).limit(sample).toPandas()
     return train(rows[NAMES].to_numpy(float), (rows["quality"].to_numpy() > 0).astype(float)) if len(rows) else None
 
 
