@@ -13,7 +13,7 @@ from graphloom.session import checkpoint_dir, cut
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: later reads take only the columns they need, and a lost executor costs nothing."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/graphloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out

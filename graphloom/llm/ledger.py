@@ -2,20 +2,21 @@
 
 Every rule is evaluated once for each document. The ledger keeps the measurements and one number, ``failures``, whose bit i says that
 rule i fails. A policy is a version and a set of rules: it passes a document if ``failures & mask = 0``, so that another policy, or
-another version of one, costs no further look at a text. Ablations, what each rule alone takes away and what would come back without it,
-come from a count of the distinct masks.
+another version of one, costs no further look at a text: ``record`` stores a ledger, and policies, ablations and the weights that the
+mixture uses are taken from it. Ablations, what each rule alone takes away and what would come back without it, come from a count of the distinct masks.
 
 Rules compare integers (three tenths is ``10 * a > 3 * b``), so they give the same on any engine.
 
 Defined results: a null text is an empty one and fails ``empty`` alone; rows without doc_id and repeated rows get a row each; an empty
-table gives an empty ledger, and ablations of zero documents; other columns are ignored.
+table gives an empty ledger, and ablations of zero documents; a very long text is counted whole, in arrays; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import stored
 from graphloom.llm.measures import MEASURES, SQL, measured
 
 #: Bit i is the i-th rule: it fails where the condition holds. New rules go to the end, so that old ledgers keep their meaning.
@@ -46,10 +47,20 @@ def mask(policy: str) -> int:
     return sum(1 << list(RULES).index(r) for r in POLICIES[policy])
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """``(doc_id, failures, ...)`` with the measurements, for every row."""
+def ledger(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, failures, ...)`` with the measurements, for every row; also: columns of docs to keep beside doc_id."""
     bits = " | ".join(f"IF({condition}, {1 << i}L, 0L)" for i, condition in enumerate(RULES.values()))
-    return measured(docs).withColumn("failures", F.expr(bits)).select("doc_id", "failures", *MEASURES)
+    return measured(docs, also).withColumn("failures", F.expr(bits)).select("doc_id", *also, "failures", *MEASURES)
+
+
+def record(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """The ledger as a stored table."""
+    return stored(ledger(docs, also))
+
+
+def weight(policy: str = CURRENT) -> Column:
+    """How good a document of a ledger is: an eighth for each rule of the policy that fails."""
+    return F.expr(f"1D / cast(shiftleft(1L, 3 * bit_count(failures & {mask(policy)}L)) as double)")
 
 
 def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -83,6 +94,8 @@ ORACLE = f"""
 SELECT doc_id, failures, {", ".join(MEASURES)}, failures & {mask(CURRENT)} = 0 AS keep
 FROM (SELECT *, ({_FAILURES})::BIGINT AS failures FROM ({SQL}))
 """
+#: The ledger with each document's source, as a relation.
+WITH_SOURCE = f"SELECT *, ({_FAILURES})::BIGINT AS failures FROM ({SQL})"
 _POLICY_ROWS = ", ".join(f"('{p}', '{r}', {mask(p)}, {1 << list(RULES).index(r)})" for p, own in POLICIES.items() for r in own)
 ABLATION_ORACLE = f"""
 SELECT policy, rule, count(doc_id)::BIGINT AS n_docs, count(*) FILTER (failures & bit <> 0)::BIGINT AS n_fail, count(*) FILTER (failures & m = bit)::BIGINT AS n_only,

@@ -74,25 +74,27 @@ class Measurer:
         ).astype(np.int64)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counts of every row."""
+def measured(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns named, as they are, and the counts of every row."""
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *also, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measurer = Measurer()
         for batch in chunks(batches, "text", 1 << 20):
             x = measurer.measure(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(np.ascontiguousarray(x[:, j])) for j in range(len(MEASURES))]], ["doc_id", *MEASURES])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *also)], *[pa.array(np.ascontiguousarray(x[:, j])) for j in range(len(MEASURES))]], ["doc_id", *also, *MEASURES])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in MEASURES))
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in kept.drop("text").schema.fields]
+    return kept.mapInArrow(run, ", ".join([*schema, *[f"{c} long" for c in MEASURES]]))
 
 
 _CLASS = SYMBOLS.replace("[", "\\[").replace("]", "\\]").replace("^", "\\^")
 #: The same in DuckDB, as a query over documents.
 SQL = f"""
-SELECT doc_id, length(t)::BIGINT AS n_chars, len(regexp_extract_all(t, '[^ \\t\\n\\r]+'))::BIGINT AS n_words, length(regexp_replace(t, '[ \\t\\n\\r]', '', 'g'))::BIGINT AS word_chars,
+SELECT doc_id, source, length(t)::BIGINT AS n_chars, len(regexp_extract_all(t, '[^ \\t\\n\\r]+'))::BIGINT AS n_words, length(regexp_replace(t, '[ \\t\\n\\r]', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^0-9]', '', 'g'))::BIGINT AS n_digits, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper, length(regexp_replace(t, '[^{_CLASS}]', '', 'g'))::BIGINT AS n_symbols,
   len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct,
   coalesce(list_max(map_values(histogram_of)), 0)::BIGINT AS n_top, len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}], x)))::BIGINT AS n_stop
-FROM (SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r]')) AS lines, w, list_aggregate(w, 'histogram') AS histogram_of
-  FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS w FROM documents))
+FROM (SELECT doc_id, source, t, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r]')) AS lines, w, list_aggregate(w, 'histogram') AS histogram_of
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS w FROM documents))
 """

@@ -4,41 +4,36 @@ Every source gets a budget of tokens. A source whose documents are all taken ``b
 rest, which is filled without replacement: each document draws the exponential key ``-ln(u) / weight``, with u from the MD5 of
 seed and doc_id, and the documents with the smallest keys whose running total of tokens stays within the rest are taken once more.
 
+Weights are those of the ledger of quality rules (``ledger.weight``): an eighth for every rule of the current policy that a document fails.
+Tokens are the ledger's words. So mixing needs a ledger and no texts; one is made where none is given.
+
 Defined results: a null text or one without tokens has no tokens and costs nothing, so it is taken whenever the order reaches it;
-a null source is a source of its own; rows without doc_id share one key; ties are ordered by doc_id and tokens, and rows equal in
-all of these may be taken in any order; an empty table gives none; other columns are ignored.
+a null source is a source of its own; rows without doc_id share one draw; ties are ordered by doc_id and tokens, and rows equal in
+all of these may be taken in any order; an empty table gives none; a very long text is counted whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import ledger
 from graphloom.llm.common import running_total, stored
 
-SPACED = r"[^ \t\n\r]+"
-JUNK = "#$%&*|!0123456789"
-
-
-def token_count(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(SPACED)), F.lit(0)).cast("long")
-
-
-def quality_weight(text: str = "text") -> Column:
-    """The fourth power of the share of characters that are no digits or symbols, 0.05 at least."""
-    share = F.length(F.translate(text, JUNK, "")) / F.greatest(F.length(text), F.lit(1))
-    return F.coalesce(F.greatest(F.lit(0.05), share * share * share * share), F.lit(0.05))
+def entries_of(docs: DataFrame) -> DataFrame:
+    """The ledger that ``mix`` takes, stored."""
+    return ledger.record(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), ("source",))
 
 
-def mix(docs: DataFrame, shares: dict[str, float] | None = None, total: int | None = None, seed: str = "mix") -> DataFrame:
+def mix(entries: DataFrame, shares: dict[str, float] | None = None, total: int | None = None, seed: str = "mix") -> DataFrame:
     """``(doc_id, source, n_tokens, running_tokens, copies)`` of each document that is taken.
 
     shares: each source's part of the total, by default the same for all; sources not named get none. total: tokens in all, by
-    default as many as the documents have.
+    default as many as the documents have. entries: a ledger with ``source``, as ``entries_of`` makes it.
     """
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    rows = stored(docs.select("doc_id", "source", token_count().alias("n_tokens"), (-F.log(u) / quality_weight()).alias("_key")))
+    rows = stored(entries.select("doc_id", "source", F.col("n_words").alias("n_tokens"), (-F.log(u) / ledger.weight()).alias("_key")))
     sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("_tokens"))
     if shares is None:
         spread = sums.agg(F.count("*").alias("_n"), F.sum("_tokens").alias("_all"))
@@ -54,11 +49,9 @@ def mix(docs: DataFrame, shares: dict[str, float] | None = None, total: int | No
     return taken.select("doc_id", "source", "n_tokens", "running_tokens", copies.cast("long").alias("copies")).where("copies > 0")
 
 
-ORACLE_RELATION = """
-WITH t AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) AS n_tokens,
-  coalesce(greatest(0.05, pow(length(translate(text, '#$%&*|!0123456789', '')) / greatest(length(text), 1), 1)), 0.05) AS share,
-  (('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM {docs}),
-k AS (SELECT doc_id, source, n_tokens, -ln(u) / greatest(0.05, share * share * share * share) AS key FROM t),
+ORACLE = f"""
+WITH e AS ({ledger.WITH_SOURCE}),
+k AS (SELECT doc_id, source, n_words AS n_tokens, -ln((('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / (1.0 / (1::BIGINT << (3 * bit_count(failures & {ledger.mask(ledger.CURRENT)})))::DOUBLE) AS key FROM e),
 s AS (SELECT source, sum(n_tokens) AS tokens FROM k GROUP BY source),
 b AS (SELECT source, tokens, (SELECT sum(tokens) // count(*) FROM s) AS budget FROM s),
 r AS (SELECT k.*, sum(n_tokens) OVER (PARTITION BY source ORDER BY key, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS running FROM k)
@@ -66,4 +59,3 @@ SELECT r.doc_id, r.source, n_tokens::BIGINT AS n_tokens, running::BIGINT AS runn
   (budget // tokens + CASE WHEN budget % tokens > 0 AND running <= budget % tokens THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM r JOIN b USING (source) WHERE budget // tokens + CASE WHEN budget % tokens > 0 AND running <= budget % tokens THEN 1 ELSE 0 END > 0
 """
-ORACLE = ORACLE_RELATION.format(docs="documents")

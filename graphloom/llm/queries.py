@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(mixing.entries_of(table(spark, sf_dir, "documents")))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +50,18 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+@functools.lru_cache(maxsize=4)
+def _ledger(application: str, sf_dir: str) -> DataFrame:
+    """The ledger of a folder's documents, evaluated and stored once a session: policies and ablations read it, not the texts."""
+    return ledger.record(table(SparkSession.active(), sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.apply_policy(ledger.ledger(table(spark, sf_dir, "documents")))
+    return ledger.apply_policy(_ledger(spark.sparkContext.applicationId, sf_dir))
 
 
 def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.ablations(ledger.ledger(table(spark, sf_dir, "documents")))
+    return ledger.ablations(_ledger(spark.sparkContext.applicationId, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

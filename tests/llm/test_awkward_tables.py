@@ -66,9 +66,9 @@ def test_near_duplicates_without_or_with_shared_ids(spark):
 
 
 def test_mixing(docs, empty):
-    got = mixing.mix(docs, {"a": 0.5, "b": 0.5}, total=1000).collect()
+    got = mixing.mix(mixing.entries_of(docs), {"a": 0.5, "b": 0.5}, total=1000).collect()
     assert {r.source for r in got} <= {"a", "b"} and len([r for r in got if r.doc_id == 1]) == 2
-    assert mixing.mix(docs).count() > 0 and mixing.mix(empty).count() == 0
+    assert mixing.mix(mixing.entries_of(docs)).count() > 0 and mixing.mix(mixing.entries_of(empty)).count() == 0
 
 
 def test_licenses(docs, empty):

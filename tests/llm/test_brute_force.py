@@ -163,22 +163,58 @@ def test_items_without_a_match_cost_little():
     assert times[4000] < 1.9 * times[2000] + 0.05
 
 
+def plain_mix(rows, budgets):
+    """{(doc_id, source, tokens): copies} by the rule: rows are (doc_id, text, source), ids are unique."""
+    import hashlib
+    import math
+
+    out = {}
+    for s, budget in budgets.items():
+        own = []
+        for i, t, source in rows:
+            if source == s:
+                u = (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                own.append((-math.log(u) / weight_of(t), i, len(re.findall(r"[^ \t\n\r]+", t))))
+        tokens, running = sum(n for _, _, n in own), 0
+        for _, i, n in sorted(own):
+            running += n
+            copies = budget // tokens + (running <= budget % tokens and budget % tokens > 0) if tokens else 0
+            if copies:
+                out[i, s, n] = copies
+    return out
+
+
+def weight_of(text):
+    row = dict(zip(measures.MEASURES, measures.Measurer().measure(pa.array([text]))[0].tolist()))
+    fails = [eval(re.sub(r"(?<![<>])=", "==", ledger.RULES[r]).replace("AND", "and"), {}, row) for r in ledger.POLICIES[ledger.CURRENT]]
+    return 0.125 ** sum(map(bool, fails))
+
+
 def test_mixture(spark, texts):
-    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate([*texts, "### $$$ %%%", "A B C D E F G", "", "the the the " * 9])]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     shares = {"s0": 0.7, "s1": 0.2, "s2": 0.1}
-    got = mixing.mix(df, shares).collect()
-    total = sum(len(t.split()) for t in texts)
+    got = mixing.mix(mixing.entries_of(df), shares).collect()
+    total = sum(len(t.split()) for _, t, _ in rows)
+    assert {(r.doc_id, r.source, r.n_tokens): r.copies for r in got} == plain_mix(rows, {s: int(total * x) for s, x in shares.items()})
+    assert len({weight_of(t) for _, t, _ in rows}) > 2
     for s, share in shares.items():
         own = [(r.n_tokens, r.copies) for r in got if r.source == s]
-        budget = int(total * share)
-        assert budget - max(len(t.split()) for t in texts) <= sum(n * c for n, c in own) <= budget
+        assert int(total * share) - 120 <= sum(n * c for n, c in own) <= int(total * share)
         assert max(c for _, c in own) - min(c for _, c in own) <= 1  # complete epochs come first
 
 
+def test_mixture_of_ties(spark):
+    """Rows that share an id share a draw; among them fewer tokens come first."""
+    df = spark.createDataFrame([(1, "a b c", "s"), (1, "a", "s"), (1, "a b", "s"), (None, "a b", None)], "doc_id long, text string, source string")
+    got = mixing.mix(mixing.entries_of(df), {"s": 1.0}, total=3).collect()
+    assert [(r.n_tokens, r.running_tokens) for r in sorted(got, key=lambda r: r.n_tokens)] == [(1, 1), (2, 3)]
+    assert sum(r.copies * r.n_tokens for r in mixing.mix(mixing.entries_of(df)).collect() if r.source is None) == 4
+
+
 def test_mixture_prefers_quality(spark):
     df = spark.createDataFrame([(i, "word word " + ("##$$ %%&& **||" if i % 2 else "word text more"), "s") for i in range(400)], "doc_id long, text string, source string")
-    got = [r.doc_id for r in mixing.mix(df, {"s": 1.0}, total=500).collect()]
+    got = [r.doc_id for r in mixing.mix(mixing.entries_of(df), {"s": 1.0}, total=500).collect()]
     assert len([d for d in got if d % 2 == 0]) > 2 * len([d for d in got if d % 2])
 
 

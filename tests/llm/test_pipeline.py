@@ -46,6 +46,6 @@ def test_pipeline(spark):
     hider = pii.train()
     texts = {i: pii.replaced(rows[i].text, [(a, b, pii.KINDS[k], p) for a, b, k, p in hider.spans(rows[i].text)]) for i in kept}
     df = spark.createDataFrame([(i, texts[i], rows[i].source) for i in kept], "doc_id long, text string, source string")
-    want = collections.Counter(tuple(r) for r in mixing.mix(df).collect())
+    want = collections.Counter(tuple(r) for r in mixing.mix(mixing.entries_of(df)).collect())
     got = collections.Counter(tuple(r) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want
