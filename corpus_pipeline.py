@@ -7,8 +7,14 @@ All but the last return the columns of documents:
 2. near duplicates: one document of each group stays;
 3. decontamination drops documents that hold a passage of the benchmark;
 4. PII replaces personal data and secrets in the texts;
-5. mixing gives every source the same number of tokens: ``copies`` says how often a document is used, by how many tokens of its
-   source come before it in the order of sampling.
+5. mixing gives every source the same number of tokens, and weighs documents by the ledger of quality rules: ``copies`` says how often a
+   document is used, by how many tokens of its source come before it in the order of sampling.
+
+Defined results, which are those of the operators in order: documents with a null or empty text, or without words, have no language and
+go at the first stage, unless fewer than two languages are labelled, when all stay and one empty text is left of them; rows are known by
+doc_id and text, so rows without doc_id, and texts that share one, are judged each on its own, and of rows alike in both one stays; a null
+source is a source of its own; columns that documents have beside those named here are kept by all stages but the last, whatever
+their names; very long texts are read whole; empty tables of documents or of the benchmark give an empty mixture or drop nothing.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.mix(mixing.entries_of(docs))
 
 
 STAGES = [
