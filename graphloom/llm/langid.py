@@ -13,7 +13,7 @@ As the map is linear, the vectors are multiplied out once, so classifying costs
 
 Defined results: a null text, an empty one or one without words has no language, probability 0, and is rejected; with fewer than two labelled languages nothing can be fitted, and then nothing
 is rejected and language and probability are null; with more than ``SAMPLE / (2 LEAST)`` languages rare ones may not be learnt; repeated rows and rows without doc_id get their own results; ties go to the
-language first in order of name; an empty table gives none; other columns are ignored by ``identify`` and kept by ``keep_identified``.
+language first in order of name; an empty table gives none; very long texts are read whole and take time in proportion to their length; other columns are ignored by ``identify`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -152,7 +152,10 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 4, e
             back = (g @ linear.T) / n[:, None].astype(np.float32)
             linear -= step * (mean.T @ g) / len(rows_) * 8
             bias -= step * g.mean(axis=0)
-            np.add.at(vectors, index, -step * back[of])
+            order = np.argsort(index, kind="stable")  # a bucket's steps are added up before they are taken
+            own = index[order]
+            begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            vectors[own[begin]] -= step * np.add.reduceat(back[of[order]], begin, axis=0)
             done += 1
     model = Model(names, (vectors @ linear).astype(np.float32), bias.astype(np.float64))
     buckets, at, label = data(True)
