@@ -141,7 +141,7 @@ def edges(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = sigs.select("row", "w0", "w1").join(nodes.select("node", "w0", "w1"), ["w0", "w1"]).where("row <> node").select(F.col("row").alias("u"), F.col("node").alias("v"))
     keys = nodes.select("node", F.explode("bands").alias("key"))
     leaders = stored(keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"))
-    shared = stored(keys.join(sized(leaders), "key").where("node <> leader"))
+    shared = stored(keys.join(leaders, "key").where("node <> leader"))
     first = stored(_estimated(shared.select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), nodes))
     # What doesn't match its band's leader is compared with all of the band.
     odd = shared.join(first.where(F.col("similarity") < threshold).select(F.col("u").alias("node"), F.col("v").alias("leader")), ["node", "leader"]).select("key", F.col("node").alias("u"))
