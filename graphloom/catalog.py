@@ -25,11 +25,11 @@ ORACLES: dict[str, str] = {}
 
 @functools.lru_cache(maxsize=4)
 def _planned(application: str, sf_dir: str) -> PropertyGraph:
-    return project(SparkSession.active(), sf_dir)
+    return project(SparkSession.active(), sf_dir, keep=True)
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """The projected graph of a folder. Its plan, not its rows, is kept for the next query: a plan of this size takes seconds to write down."""
+    """The projected graph of a folder: made once a session, type by type as queries ask for them, and stored in the shared folder."""
     return _planned(spark.sparkContext.applicationId, sf_dir)
 
 
@@ -174,12 +174,8 @@ query(
 )(neighbors.vault_used_by)
 
 
-@on_tables("SELECT DISTINCT a.p_partkey AS class, b.p_partkey AS sibling FROM part a JOIN part b USING (p_type) WHERE a.p_partkey <> b.p_partkey AND a.p_brand = b.p_brand")
-def family_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose protocol is a type and brand: siblings are quadratic in a family, and these are small."""
-    p = table(spark, sf_dir, "part")
-    edges = p.select(F.lit("implements").alias("type"), F.col("p_partkey").alias("source"), F.concat_ws("/", "p_type", "p_brand").alias("target"))
-    return neighbors.family_siblings(PropertyGraph("w", edges, edges))
+query("SELECT DISTINCT a.source AS class, b.source AS sibling FROM edges a JOIN edges b ON a.target = b.target WHERE a.type = 'implements' AND b.type = 'implements' AND a.source <> b.source", name="family_siblings")(neighbors.family_siblings)
+query("SELECT DISTINCT source, target, type FROM edges WHERE type IN ('inherits', 'implements') AND target IN (SELECT id FROM nodes)", name="type_relations")(neighbors.type_relations)
 
 
 # -- traversals ---------------------------------------------------------------
@@ -197,10 +193,12 @@ query("SELECT * FROM flow", flow_sql(3), name="flow_depth3")(lambda g: traverse.
 query("SELECT entry, count(DISTINCT target) FILTER (target <> entry) AS reached, max(distance) AS max_depth FROM flow GROUP BY entry", flow_sql(4), name="flow_reach_by_entry")(lambda g: traverse.flow_reach(traverse.flow(g, max_depth=4)))
 query(
     "SELECT len(path) AS length, path FROM walk WHERE closed",
-    """ip AS (SELECT DISTINCT source, target FROM edges WHERE type = 'imports'),
-walk AS (SELECT source AS start, target AS last, CASE WHEN source = target THEN [source] ELSE [source, target] END AS path, source = target AS closed FROM ip WHERE source <= target
-  UNION ALL SELECT start, target, CASE WHEN target = start THEN path ELSE list_append(path, target) END, target = start FROM walk JOIN ip ON source = last
-  WHERE NOT closed AND len(path) <= 8 AND (target = start OR (target > start AND NOT list_contains(path, target) AND len(path) < 8)))""",
+    """ip AS MATERIALIZED (SELECT DISTINCT source, target FROM edges WHERE type = 'imports'),
+back AS (SELECT target AS start, source AS node FROM ip WHERE source >= target UNION SELECT start, source FROM back JOIN ip ON target = node WHERE node <> start AND source > start),
+known AS MATERIALIZED (SELECT DISTINCT start, node FROM back),
+walk AS (SELECT start, start AS last, [start] AS path, false AS closed FROM (SELECT DISTINCT start FROM known)
+  UNION ALL SELECT w.start, target, CASE WHEN target = w.start THEN path ELSE list_append(path, target) END, target = w.start FROM walk w JOIN ip ON source = last LEFT JOIN known k ON k.start = w.start AND k.node = target
+  WHERE NOT closed AND (target = w.start OR (k.node IS NOT NULL AND target > w.start AND NOT list_contains(path, target))))""",
     name="import_cycles",
 )(traverse.import_cycles)
 query(name="communities")(communities.communities)
@@ -221,13 +219,14 @@ _COUPLING = _LAYERS + ", cpl AS (SELECT module, root, (SELECT count(*) FROM ip W
 query("SELECT module, ca, ce, CASE WHEN ca + ce = 0 THEN 0.0 ELSE ce::DOUBLE / (ca + ce) END AS instability FROM cpl WHERE root = 'core'", _COUPLING, name="coupling")(structure.coupling)
 query("SELECT module, ca AS n_importers FROM cpl WHERE ca > 0 ORDER BY ca DESC, module LIMIT 15", _COUPLING, name="most_depended_modules")(structure.most_depended)
 query("SELECT source AS class, count(*) AS methods FROM edges JOIN nodes s ON s.id = source AND s.kind = 'class' JOIN nodes t ON t.id = target AND t.kind = 'function' WHERE type = 'contains' AND s.root = 'core' GROUP BY source HAVING count(*) >= 12", name="god_classes")(structure.god_classes)
+_PERVASIVE = "regexp_matches(lower(CASE WHEN len(string_split(id, '.')) >= 3 THEN string_split(id, '.')[-2] ELSE '' END || '.' || string_split(id, '.')[-1]), 'logger|log|get_sample|warning|debug|info|error') AS pervasive"
 _DEGREES = "deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM (SELECT DISTINCT source, target FROM calls) UNION ALL SELECT target FROM (SELECT DISTINCT source, target FROM calls)) GROUP BY id)"
-query("SELECT id, degree, false AS pervasive FROM deg JOIN nodes USING (id) WHERE root = 'core'", _DEGREES, name="call_degrees")(structure.call_degrees)
-query("SELECT id, degree, false AS pervasive FROM deg JOIN nodes USING (id) WHERE root = 'core' ORDER BY degree DESC, id LIMIT 15", _DEGREES, name="call_hubs")(structure.call_hubs)
+query(f"SELECT id, degree, {_PERVASIVE} FROM deg JOIN nodes USING (id) WHERE root = 'core'", _DEGREES, name="call_degrees")(structure.call_degrees)
+query(f"SELECT id, degree, {_PERVASIVE} FROM deg JOIN nodes USING (id) WHERE root = 'core' ORDER BY degree DESC, id LIMIT 15", _DEGREES, name="call_hubs")(structure.call_hubs)
 query("SELECT id FROM nodes WHERE kind = 'function' AND visibility = 'private' AND id NOT IN (SELECT target FROM calls)", name="dead_symbols")(structure.dead_symbols)
 query("SELECT root, module FROM lay WHERE module <> 'w' AND module NOT IN (SELECT target FROM ip)", _LAYERS, name="orphan_modules")(structure.orphan_modules)
 query("SELECT root, list_sort(list(module)) AS modules FROM lay WHERE module <> 'w' AND module NOT IN (SELECT target FROM ip) GROUP BY root", _LAYERS, name="orphans_by_root")(structure.orphans_by_root)
-query("SELECT 'imported' AS resolution, count(*) AS n FROM calls HAVING count(*) > 0", name="calls_by_resolution")(structure.calls_by_resolution)
+query("SELECT resolution, count(*) AS n FROM calls GROUP BY resolution", name="calls_by_resolution")(structure.calls_by_resolution)
 
 
 query("SELECT source, target FROM dref", name="doc_references")(lambda g: g.pairs("references"))
@@ -312,9 +311,11 @@ nin AS (SELECT target AS symbol, count(*) AS n FROM (SELECT DISTINCT source, tar
 nout AS (SELECT source AS symbol, count(*) AS n FROM (SELECT DISTINCT source, target FROM calls) GROUP BY 1),
 con AS (SELECT symbol, count(*) AS n FROM calls JOIN memb ON target = id GROUP BY 1),
 rf AS (SELECT symbol, count(*) AS n, count(*) FILTER (root <> 'core') AS ext FROM refs GROUP BY 1),
-rows_ AS (SELECT c.symbol, kind, coalesce(nin.n, 0) AS n_callers, CASE WHEN kind = 'function' THEN coalesce(nout.n, 0) ELSE 0 END AS n_callees, coalesce(con.n, 0) AS n_contract, coalesce(rf.ext, 0) AS n_external, coalesce(rf.n, 0) AS n_references, []::VARCHAR[] AS reads, []::VARCHAR[] AS writes
-  FROM chg c JOIN nodes ON id = c.symbol LEFT JOIN nin ON nin.symbol = c.symbol LEFT JOIN nout ON nout.symbol = c.symbol LEFT JOIN con ON con.symbol = c.symbol LEFT JOIN rf ON rf.symbol = c.symbol),
-dos AS (SELECT *, n_callers + 2 * n_external + n_contract AS score, CASE WHEN n_external > 0 OR n_callers + 2 * n_external + n_contract >= 5 THEN 'high' WHEN n_callers + 2 * n_external + n_contract >= 2 THEN 'medium' ELSE 'low' END AS risk FROM rows_)
+tc AS (SELECT source AS symbol, coalesce(list_sort(list(DISTINCT target[8:]) FILTER (NOT writes)), []) AS reads, coalesce(list_sort(list(DISTINCT target[8:]) FILTER (writes)), []) AS writes FROM evk GROUP BY source),
+rows_ AS (SELECT c.symbol, kind, coalesce(nin.n, 0) AS n_callers, CASE WHEN kind = 'function' THEN coalesce(nout.n, 0) ELSE 0 END AS n_callees, coalesce(con.n, 0) AS n_contract, coalesce(rf.ext, 0) AS n_external, coalesce(rf.n, 0) AS n_references, CASE WHEN kind = 'function' THEN coalesce(tc.reads, []) ELSE [] END AS reads, CASE WHEN kind = 'function' THEN coalesce(tc.writes, []) ELSE [] END AS writes
+  FROM chg c JOIN nodes ON id = c.symbol LEFT JOIN nin ON nin.symbol = c.symbol LEFT JOIN nout ON nout.symbol = c.symbol LEFT JOIN con ON con.symbol = c.symbol LEFT JOIN rf ON rf.symbol = c.symbol LEFT JOIN tc ON tc.symbol = c.symbol),
+sco AS (SELECT *, n_callers + 2 * n_external + n_contract + CASE WHEN len(reads) + len(writes) > 0 THEN 1 ELSE 0 END AS score FROM rows_),
+dos AS (SELECT *, CASE WHEN n_external > 0 OR score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS risk FROM sco)
 """
 
 
@@ -387,6 +388,7 @@ ca AS (SELECT source AS id, list_sort(list(target)) AS l FROM cp GROUP BY 1),
 cb AS (SELECT target AS id, list_sort(list(source)) AS l FROM cp GROUP BY 1),
 ba AS (SELECT source AS id, list_sort(list(DISTINCT target)) AS l FROM edges WHERE type = 'inherits' GROUP BY 1),
 im AS (SELECT source AS id, list_sort(list(DISTINCT target)) AS l FROM edges WHERE type = 'implements' GROUP BY 1),
+ib AS (SELECT target AS id, list_sort(list(DISTINCT source)) AS l FROM edges WHERE type = 'implements' GROUP BY 1),
 vi AS (SELECT class AS id, list_sort(list({'target': target, 'via': via})) AS l FROM (SELECT c.id AS class, e.target, min(e.source) AS via FROM cp e JOIN nodes c ON c.kind = 'class' AND c.id = regexp_replace(e.source, '\\.[^.]*$', '') WHERE NOT starts_with(e.target, c.id || '.') GROUP BY ALL) GROUP BY 1)
 """
 query(
@@ -394,16 +396,17 @@ query(
  || coalesce(' Inherits: ' || array_to_string(list_transform(ba.l, lambda x: string_split(x, '.')[-1]), ', ') || '.', '')
  || coalesce(' Calls: ' || array_to_string(list_transform(ca.l[:8], lambda x: string_split(x, '.')[-1]), ', ') || '.', '') || coalesce(' Called by: ' || array_to_string(list_transform(cb.l[:8], lambda x: string_split(x, '.')[-1]), ', ') || '.', '')
  || coalesce(' Registered as ''' || n.reg_key || '''.', '') || coalesce(' Implements: ' || array_to_string(list_transform(im.l, lambda x: string_split(x, '.')[-1]), ', ') || '.', '')
+ || coalesce(' Implemented by: ' || array_to_string(list_transform(ib.l[:8], lambda x: string_split(x, '.')[-1]), ', ') || '.', '')
  || coalesce(' Methods call: ' || array_to_string(list_transform(vi.l[:8], lambda x: string_split(x.target, '.')[-1] || ' (via ' || string_split(x.via, '.')[-1] || ')'), ', ') || '.', '') AS text
- FROM nodes n LEFT JOIN ba ON ba.id = n.id LEFT JOIN ca ON ca.id = n.id LEFT JOIN cb ON cb.id = n.id LEFT JOIN im ON im.id = n.id LEFT JOIN vi ON vi.id = n.id WHERE n.kind IN ('class', 'function')""",
+ FROM nodes n LEFT JOIN ba ON ba.id = n.id LEFT JOIN ca ON ca.id = n.id LEFT JOIN cb ON cb.id = n.id LEFT JOIN im ON im.id = n.id LEFT JOIN ib ON ib.id = n.id LEFT JOIN vi ON vi.id = n.id WHERE n.kind IN ('class', 'function')""",
     _RAG,
     name="rag_text",
 )(lambda g: rag.chunks(g).select("id", "text"))
 query(
-    """SELECT n.id, kind, file, lineno, endlineno, reg_key AS registered_as, ba.l AS bases, ca.l AS calls, cb.l AS called_by, im.l AS implements, len(vi.l) AS n_seams FROM nodes n LEFT JOIN ba ON ba.id = n.id LEFT JOIN ca ON ca.id = n.id LEFT JOIN cb ON cb.id = n.id LEFT JOIN im ON im.id = n.id LEFT JOIN vi ON vi.id = n.id WHERE n.kind IN ('class', 'function')""",
+    """SELECT n.id, kind, file, lineno, endlineno, reg_key AS registered_as, ba.l AS bases, ca.l AS calls, cb.l AS called_by, im.l AS implements, ib.l AS implementers, len(vi.l) AS n_seams FROM nodes n LEFT JOIN ba ON ba.id = n.id LEFT JOIN ca ON ca.id = n.id LEFT JOIN cb ON cb.id = n.id LEFT JOIN im ON im.id = n.id LEFT JOIN ib ON ib.id = n.id LEFT JOIN vi ON vi.id = n.id WHERE n.kind IN ('class', 'function')""",
     _RAG,
     name="rag_chunks",
-)(lambda g: rag.chunks(g).select("id", "kind", "file", "lineno", "endlineno", "registered_as", "bases", "calls", "called_by", "implements", F.when(F.col("calls_via_methods").isNotNull(), F.size("calls_via_methods")).alias("n_seams")))
+)(lambda g: rag.chunks(g).select("id", "kind", "file", "lineno", "endlineno", "registered_as", "bases", "calls", "called_by", "implements", "implementers", F.when(F.col("calls_via_methods").isNotNull(), F.size("calls_via_methods")).alias("n_seams")))
 query(
     f"""SELECT id, string_agg(CASE WHEN regexp_matches(s, '^[A-Za-z0-9_+$]+$') THEN s ELSE '`' || replace(s, '`', '``') || '`' END || CASE coalesce(kind, 'module') WHEN 'class' THEN '#' WHEN 'function' THEN '().' WHEN 'attribute' THEN '.' ELSE '/' END, '' ORDER BY length(prefix)) AS descriptor
  FROM (SELECT p.id, prefix, string_split(prefix, '.')[-1] AS s, k.kind FROM (SELECT id, unnest({ANCESTORS.format("id")}) AS prefix FROM nodes) p LEFT JOIN nodes k ON k.id = prefix) GROUP BY id""",

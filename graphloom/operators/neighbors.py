@@ -6,7 +6,7 @@ answer must not lose such ends.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import IMPACT_TYPES, PropertyGraph, ancestry, short, within
@@ -65,8 +65,8 @@ def under(graph: PropertyGraph, rows: DataFrame, member: str) -> DataFrame:
     return known.withColumn("symbol", F.explode(ancestry(member))).join(ids, "symbol", "left_semi")
 
 
-def call_contract(graph: PropertyGraph) -> DataFrame:
-    """``(symbol, caller, target, callsites, posargs, kwargs, splat)``: how a symbol, or a member of it, is called."""
+def call_contract(graph: PropertyGraph, symbols: DataFrame | None = None) -> DataFrame:
+    """``(symbol, caller, target, callsites, posargs, kwargs, splat)``: how a symbol, or a member of it, is called; symbols: for those only."""
     calls = graph.of("calls").where("extras.callsites is not null").select(
         F.col("source").alias("caller"),
         "target",
@@ -75,6 +75,11 @@ def call_contract(graph: PropertyGraph) -> DataFrame:
         F.coalesce("extras.kwargs", F.expr("cast(array() as array<string>)")).alias("kwargs"),
         F.coalesce("extras.splat", F.lit(False)).alias("splat"),
     )
+    if symbols is not None:
+        asked = symbols.select("symbol").distinct()
+        ids = graph.nodes.select(F.col("id").alias("symbol"))
+        own = graph.nodes.select(F.col("id").alias("target"), F.explode(ancestry("id")).alias("symbol")).join(asked, "symbol", "left_semi").join(ids, "symbol", "left_semi")
+        return calls.join(own, "target").select("symbol", "caller", "target", "callsites", "posargs", "kwargs", "splat")
     return under(graph, calls, "target").select("symbol", "caller", "target", "callsites", "posargs", "kwargs", "splat")
 
 
@@ -112,12 +117,20 @@ def with_is_node(graph: PropertyGraph, df: DataFrame, c: str) -> DataFrame:
 def references_to(graph: PropertyGraph, symbols: DataFrame | None = None) -> DataFrame:
     """``(symbol, source, type, root, target)``: direct references to a symbol or its members from elsewhere; repeated edges stay.
 
-    symbols: a DataFrame with the column ``symbol``, to answer for those only.
+    symbols: a DataFrame with the column ``symbol``, to answer for those only: then their members are found first, and only edges
+    into those are looked at.
     """
-    refs = under(graph, with_is_node(graph, inbound(graph), "source"), "target")
+    ids = graph.nodes.select(F.col("id").alias("symbol"))
     if symbols is not None:
-        refs = refs.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
-    return refs.where(~(within("source", "symbol") & F.col("is_node"))).select("symbol", "source", "type", "root", "target")
+        asked = symbols.select("symbol").distinct()
+        own = graph.nodes.select(F.col("id").alias("target"), F.explode(ancestry("id")).alias("symbol")).join(asked, "symbol", "left_semi").join(ids, "symbol", "left_semi")
+        refs = with_is_node(graph, inbound(graph).join(own, "target"), "source").where(~(within("source", "symbol") & F.col("is_node")))
+    else:
+        refs = with_is_node(graph, inbound(graph).join(ids.withColumnRenamed("symbol", "target"), "target", "left_semi"), "source")
+        # Symbols that hold both ends are left out before there is a row for each.
+        above = F.filter(ancestry("target"), lambda a: ~(F.col("is_node") & within(F.col("source"), a)))
+        refs = refs.withColumn("symbol", F.explode(above)).join(ids, "symbol", "left_semi")
+    return refs.select("symbol", "source", "type", "root", "target")
 
 
 def used_by_root(graph: PropertyGraph, symbols: DataFrame | None = None) -> DataFrame:
@@ -148,10 +161,6 @@ def pervasive(c: Column | str) -> Column:
 
 def vault_used_by(graph: PropertyGraph, per_root: int = 20) -> DataFrame:
     """``(symbol, root, source, type)``: references from outside the core, the first so many of each root."""
-    from pyspark.sql import Window
-
     refs = references_to(graph).where("root <> 'core'")
     k = F.row_number().over(Window.partitionBy("symbol", "root").orderBy("type", "source", "target"))
     return refs.withColumn("k", k).where(F.col("k") <= per_root).select("symbol", "root", "source", "type")
-
-

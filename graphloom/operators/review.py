@@ -44,7 +44,7 @@ def dossier(graph: PropertyGraph, symbols: DataFrame) -> DataFrame:
     refs = references_to(graph, asked).groupBy("symbol").agg(F.count("*").alias("n_references"), F.count_if(F.col("root") != "core").alias("n_external"))
     own = columns_of(graph).join(asked, "symbol", "left_semi")
     out = asked.join(kinds, "symbol", "left")
-    for part in (counted(callers(graph), "n_callers"), counted(callees(graph), "n_callees"), counted(call_contract(graph), "n_contract"), refs, own):
+    for part in (counted(callers(graph), "n_callers"), counted(callees(graph), "n_callees"), counted(call_contract(graph, asked), "n_contract"), refs, own):
         out = out.join(part, "symbol", "left")
     n = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_callers", "n_callees", "n_contract", "n_external", "n_references")}
     function = F.col("kind") == "function"

@@ -6,10 +6,10 @@ from the third on, what was found so far is checkpointed, as each level would ot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.model import PropertyGraph, with_root, within
+from graphloom.model import PropertyGraph, union, with_root, within
 from graphloom.operators.neighbors import inbound, references_to, with_is_node
 from graphloom.session import cut
 
@@ -31,9 +31,9 @@ def impact(graph: PropertyGraph, symbols: DataFrame | None = None, depth: int =
             found = cut(found)
         frontier = found.where(F.col("distance") == level - 1).select("symbol", "source").distinct()
         reached = frontier.join(arcs, "source").where(~(within("next", "symbol") & F.col("is_node")))
-        first = Window.partitionBy("symbol", "next").orderBy("source", "kind")
-        reached = reached.withColumn("k", F.row_number().over(first)).where("k = 1")
-        new = reached.join(found.select("symbol", F.col("source").alias("next")).distinct(), ["symbol", "next"], "left_anti")
+        # The minimum is combined before the shuffle, and what is known leaves without another one.
+        first = reached.groupBy("symbol", "next").agg(F.min(F.struct("source", "kind", "next_root")).alias("way"))
+        new = first.join(found.select("symbol", F.col("source").alias("next")).distinct(), ["symbol", "next"], "left_anti").select("symbol", "next", "way.*")
         found = found.union(new.select("symbol", F.col("next").alias("source"), F.col("kind").alias("type"), F.col("next_root").alias("root"), F.col("source").alias("target"), F.lit(level).alias("distance")))
     return found
 
@@ -96,24 +96,28 @@ def flow_reach(edges: DataFrame) -> DataFrame:
     return edges.groupBy("entry").agg(F.count_distinct(F.when(F.col("target") != F.col("entry"), F.col("target"))).alias("reached"), F.max("distance").alias("max_depth"))
 
 
-def import_cycles(graph: PropertyGraph, longest: int = 8) -> DataFrame:
-    """``(length, path)``: the elementary circuits of the import graph with at most ``longest`` modules, each once, from its smallest module.
+def import_cycles(graph: PropertyGraph, longest: int | None = None) -> DataFrame:
+    """``(length, path)``: the elementary circuits of the import graph, each once, from its smallest module; ``longest`` leaves out longer ones.
 
-    Modules that import nothing or aren't imported are peeled off first. Their number can grow exponentially with the length.
+    Paths grow from every module over larger ones, and only over those from which there is a way back to it over larger ones. Those are found
+    first, level by level, so that imports that close no circuit cost nothing. Circuits can be exponentially many.
     """
     arcs = cut(graph.pairs("imports"))
-    for _ in range(longest):
-        left = arcs.join(arcs.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(arcs.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        left = cut(left.select("source", "target"))
-        if left.count() == arcs.count():
+    new = arcs.where("source >= target").select(F.col("target").alias("start"), F.col("source").alias("node"))
+    known, level = cut(new), 1
+    before = arcs.select(F.col("source").alias("before"), F.col("target").alias("node"))
+    while longest is None or level < longest:
+        new = cut(new.join(before, "node").where("node <> start and before > start").select("start", F.col("before").alias("node")).distinct().join(known, ["start", "node"], "left_anti"))
+        if new.isEmpty():
             break
-        arcs = left
-    paths = arcs.where("source <= target").select(F.col("source").alias("start"), F.col("target").alias("last"), F.when(F.col("source") == F.col("target"), F.array("source")).otherwise(F.array("source", "target")).alias("path"))
-    found = paths.where("start = last").select("path")
-    paths = paths.where("start <> last")
-    step = arcs.select(F.col("source").alias("last"), F.col("target").alias("next"))
-    for _ in range(2, longest + 1):
-        ahead = cut(paths.join(step, "last"))
-        found = found.union(ahead.where("next = start").select("path"))
-        paths = ahead.where("next > start").where(~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"))
-    return found.select(F.size("path").alias("length"), "path")
+        known, level = cut(known.union(new)), level + 1
+    starts = known.select("start").distinct()
+    allowed = cut(known.union(starts.select("start", "start")).distinct().select("start", F.col("node").alias("next")))
+    ahead = arcs.select(F.col("source").alias("last"), F.col("target").alias("next"))
+    paths, found, size = cut(starts.select("start", F.col("start").alias("last"), F.array("start").alias("path"))), [], 1
+    while (longest is None or size <= longest) and not paths.isEmpty():
+        on = cut(paths.join(ahead, "last").join(allowed, ["start", "next"], "left_semi"))
+        found.append(on.where("next = start").select("path"))
+        paths = on.where("next > start").where(~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("last"), F.array_append("path", F.col("next")).alias("path"))
+        size += 1
+    return union([*found, paths.select("path").limit(0)]).select(F.size("path").alias("length"), "path")

@@ -1,10 +1,12 @@
 """A property graph over ordinary tables: regions and nations are modules, customers and suppliers classes, orders functions.
 
+* every part is a module ``w.L<0-6>.M<part>``, which imports the next of its dozen (the last one the first) and one some dozens on;
 * modules ``w``, ``w.R<region>``, ``w.R<region>.N<nation>``; classes ``<nation>.C<customer>`` and ``<nation>.S<supplier>``; functions
   ``<customer>.O<order>`` in the file ``N<nation>.py``; ``ev.U<user>`` for the users of events; ``reg.P<part>`` for parts up to size 40;
 * an order calls the order that next ships one of its parts; a nation's suppliers import the two nations that buy most from them;
-* customers inherit from their market segment, orders are decorated with their priority, parts implement the protocol of their type;
-* events read and write the columns ``column:k<n>`` of their properties; documents refer to the benchmark items with which they share a line.
+* customers inherit from their market segment, orders are decorated with their priority, parts implement the protocol of their type, a class;
+  every fiftieth customer's class is named like a logger's;
+* events, and some orders, read and write the columns ``column:k<n>`` of their properties; documents refer to the benchmark items with which they share a line.
 
 ``TABLES`` says the same in DuckDB's SQL, as common table expressions ``nodes`` and ``edges``.
 """
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import EDGES, NODES, PropertyGraph, conform, schema, union
-from graphloom.session import Folder, table
+from graphloom.session import Folder, stored, table
 
 LINE = 20  # characters that a shared line has at least
 
@@ -32,7 +34,7 @@ def _root(segment: Column) -> Column:
 
 def _customers(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    return c.join(F.broadcast(_nation(spark, sf)), c.c_nationkey == F.col("n_nationkey")).select(F.col("c_custkey").alias("custkey"), F.concat("module", F.lit(".C"), F.col("c_custkey").cast("string")).alias("class_id"), "module", "file", F.col("c_mktsegment").alias("segment"))
+    return c.join(F.broadcast(_nation(spark, sf)), c.c_nationkey == F.col("n_nationkey")).select(F.col("c_custkey").alias("custkey"), F.concat("module", F.when(F.col("c_custkey") % 50 == 0, ".Log").otherwise(".C"), F.col("c_custkey").cast("string")).alias("class_id"), "module", "file", F.col("c_mktsegment").alias("segment"))
 
 
 def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,6 +42,18 @@ def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
     return s.join(F.broadcast(_nation(spark, sf)), s.s_nationkey == F.col("n_nationkey")).select("s_suppkey", "s_acctbal", "s_nationkey", "module", "file", F.concat("module", F.lit(".S"), F.col("s_suppkey").cast("string")).alias("class_id"))
 
 
+def _library(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part as a module, with its dozen."""
+    key = F.col("p_partkey")
+    return table(spark, sf, "part").select(key.alias("k"), F.format_string("w.L%d.M%d", key % 7, key).alias("module"), F.floor(key / 12).alias("dozen"))
+
+
+def _touching(spark: SparkSession, sf: str) -> DataFrame:
+    """``(source, key, writes)`` of the orders that touch a column."""
+    o, key = _orders(spark, sf), F.col("o_orderkey")
+    return o.where(key % 8 == 0).select(F.col("id").alias("source"), F.lit("status").alias("key"), F.lit(True).alias("writes")).union(o.where(key % 12 == 0).select("id", F.lit("priority"), F.lit(False)))
+
+
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
     """Every order with its function's id and place in the nation's file."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
@@ -61,10 +75,13 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     level = F.substring("o_orderpriority", 1, 1)
     events = table(spark, sf, "events")
     keyed = events.select(F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("key"), (col("event_type") != "signup").alias("subscript")).where("key is not null")
+    keyed = keyed.union(_touching(spark, sf).select("key", F.lit(True)))
     parts = [
         make(table(spark, sf, "region").limit(1), F.lit("w"), "module", file=F.lit("w/__init__.py"), lineno=F.lit(1)),
         make(table(spark, sf, "region"), F.format_string("w.R%d", "r_regionkey"), "module", file=F.format_string("w/R%d/__init__.py", "r_regionkey"), lineno=F.lit(1)),
         make(nation, col("module"), "module", file=col("file"), lineno=F.lit(1)),
+        make(_library(spark, sf), col("module"), "module"),
+        make(table(spark, sf, "part").select("p_type").distinct(), F.concat(F.lit("proto."), col("p_type")), "class"),
         make(_customers(spark, sf), col("class_id"), "class", _root(col("segment"))),
         make(_suppliers(spark, sf), col("class_id"), "class", file=col("file")),
         make(
@@ -104,7 +121,7 @@ def _calls(spark: SparkSession, sf: str) -> DataFrame:
     rows = pairs.groupBy("l_orderkey", "next").agg(F.count("*").alias("callsites"), F.array_sort(F.collect_set(F.col("l_quantity").cast("int"))).alias("posargs"), F.array_sort(F.collect_set("l_returnflag")).alias("kwargs"), F.bool_or(F.col("l_discount") == 0).alias("splat"))
     orders = _orders(spark, sf).select("o_orderkey", "id")
     ids = rows.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("id").alias("source")), "l_orderkey").join(orders.select(F.col("o_orderkey").alias("next"), F.col("id").alias("target")), "next")
-    return ids.select(F.lit("calls").alias("type"), "source", "target", F.struct(F.lit("imported").alias("resolution"), "callsites", "posargs", "kwargs", "splat").alias("extras"))
+    return ids.select(F.lit("calls").alias("type"), "source", "target", F.struct(F.when(F.col("splat"), "module").otherwise("imported").alias("resolution"), "callsites", "posargs", "kwargs", "splat").alias("extras"))
 
 
 def _imports(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +133,15 @@ def _imports(spark: SparkSession, sf: str) -> DataFrame:
     top = counts.withColumn("k", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("count"), "c_nationkey"))).where("k <= 2")
     nation = _nation(spark, sf)
     own = top.join(F.broadcast(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("module").alias("source"))), "s_nationkey")
-    return own.join(F.broadcast(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("module").alias("target"))), "c_nationkey").select(F.lit("imports").alias("type"), "source", "target")
+    return own.join(F.broadcast(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("module").alias("target"))), "c_nationkey").select(F.lit("imports").alias("type"), "source", "target").union(_part_imports(spark, sf))
+
+
+def _part_imports(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _library(spark, sf)
+    dozen = Window.partitionBy("dozen").orderBy("k")
+    ring = parts.select(F.col("module").alias("source"), F.coalesce(F.lead("module").over(dozen), F.first("module").over(dozen)).alias("target")).where("source <> target")
+    ahead = parts.select(F.col("module").alias("source"), (F.col("k") + 13 * (1 + F.col("k") % 7)).alias("k")).join(parts.select("k", F.col("module").alias("target")), "k").select("source", "target")
+    return ring.union(ahead).select(F.lit("imports").alias("type"), "source", "target")
 
 
 def _by_type(spark: SparkSession, sf: str) -> dict[str, Callable[[], DataFrame]]:
@@ -137,7 +162,8 @@ def _by_type(spark: SparkSession, sf: str) -> dict[str, Callable[[], DataFrame]]
 
     def touches(kind: str) -> DataFrame:
         own = table(spark, sf, "events").withColumn("key", F.get_json_object("props", "$.k")).where("key is not null").where(col("event_type").isin("purchase", "signup") == (kind == "writes"))
-        used = own.select(F.concat(lit("ev.U"), col("user_id").cast("string")).alias("source"), F.concat(lit("column:k"), col("key")).alias("target"), F.when(col("event_type") == "signup", "dict-literal").otherwise("subscript").alias("access")).distinct()
+        orders = _touching(spark, sf).where(col("writes") == (kind == "writes")).select("source", F.concat(lit("column:"), "key").alias("target"), lit("subscript").alias("access"))
+        used = own.select(F.concat(lit("ev.U"), col("user_id").cast("string")).alias("source"), F.concat(lit("column:k"), col("key")).alias("target"), F.when(col("event_type") == "signup", "dict-literal").otherwise("subscript").alias("access")).union(orders).distinct()
         return make(used, kind, col("source"), col("target"), resolution=lit("string-key"), access=col("access"))
 
     return {
@@ -154,26 +180,32 @@ def _by_type(spark: SparkSession, sf: str) -> dict[str, Callable[[], DataFrame]]
     }
 
 
-def project(spark: SparkSession, sf: str) -> PropertyGraph:
-    """The graph over a folder of tables; types of edges that a query doesn't ask for aren't even planned."""
+def project(spark: SparkSession, sf: str, keep: bool = False) -> PropertyGraph:
+    """The graph over a folder of tables; types of edges that a query doesn't ask for aren't even planned. keep: nodes and each type of edges
+    are stored as tables in the shared folder when they are first asked for, so that a projection is made once for all questions."""
     sf = Folder(sf)
-    return PropertyGraph("w", lambda: _nodes(spark, sf), by_type=_by_type(spark, sf))
+    kept = stored if keep else lambda df: df
+    return PropertyGraph("w", lambda: kept(_nodes(spark, sf)), by_type={k: lambda f=f: kept(f()) for k, f in _by_type(spark, sf).items()})
 
 
 TABLES = f"""
 nat AS (SELECT n_nationkey, printf('w.R%d.N%d', n_regionkey, n_nationkey) AS module, printf('w/R%d/N%d.py', n_regionkey, n_nationkey) AS file, n_regionkey FROM nation),
-cus AS (SELECT c_custkey, module || '.C' || c_custkey AS class_id, module, file, c_mktsegment AS segment,
+cus AS (SELECT c_custkey, module || CASE WHEN c_custkey % 50 = 0 THEN '.Log' ELSE '.C' END || c_custkey AS class_id, module, file, c_mktsegment AS segment,
   CASE c_mktsegment WHEN 'MACHINERY' THEN 'tests' WHEN 'HOUSEHOLD' THEN 'docs' ELSE 'core' END AS root FROM customer JOIN nat ON c_nationkey = n_nationkey),
 sup AS (SELECT s_suppkey, s_acctbal, module, file, module || '.S' || s_suppkey AS class_id FROM supplier JOIN nat ON s_nationkey = n_nationkey),
-ord AS (SELECT o_orderkey, class_id || '.O' || o_orderkey AS id, class_id, file, segment, root, o_orderstatus, o_orderpriority,
+ord AS MATERIALIZED (SELECT o_orderkey, class_id || '.O' || o_orderkey AS id, class_id, file, segment, root, o_orderstatus, o_orderpriority,
   (10 * row_number() OVER (PARTITION BY file ORDER BY o_orderkey))::INT AS line FROM orders JOIN cus ON o_custkey = c_custkey),
-evk AS (SELECT 'ev.U' || user_id AS source, 'column:k' || json_extract_string(props, '$.k') AS target, event_type IN ('purchase', 'signup') AS writes, event_type <> 'signup' AS subscript FROM events),
-dref AS (SELECT DISTINCT 'docs/d' || doc_id || '.md' AS source, 'bench.I' || item_id AS target
+lib AS (SELECT p_partkey AS k, printf('w.L%d.M%d', p_partkey % 7, p_partkey) AS module, p_partkey // 12 AS dozen FROM part),
+evk AS (SELECT 'ev.U' || user_id AS source, 'column:k' || json_extract_string(props, '$.k') AS target, event_type IN ('purchase', 'signup') AS writes, event_type <> 'signup' AS subscript FROM events
+  UNION ALL SELECT id, 'column:status', true, true FROM ord WHERE o_orderkey % 8 = 0 UNION ALL SELECT id, 'column:priority', false, true FROM ord WHERE o_orderkey % 12 = 0),
+dref AS MATERIALIZED (SELECT DISTINCT 'docs/d' || doc_id || '.md' AS source, 'bench.I' || item_id AS target
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) JOIN (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) USING (line) WHERE length(line) >= {LINE}),
-nodes AS (
+nodes AS MATERIALIZED (
   SELECT 'w' AS id, 'module' AS kind, 'core' AS root, 'w/__init__.py' AS file, 1 AS lineno, NULL::INT AS endlineno, 'public' AS visibility, NULL AS signature, NULL AS docstring, NULL AS param, NULL AS returns, NULL AS reg_decorator, NULL AS reg_key, NULL AS key, NULL::BOOLEAN AS subscripted
   UNION ALL SELECT printf('w.R%d', r_regionkey), 'module', 'core', printf('w/R%d/__init__.py', r_regionkey), 1, NULL, 'public', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM region
   UNION ALL SELECT module, 'module', 'core', file, 1, NULL, 'public', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM nat
+  UNION ALL SELECT module, 'module', 'core', NULL, NULL, NULL, 'public', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM lib
+  UNION ALL SELECT DISTINCT 'proto.' || p_type, 'class', 'core', NULL, NULL, NULL, 'public', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM part
   UNION ALL SELECT class_id, 'class', root, NULL, NULL, NULL, 'public', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM cus
   UNION ALL SELECT class_id, 'class', 'core', file, NULL, NULL, 'public', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM sup
   UNION ALL SELECT id, 'function', root, file, line, (line + 5 + o_orderkey % 10)::INT, CASE WHEN o_orderstatus = 'F' THEN 'private' ELSE 'public' END,
@@ -187,9 +219,11 @@ cal AS (SELECT l_orderkey, next, count(*) AS callsites, list_sort(list(DISTINCT
   FROM nxt WHERE next IS NOT NULL AND next <> l_orderkey GROUP BY ALL),
 trade AS (SELECT s_nationkey, c_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY count(*) DESC, c_nationkey) AS k
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey),
-calls AS (SELECT a.id AS source, b.id AS target, callsites, posargs, kwargs, splat FROM cal JOIN ord a ON a.o_orderkey = l_orderkey JOIN ord b ON b.o_orderkey = next),
-imports AS (SELECT a.module AS source, b.module AS target FROM trade JOIN nat a ON a.n_nationkey = s_nationkey JOIN nat b ON b.n_nationkey = c_nationkey WHERE k <= 2),
-edges AS (
+calls AS MATERIALIZED (SELECT a.id AS source, b.id AS target, callsites, posargs, kwargs, splat, CASE WHEN splat THEN 'module' ELSE 'imported' END AS resolution FROM cal JOIN ord a ON a.o_orderkey = l_orderkey JOIN ord b ON b.o_orderkey = next),
+imports AS (SELECT a.module AS source, b.module AS target FROM trade JOIN nat a ON a.n_nationkey = s_nationkey JOIN nat b ON b.n_nationkey = c_nationkey WHERE k <= 2
+  UNION ALL SELECT * FROM (SELECT module AS source, coalesce(lead(module) OVER d, first_value(module) OVER d) AS target FROM lib WINDOW d AS (PARTITION BY dozen ORDER BY k)) WHERE source <> target
+  UNION ALL SELECT a.module, b.module FROM lib a JOIN lib b ON b.k = a.k + 13 * (1 + a.k % 7)),
+edges AS MATERIALIZED (
   SELECT 'contains' AS type, 'w' AS source, printf('w.R%d', r_regionkey) AS target FROM region
   UNION ALL SELECT 'contains', printf('w.R%d', n_regionkey), module FROM nat
   UNION ALL SELECT 'contains', module, class_id FROM cus

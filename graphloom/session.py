@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,19 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, stored in the shared folder, with their lineage cut. A lost executor costs no recomputation of what came before."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: later reads take only the columns they need, and a lost executor costs nothing."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/graphloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._graphloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote, once nothing reads it any more."""
+    jvm = df.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path(df._graphloom_path)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
