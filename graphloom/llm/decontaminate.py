@@ -34,8 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, fresh, sized, stored
+from graphloom.llm.common import fresh, sized
 from graphloom.llm.textkit import TOKEN, Hasher, chunks
+from graphloom.session import discard, stored
 
 SEGMENT = 8 << 20
 #: Items searched in one pass; more are searched in several, so that what each task holds of the benchmark stays small.

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.session import stored
 from graphloom.llm.measures import MEASURES, SQL, measured
 
 #: Bit i is the i-th rule: it fails where the condition holds. New rules go to the end, so that old ledgers keep their meaning.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.session import stored
 from graphloom.llm.licensepack import TEMPLATES
 from graphloom.llm.textkit import Hasher, chunks, grams
 

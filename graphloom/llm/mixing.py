@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import ledger
-from graphloom.llm.common import running_total, stored
+from graphloom.llm.common import running_total
+from graphloom.session import stored
 
 def entries_of(docs: DataFrame) -> DataFrame:
     """The ledger that ``mix`` takes, stored."""

@@ -28,8 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, fresh, sized, stored
+from graphloom.llm.common import components, fresh, sized
 from graphloom.llm.textkit import Hasher, chunks, grams, mix
+from graphloom.session import stored
 
 SHINGLE = 3
 ROWS, BANDS = 4, 40

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import boosting
-from graphloom.llm.common import stored
+from graphloom.session import stored
 from graphloom.llm.measures import measured
 
 SAMPLE = 20_000
