@@ -22,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontaminate, langid, mixing, neardup, pii
-from graphloom.llm.common import stored
-from graphloom.session import table
+from graphloom.session import stored, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
