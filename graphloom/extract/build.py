@@ -11,7 +11,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.extract.facts import consumer_facts, python_facts
+from graphloom.extract.facts import consumer_facts, python_facts, skipped
 from graphloom.model import EDGES, NODES, PropertyGraph, ancestry, canonical_order, conform, parent, short, union
 from graphloom.session import cut
 
@@ -24,17 +24,18 @@ DEFINITION = (
 )
 
 
-def sources(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+def sources(spark: SparkSession, folder: str, glob: str, only: set[str] | None = None) -> DataFrame:
     """``(path, text)`` of the files of a folder, or a URI of one, and those below; path begins with the folder's own name.
 
     Spark's own file sources leave out names that begin with an underscore, as ``__init__.py`` does. So the driver lists the paths
-    and the tasks read the files. Files that aren't UTF-8 are left out.
+    and the tasks read the files. The text of a file that isn't UTF-8 is null. only: the paths to keep, as a repository lists them.
     """
     system, root = fs.FileSystem.from_uri(folder if "://" in folder else str(Path(folder).resolve()))
     base = root.rstrip("/").rpartition("/")[0]
     found = system.get_file_info(fs.FileSelector(root, recursive=True))
     paths = sorted(f.path for f in found if f.type == fs.FileType.File and fnmatch(f.base_name, glob))
     paths = [p[len(base) + 1 :] for p in paths if not set(p[len(base) + 1 :].split("/")) & set(SKIPPED)]
+    paths = [p for p in paths if only is None or p in only]
     rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths) // 16 + 1, 4096)))
     uri = folder
 
@@ -47,7 +48,7 @@ def sources(spark: SparkSession, folder: str, glob: str) -> DataFrame:
                     try:
                         out.append((p, f.read().decode("utf-8-sig")))
                     except UnicodeDecodeError:
-                        pass
+                        out.append((p, None))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in (0, 1)], ["path", "text"])
 
     return rows.mapInArrow(read, "path string, text string")
@@ -59,7 +60,7 @@ def _facts(files: DataFrame, worker) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
-                rows = worker(path, text or "")
+                rows = [skipped(path, "not UTF-8")] if text is None else worker(path, text)
                 if rows:
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([*[pa.array(list(c), pa.string()) for c in cols], pa.array(range(len(rows)), pa.int64())], ["fact", "id", "target", "data", "n"])
@@ -98,6 +99,12 @@ def contract(df: DataFrame, *keys: str) -> DataFrame:
     return own.select(*keys, "callsites", F.when(F.size("p") > 0, F.col("p")).alias("posargs"), F.when(F.size("k") > 0, F.col("k")).alias("kwargs"), F.when(F.col("sp"), True).alias("splat"))
 
 
+def sized(names: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A table of names, of registries or protocols, broadcast while it is small; pairs of names are matched by parts of them, so no key can join them."""
+    kept = cut(names)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def family_of(decorator: Column) -> tuple[Column, Column]:
     """(registry class, token) of a registering decorator's path."""
     registry = F.when(decorator.contains("."), F.substring_index(F.substring_index(decorator, ".", -2), ".", 1)).otherwise("")
@@ -106,16 +113,17 @@ def family_of(decorator: Column) -> tuple[Column, Column]:
 
 
 def extract(spark: SparkSession, package: str, deep: bool = False) -> PropertyGraph:
-    """The graph of a package's folder."""
-    if deep:
-        raise NotImplementedError("calls are resolved by name only; type inference needs an analyser that isn't part of this package")
+    """The graph of a package's folder. deep: methods called on local names, new objects and attributes of self are resolved by their types."""
     if "://" not in package and not Path(package).is_dir():
         raise NotADirectoryError(f"not a package's folder: {package}")
-    return extract_files(sources(spark, package, "*.py"), package.rstrip("/").rpartition("/")[2])
+    return extract_files(sources(spark, package, "*.py"), package.rstrip("/").rpartition("/")[2], deep)
 
 
-def extract_files(files: DataFrame, target: str) -> PropertyGraph:
-    """The graph of a package whose files are rows ``(path, text)``, the paths beginning with the package's name."""
+def extract_files(files: DataFrame, target: str, deep: bool = False) -> PropertyGraph:
+    """The graph of a package whose files are rows ``(path, text)``, the paths beginning with the package's name.
+
+    Its ``skipped`` has ``(path, reason)`` of the files that couldn't be read or parsed.
+    """
     facts = cut(_facts(files, _core_worker))
     of = lambda fact: facts.where(F.col("fact") == fact)
     edges: list[DataFrame] = []
@@ -148,12 +156,14 @@ def extract_files(files: DataFrame, target: str) -> PropertyGraph:
     scope = scope.union(bases.join(scope.withColumnRenamed("class_id", "base"), "base").select("class_id", "name")).distinct().withColumn("has", F.lit(True))
     functions = nodes.select(F.col("id").alias("source"))
     shape = F.from_json("data", SHAPE)
-    called = pairs("call").join(functions, "source", "left_semi").select("source", "target", shape.alias("s"), *[F.get_json_object("data", f"$.{k}").alias(a) for k, a in (("how", "how"), ("class_id", "class_id"), ("name", "name"), ("otherwise.how", "other_how"), ("otherwise.target", "other_target"))])
+    called = pairs("call").join(functions, "source", "left_semi").select("source", "target", shape.alias("s"), *[F.get_json_object("data", f"$.{k}").alias(a) for k, a in (("how", "how"), ("class_id", "class_id"), ("name", "name"), ("otherwise.how", "other_how"), ("otherwise.target", "other_target"), ("typed", "typed"), ("method", "method"))])
     called = called.join(scope, ["class_id", "name"], "left")
     fails = (F.col("how") == "self") & F.col("has").isNull()
-    called = called.select("source", "s", F.when(fails, F.col("other_how")).otherwise(F.col("how")).alias("how"), F.when(fails, F.col("other_target")).otherwise(F.col("target")).alias("target"))
+    called = called.select("source", "s", "typed", "method", F.when(fails, F.col("other_how")).otherwise(F.col("how")).alias("how"), F.when(fails, F.col("other_target")).otherwise(F.col("target")).alias("target"))
+    if deep:
+        called = _by_type(called, nodes, reached, scope)
     called = cut(called)
-    resolved = F.col("how").isin("module", "self", "imported")
+    resolved = F.col("how").isin("deep", "module", "self", "imported")
     by_name = contract(called.where(resolved), "source", "target").join(called.where(resolved).groupBy("source", "target").agg(F.first("how").alias("resolution")), ["source", "target"])
     edge(by_name, "calls", resolution=F.col("resolution"), callsites=F.col("callsites"), posargs=F.col("posargs"), kwargs=F.col("kwargs"), splat=F.col("splat"))
     coverage = called.groupBy(F.col("source").alias("id")).agg(F.struct(F.count("*").alias("out"), F.count_if(resolved).alias("resolved"), *[F.count_if(F.col("how") == h).alias(h) for h in ("external", "unresolved", "dynamic")]).alias("calls"))
@@ -162,7 +172,7 @@ def extract_files(files: DataFrame, target: str) -> PropertyGraph:
     registry, token = family_of(F.col("decorator"))
     registered = nodes.where("extras.registry is not null").select("id", F.col("extras.registry.decorator").alias("decorator"), F.col("extras.registry.key").alias("key")).withColumn("registry", registry).withColumn("token", token)
     members = cut(registered.groupBy("registry", "token", "key").agg(F.max("id").alias("member")))
-    families = members.select("registry", "token").distinct()
+    families = sized(members.select("registry", "token").distinct())
     ways = of("dispatch").union(of("bind")).select("fact", "id", "target", "n", *[F.get_json_object("data", f"$.{k}").alias(k) for k in ("receiver", "name", "key")])
     fits = F.when(F.col("receiver").isNotNull(), (F.col("receiver") == F.col("registry")) & F.col("name").contains(F.col("token"))).otherwise((F.col("token") != "") & F.col("name").contains(F.col("token")))
     matched = ways.join(families, fits).withColumn("k", F.row_number().over(Window.partitionBy("fact", "id", "target", "n", "receiver", "name").orderBy("registry", "token"))).where("k = 1")
@@ -177,7 +187,7 @@ def extract_files(files: DataFrame, target: str) -> PropertyGraph:
     protocols = pairs("inherits").where("target = 'typing.Protocol'").select(F.col("source").alias("protocol"), F.lower(short("source")).alias("lower")).distinct()
     stem = F.lower(F.regexp_replace("registry", "Registry$", ""))
     match = F.when((F.col("token") != "") & F.col("lower").contains(F.col("token")), 1).when((stem != "") & F.col("lower").contains(stem), 2)
-    chosen = families.crossJoin(protocols).withColumn("way", match).where("way is not null").groupBy("registry", "token").agg(F.min(F.struct("way", "lower", "protocol")).alias("m"))
+    chosen = families.join(sized(protocols), match.isNotNull()).withColumn("way", match).groupBy("registry", "token").agg(F.min(F.struct("way", "lower", "protocol")).alias("m"))
     implements = members.join(chosen, ["registry", "token"]).select(F.col("member").alias("source"), F.col("m.protocol").alias("target")).distinct()
     edge(implements, "implements", via=F.lit("registry"))
 
@@ -190,18 +200,36 @@ def extract_files(files: DataFrame, target: str) -> PropertyGraph:
 
     none = F.struct(*[F.lit(0).cast("long").alias(k) for k in ("out", "resolved", "external", "unresolved", "dynamic")])
     full = nodes.join(coverage, "id", "left").withColumn("extras", F.struct(F.lit("core").alias("root"), "extras.annotation", "extras.params", "extras.returns", F.when(F.col("kind") == "function", F.coalesce("calls", none)).alias("calls"), "extras.control", "extras.is_dataclass", "extras.registry"))
-    return PropertyGraph(target, cut(conform(full, NODES).union(conform(columns, NODES))), cut(canonical_order(union(edges))))
+    graph = PropertyGraph(target, cut(conform(full, NODES).union(conform(columns, NODES))), cut(canonical_order(union(edges))))
+    graph.skipped = _skipped(facts)
+    return graph
+
+
+def _skipped(facts: DataFrame) -> DataFrame:
+    return facts.where("fact = 'skipped'").select(F.col("id").alias("path"), F.get_json_object("data", "$.reason").alias("reason"))
+
+
+def _by_type(called: DataFrame, nodes: DataFrame, reached: DataFrame, scope: DataFrame) -> DataFrame:
+    """Calls with the methods of known types resolved: the type's path must name a class, here or by a re-export, and the class or a base of it
+    have the method. Every call that ends in the package is then marked ``deep``."""
+    exports = reached.select(F.concat_ws(".", "source", F.get_json_object("data", "$.name")).alias("path"), "target")
+    classes = nodes.where("kind = 'class'").select(F.col("id").alias("owner"))
+    types = resolve_paths(nodes, exports, called.where("typed is not null").select(F.col("typed").alias("path"))).select(F.col("path").alias("typed"), F.col("id").alias("owner")).join(classes, "owner", "left_semi")
+    found = called.join(types, "typed", "left").join(scope.select(F.col("class_id").alias("owner"), F.col("name").alias("method"), F.lit(True).alias("fits")), ["owner", "method"], "left")
+    ways = F.col("how").isin("module", "self", "imported")
+    by = F.coalesce("fits", F.lit(False)) & ~ways
+    return found.select("source", "s", F.when(by | ways, "deep").otherwise(F.col("how")).alias("how"), F.when(by, F.concat_ws(".", "owner", "method")).otherwise(F.col("target")).alias("target"))
 
 
 def extract_repo(spark: SparkSession, core: str, consumers: tuple[str, ...] = (), docs: tuple[str, ...] = (), mode: str = "thin", deep: bool = False) -> PropertyGraph:
     """The graph of a package with what uses it: folders of Python files (each a root of its own name) and of Markdown files."""
     if mode not in ("thin", "full"):
-        raise ValueError(f"mode must be 'thin' or 'full', got {mode!r}")
+        raise ValueError(f"consumers are read thin or full, not {mode!r}")
     graph = extract(spark, core, deep)
     package = graph.target
     exports = graph.of("export").select(F.concat_ws(".", "source", "extras.as").alias("path"), "target")
     modules = graph.nodes.where("kind = 'module'").select(F.col("id").alias("module"))
-    nodes, edges = [graph.nodes], [graph.edges]
+    nodes, edges, lost = [graph.nodes], [graph.edges], graph.skipped
     for folder in consumers:
         if "://" not in folder and not Path(folder).is_dir():
             continue
@@ -211,6 +239,7 @@ def extract_repo(spark: SparkSession, core: str, consumers: tuple[str, ...] = ()
             return consumer_facts(path.removesuffix(".py").removesuffix("/__init__").replace("/", "."), text, path, package, full)
 
         facts = cut(_facts(sources(spark, folder, "*.py"), worker))
+        lost = lost.union(_skipped(facts))
         root = F.struct(F.lit(label).alias("root")).alias("extras")
         own = facts.where("fact = 'consumer'").select("id", F.lit("module").alias("kind"), F.get_json_object("data", "$.file").alias("file"), root)
         defs = facts.where("fact = 'consumer_def'").select("id", F.get_json_object("data", "$.kind").alias("kind"), F.get_json_object("data", "$.lineno").cast("int").alias("lineno"), root, "target")
@@ -230,10 +259,14 @@ def extract_repo(spark: SparkSession, core: str, consumers: tuple[str, ...] = ()
     for folder in docs:
         if "://" not in folder and not Path(folder).is_dir():
             continue
-        refs = doc_references(sources(spark, folder, "*.md"), graph.nodes, exports, package)
+        texts = sources(spark, folder, "*.md")
+        lost = lost.union(texts.where("text is null").select("path", F.lit("not UTF-8")))
+        refs = doc_references(texts.where("text is not null"), graph.nodes, exports, package)
         nodes.append(conform(refs.select(F.col("source").alias("id"), F.lit("doc").alias("kind"), F.col("source").alias("file"), F.struct(F.lit("docs").alias("root")).alias("extras")).distinct(), NODES))
         edges.append(conform(refs.select(F.lit("references").alias("type"), "source", "target", F.struct(F.lit("doc").alias("resolution")).alias("extras")), EDGES))
-    return PropertyGraph(package, cut(union(nodes)), cut(canonical_order(union(edges))))
+    out = PropertyGraph(package, cut(union(nodes)), cut(canonical_order(union(edges))))
+    out.skipped = lost
+    return out
 
 
 def doc_references(files: DataFrame, nodes: DataFrame, exports: DataFrame, package: str) -> DataFrame:

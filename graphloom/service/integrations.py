@@ -27,10 +27,32 @@ class Integration:
     license: str
     capabilities: frozenset[str]
     program: str
+    #: of a router: how it is asked for a capability; "{question}" stands for the question.
+    arguments: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     def available(self) -> bool:
         return shutil.which(self.program) is not None
 
+    @property
+    def permissive(self) -> bool:
+        return self.license.strip().lower() in PERMISSIVE
+
+    def notice(self) -> str | None:
+        """What a user must know before asking a tool whose license restricts its use."""
+        if self.permissive:
+            return None
+        return f"{self.name} has the license {self.license}. Its answers are for non-commercial use only, unless its author has licensed other use: don't switch it on for commercial work."
+
+    def command(self, capability: str, question: str) -> list[str]:
+        own = dict(self.arguments)
+        if self.mode != "router" or capability not in own:
+            raise ValueError(f"{self.name} can't be asked for {capability!r}")
+        return [self.program, *(question if a == "{question}" else a for a in own[capability])]
+
+    def route(self, capability: str, question: str, timeout: float = 120) -> dict:
+        """The tool's own answer as it is, null if it fails, with where it comes from. It never becomes part of a graph."""
+        return {"source": self.name, "passthrough": True, "disclaimer": self.notice(), "payload": ask(self.command(capability, question), timeout)}
+
 
 @dataclasses.dataclass(frozen=True)
 class Config:
@@ -54,7 +76,7 @@ class Registry:
     def add(self, tool: Integration) -> None:
         if tool.mode not in ("adapter", "router"):
             raise ValueError(f"no such mode: {tool.mode}")
-        if tool.mode == "adapter" and tool.license.strip().lower() not in PERMISSIVE:
+        if tool.mode == "adapter" and not tool.permissive:
             raise ValueError(f"{tool.name} can only be a router under the license {tool.license!r}")
         self.known[tool.name] = tool
 
@@ -76,3 +98,21 @@ def ask(command: list[str], timeout: float = 120, text: str | None = None):
 def external(rows: DataFrame, resolver: str) -> DataFrame:
     """Rows of another tool, marked as such, to be stored beside the graph."""
     return rows.withColumn("provenance", F.lit("external")).withColumn("resolver", F.lit(resolver))
+
+
+def write_external(nodes: DataFrame, edges: DataFrame, resolver: str, path: str, deterministic: bool = False) -> None:
+    """Another tool's nodes and edges as Parquet beside a graph, marked row by row, with a description that says that they aren't canonical."""
+    external(nodes, resolver).write.mode("overwrite").parquet(f"{path}/nodes")
+    external(edges, resolver).write.mode("overwrite").parquet(f"{path}/edges")
+    about = {"resolver": resolver, "deterministic": deterministic, "canonical": False}
+    nodes.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+#: The tools that this package knows of; none is switched on unless the configuration names it.
+REGISTRY = Registry()
+REGISTRY.add(
+    Integration(
+        "gitnexus", "router", "PolyForm-Noncommercial-1.0.0", frozenset({"semantic-search", "flow-narrative", "community-clusters"}), "gitnexus",
+        (("semantic-search", ("search", "{question}", "--json")), ("flow-narrative", ("trace", "{question}", "--json")), ("community-clusters", ("check", "--clusters", "--json"))),
+    )
+)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.model import SCHEMA_VERSION, PropertyGraph
 from graphloom.operators import communities, locate, lookup, neighbors, review, traverse
 from graphloom.sinks import rag, text
-from graphloom.sources.freshness import freshness
+from graphloom.sources.freshness import age
 
 PARTIAL = {"callers", "callees", "impact", "flows", "call_contract"}
 NOTE = "calls are resolved as far as the source tells, so there may be more"
@@ -86,8 +86,8 @@ class Session:
         kinds = {r.kind: r.n for r in lookup.stats_kinds(self.graph).collect()}
         types = {r.type: r.n for r in lookup.stats_edges(self.graph).collect()}
         out = {"target": self.graph.target, "schema": SCHEMA_VERSION, "nodes": sum(kinds.values()), "edges": sum(types.values()), "node_kinds": kinds, "edge_types": types}
-        age = freshness(self.graph_path)
-        return out | ({"freshness": age} if age else {})
+        known = age(self.graph_path)
+        return out | ({"freshness": known} if known else {})
 
     def _op_query(self, args: dict) -> dict:
         g, name = self.graph, args["name"]
@@ -127,25 +127,8 @@ class Session:
 
     def _op_impact(self, args: dict) -> dict:
         symbol, depth = args["symbol"], int(args.get("depth", 2))
-        ids = self.ids(lookup.impact_targets(self.graph, self.one(symbol, "input")), "id")
-        own: dict[str, list[dict]] = {i: [] for i in ids}
-        if ids:
-            asked = self.spark.createDataFrame([(i,) for i in ids], "symbol string")
-            for r in self.rows(traverse.impact(self.graph, asked, depth).orderBy("symbol", "distance", "root", "type", "source", "target")):
-                own[r.pop("symbol")].append(r)
-        out = []
-        for i, refs in own.items():
-            by_root: dict = {}
-            by_distance: dict = {}
-            for r in refs:
-                kinds = by_root.setdefault(r["root"], {})
-                kinds[r["type"]] = kinds.get(r["type"], 0) + 1
-                by_distance[r["distance"]] = by_distance.get(r["distance"], 0) + 1
-            far = max(by_distance, default=0)
-            n, roots = len(refs), len(by_root)
-            risk = "none" if not n else "high" if n >= 30 or roots >= 4 or (n >= 15 and far >= 3) else "medium" if n >= 5 or roots >= 2 or far >= 2 else "low"
-            out.append({"symbol": i, "refs": refs, "by_root": by_root, "by_distance": by_distance, "max_distance": far, "risk": risk})
-        return {"symbol": symbol, "impact": out, "markdown": text.impact(self.graph, symbol, depth)}
+        found = text.impact_facts(self.graph, symbol, depth)
+        return {"symbol": symbol, "impact": found, "markdown": text.impact_of(symbol, found)}
 
     def _op_resolve(self, args: dict) -> dict | None:
         return self.resolve(args["name"])

@@ -36,7 +36,7 @@ def symbol_kind(graph: PropertyGraph) -> DataFrame:
     return rows.select("id", F.when(F.col("kind") == "module", "Module").when(F.col("kind") == "class", "Class").when(F.col("kind") == "function", F.when(inside, "Method").otherwise("Function")).when(F.col("kind") == "attribute", F.when(inside, "Field").otherwise("Variable")).otherwise("UnspecifiedKind").alias("symbol_kind"))
 
 
-def index(graph: PropertyGraph) -> DataFrame:
+def index(graph: PropertyGraph, package: str | None = None, version: str = ".") -> DataFrame:
     """``(file, language, symbol, symbol_kind, start, end, test, documentation, relations)``: definitions that have a file; lines count from 0.
 
     end is null where a definition takes one line; relations list the descriptors of bases and protocols that are nodes.
@@ -46,7 +46,7 @@ def index(graph: PropertyGraph) -> DataFrame:
     named = descriptors(graph)
     related = type_relations(graph).join(named.withColumnRenamed("id", "target"), "target").groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_set("descriptor")).alias("relations"))
     out = own.join(named, "id").join(symbol_kind(graph), "id").join(related, "id", "left")
-    return out.select("file", F.when(F.col("file").endswith(".py"), "Python").otherwise("").alias("language"), F.concat_ws(" ", F.lit(SCHEME), F.lit(graph.target), F.lit("."), "descriptor").alias("symbol"), "symbol_kind", "start", "end", "test", F.col("docstring").alias("documentation"), F.coalesce("relations", F.expr("cast(array() as array<string>)")).alias("relations"))
+    return out.select("file", F.when(F.col("file").endswith(".py"), "Python").otherwise("").alias("language"), F.concat_ws(" ", F.lit(SCHEME), F.lit(package or graph.target), F.lit(version), "descriptor").alias("symbol"), "symbol_kind", "start", "end", "test", F.col("docstring").alias("documentation"), F.coalesce("relations", F.expr("cast(array() as array<string>)")).alias("relations"))
 
 
 #: Numbers of the published index format.
@@ -83,14 +83,14 @@ def _document(file: str, rows: list, prefix: str) -> bytes:
     return _bytes(1, file) + b"".join(occurrences) + b"".join(infos) + language + _number(6, UTF8)
 
 
-def write_index(graph: PropertyGraph, path: str, project_root: str, version: str = "0.1") -> None:
+def write_index(graph: PropertyGraph, path: str, project_root: str, package: str | None = None, package_version: str = ".", version: str = "0.1") -> None:
     """The index as protocol buffers of the public code-intelligence format, one document at a time: the driver holds one file's symbols."""
-    prefix = f"{SCHEME} {graph.target} . "
+    prefix = f"{SCHEME} {package or graph.target} {package_version} "
     tool = _bytes(1, "graphloom") + _bytes(2, version)
     with open(path, "wb") as out:
         out.write(_bytes(1, _bytes(2, tool) + _bytes(3, f"file://{project_root}") + _number(4, UTF8)))
         file, rows = None, []
-        for r in index(graph).orderBy("file").toLocalIterator():
+        for r in index(graph, package, package_version).orderBy("file").toLocalIterator():
             if rows and r.file != file:
                 out.write(_bytes(2, _document(file, rows, prefix)))
                 rows = []

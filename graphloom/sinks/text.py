@@ -153,22 +153,43 @@ def architecture(graph: PropertyGraph) -> str:
     ])
 
 
-def impact(graph: PropertyGraph, symbol: str, depth: int = 2) -> str:
+def impact_facts(graph: PropertyGraph, symbol: str, depth: int = 2) -> list[dict]:
+    """For each node that the symbol stands for: its references, their numbers by root and distance, and its risk."""
     spark = graph.nodes.sparkSession
-    ids = [r.id for r in lookup.impact_targets(graph, spark.createDataFrame([(symbol,)], "input string")).orderBy("id").collect()]
+    ids = sorted(r.id for r in lookup.impact_targets(graph, spark.createDataFrame([(symbol,)], "input string")).collect())
+    own: dict[str, list[dict]] = {i: [] for i in ids}
+    if ids:
+        asked = spark.createDataFrame([(i,) for i in ids], "symbol string")
+        for r in traverse.impact(graph, asked, depth).orderBy("symbol", "distance", "root", "type", "source", "target").collect():
+            row = r.asDict(True)
+            own[row.pop("symbol")].append(row)
+    out = []
+    for i, refs in own.items():
+        by_root: dict = {}
+        by_distance: dict = {}
+        for r in refs:
+            kinds = by_root.setdefault(r["root"], {})
+            kinds[r["type"]] = kinds.get(r["type"], 0) + 1
+            by_distance[r["distance"]] = by_distance.get(r["distance"], 0) + 1
+        far, n, roots = max(by_distance, default=0), len(refs), len(by_root)
+        risk = "none" if not n else "high" if n >= 30 or roots >= 4 or (n >= 15 and far >= 3) else "medium" if n >= 5 or roots >= 2 or far >= 2 else "low"
+        out.append({"symbol": i, "refs": refs, "by_root": by_root, "by_distance": by_distance, "max_distance": far, "risk": risk})
+    return out
+
+
+def impact_of(symbol: str, found: list[dict]) -> str:
+    """The same as Markdown."""
     out = [f"# What depends on `{symbol}`", ""]
-    if not ids:
-        return "\n".join([*out, "No such symbol.", ""])
-    refs = traverse.impact(graph, spark.createDataFrame([(i,) for i in ids], "symbol string"), depth).cache()
-    about = {r.symbol: r for r in traverse.impact_summary(refs).collect()}
-    for i in ids:
-        s, own = about.get(i), refs.where(F.col("symbol") == i)
-        out += [f"## `{i}`: risk {s.risk if s else 'none'}", "", f"{s.breadth if s else 0} references, up to {s.max_distance if s else 0} steps away.", ""]
-        out += [f"- {r.root}, {r.type}: {r.n}" for r in traverse.impact_by_root(own).orderBy("root", "type").collect()]
-        direct = own.where("distance = 1").orderBy("root", "type", "source").limit(SHOWN["references"]).collect()
-        out += ["", *[f"- `{r.source}` {r.type} `{r.target}` ({r.root})" for r in direct], ""]
-    refs.unpersist()
-    return "\n".join(out)
+    for i in found:
+        out += [f"## `{i['symbol']}`: risk {i['risk']}", "", f"{len(i['refs'])} references, up to {i['max_distance']} steps away.", ""]
+        out += [f"- {root}, {kind}: {n}" for root, kinds in sorted(i["by_root"].items()) for kind, n in sorted(kinds.items())]
+        direct = [r for r in i["refs"] if r["distance"] == 1][: SHOWN["references"]]
+        out += ["", *[f"- `{r['source']}` {r['type']} `{r['target']}` ({r['root']})" for r in direct], ""]
+    return "\n".join(out if found else [*out, "No such symbol.", ""])
+
+
+def impact(graph: PropertyGraph, symbol: str, depth: int = 2) -> str:
+    return impact_of(symbol, impact_facts(graph, symbol, depth))
 
 
 def review(dossiers: DataFrame, unresolved: DataFrame | None = None) -> str:
@@ -224,3 +245,40 @@ def api_surface(graph: PropertyGraph) -> str:
 
 
 REPORTS = {"dependencies": dependencies, "dead-code": dead_code, "behavior": behavior, "architecture": architecture, "communities": subsystems, "flows": flows, "api-surface": api_surface}
+
+
+def _plain(df: DataFrame, *order) -> list[dict]:
+    return [r.asDict(True) for r in df.orderBy(*order).collect()]
+
+
+#: The same as data, for reports that are to be read by programs.
+FACTS = {
+    "dependencies": lambda g: {"target": g.target, "modules": structure.import_modules(g).count(), "imports": g.pairs("imports").count(), "cycles": sorted((r.path for r in traverse.import_cycles(g).collect()), key=lambda p: (len(p), p)), "most_depended": _plain(structure.most_depended(g), F.desc("n_importers"), "module")},
+    "dead-code": lambda g: {"target": g.target, "orphan_modules": {r.root: r.modules for r in structure.orphans_by_root(g).collect()}, "dead_symbols": [r.id for r in structure.dead_symbols(g).orderBy("id").collect()]},
+    "behavior": lambda g: {"target": g.target, "coverage": structure.coverage(g).first().asDict(), "by_resolution": {r.resolution: r.n for r in structure.calls_by_resolution(g).collect()}},
+    "architecture": architecture_facts,
+    "communities": lambda g: sorted((r.asDict(True) for r in communities.communities(g).collect()), key=lambda c: (-c["size"], c["modules"][0])),
+    "flows": lambda g: _plain(traverse.flow_reach(traverse.flow(g)), F.desc("reached"), "entry"),
+    "api-surface": lambda g: _plain(lookup.api_surface(g), "module", "id"),
+}
+
+
+def answer(found: dict) -> str:
+    """The answer to a query as short lines of text."""
+    listed = lambda names: ", ".join(names) or "none"
+    out = [found["name"], f"  defined at {listed(found['defined_at'])}"]
+    out += [f"  {m['kind']} {m['id']}" + (f" in {m['file']}, line {m['lines'][0]}" if m["file"] and m["lines"][0] else "") for m in found["matches"]]
+    for i, m in found.get("modules", {}).items():
+        out += ["", i, f"  imports {listed(m['dependencies'])}", f"  imported by {listed(m['dependents'])}"]
+    for i, c in found.get("classes", {}).items():
+        out += ["", i, f"  bases {listed(c['bases'])}", f"  subclasses {listed(c['subclasses'])}"]
+        out += [f"  {k} {listed(c[k])}" for k in ("implements", "implementers", "family") if c[k]]
+        if c["registered_as"]:
+            out.append(f"  registered by {_tail(c['registered_as'].get('decorator') or '?')} as {c['registered_as'].get('key')!r}")
+    for i, f in found.get("functions", {}).items():
+        out += ["", i, f"  calls {listed(f['callees'])}", f"  called by {listed(f['callers'])}"]
+        out += [f"  {how} {', '.join(keys)}" for how, keys in (f["columns"] or {}).items() if keys]
+    out += ["", *[f"{i} is used by " + ", ".join(f"{root} ({n})" for root, n in sorted(by.items())) for i, by in found.get("used_by", {}).items()]] if found.get("used_by") else []
+    if found.get("column"):
+        out += ["", "column", f"  written by {listed(found['column']['writes'])}", f"  read by {listed(found['column']['reads'])}"]
+    return "\n".join(out) + "\n"

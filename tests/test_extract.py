@@ -4,7 +4,7 @@ import textwrap
 
 import pytest
 
-from graphloom.extract.build import extract, extract_repo
+from graphloom.extract.build import extract, extract_files, extract_repo
 from graphloom.extract.facts import python_facts
 
 FILES = {
@@ -236,6 +236,28 @@ def test_errors(spark, folder):
         extract_repo(spark, str(folder / "shop"), mode="other")
     with pytest.raises(NotADirectoryError):
         extract(spark, str(folder / "nowhere"))
-    with pytest.raises(NotImplementedError):
-        extract(spark, str(folder / "shop"), deep=True)
-    assert python_facts("a", "def (", False, "a.py") == []
+    assert [r[:2] for r in python_facts("a", "def (", False, "a.py")] == [("skipped", "a.py")]
+
+
+DEEP = {
+    "pk/__init__.py": "from pk.core import Engine\n",
+    "pk/core.py": "class Base:\n    def stop(self): ...\n\nclass Engine(Base):\n    def run(self):\n        return self._step()\n    def _step(self): ...\n\ndef make():\n    return Engine()\n",
+    "pk/app.py": "import pk\nfrom pk.core import Engine, make\n\ndef local():\n    e = Engine()\n    e.run()\n    e.fly()\n\ndef given(e: Engine, f: 'Engine', g: int):\n    e.stop()\n    f.run()\n    g.run()\n\ndef chain():\n    pk.Engine().run()\n    with Engine() as x:\n        x.stop()\n\ndef lost():\n    e = Engine()\n    e = other()\n    e.run()\n    m = make()\n    m.run()\n\nclass Car:\n    def __init__(self):\n        self.engine = Engine()\n    def go(self):\n        self.engine.run()\n",
+    "pk/deep.py": "x = " + "+".join(["1"] * 5000) + "\n",
+}
+
+
+def test_calls_by_type(spark):
+    files = spark.createDataFrame(list(DEEP.items()), "path string, text string")
+    fast, deep = ({(e.source, e.target, e.extras.resolution) for e in extract_files(files, "pk", how).of("calls").collect()} for how in (False, True))
+    assert not any(t == "pk.core.Engine.run" for _, t, _ in fast) and {r for _, _, r in deep} == {"deep"}
+    assert {(s, t) for s, t, _ in deep} - {(s, t) for s, t, _ in fast} == {
+        ("pk.app.local", "pk.core.Engine.run"), ("pk.app.given", "pk.core.Engine.stop"), ("pk.app.given", "pk.core.Engine.run"), ("pk.app.chain", "pk.core.Engine.run"), ("pk.app.chain", "pk.core.Engine.stop"), ("pk.app.Car.go", "pk.core.Engine.run"),
+    }
+    assert {(s, t) for s, t, _ in fast} <= {(s, t) for s, t, _ in deep} and ("pk.core.Engine.run", "pk.core.Engine._step", "deep") in deep
+
+
+def test_files_left_out_are_named(spark):
+    files = spark.createDataFrame([*DEEP.items(), ("pk/bad.py", "def (:"), ("pk/none.py", None)], "path string, text string")
+    graph = extract_files(files, "pk")
+    assert {r.path: r.reason.split(":")[0] for r in graph.skipped.collect()} == {"pk/deep.py": "RecursionError", "pk/bad.py": "SyntaxError", "pk/none.py": "not UTF-8"}

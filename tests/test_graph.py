@@ -3,6 +3,7 @@
 import io
 import json
 import random
+from datetime import UTC, datetime
 
 import pytest
 
@@ -216,9 +217,9 @@ def test_canonical_document(spark, tmp_path):
     path.write_text(json.dumps(doc | {"other_schema": "7.0"}))
     with pytest.raises(ValueError):
         canonical.load(spark, str(path))
-    assert freshness.freshness(str(tmp_path / "none")) is None and freshness.freshness(str(path), now=0)["age_seconds"] == 0
-    freshness.record(str(path), ["build"], "/", "p")
-    assert freshness.freshness(str(path))["rebuild"] == {"argv": ["build"], "cwd": "/"}
+    assert freshness.age(str(tmp_path / "none")) is None and freshness.age(str(path), now=datetime.fromtimestamp(0, UTC))["age_seconds"] == 0 and freshness.age(None) is None
+    assert freshness.Recipe(str(path)).keep(argv=["build"], cwd="/", target="p") and not freshness.Recipe(str(tmp_path / "no" / "folder")).keep(argv=[])
+    assert freshness.age(str(path))["rebuild"] == {"argv": ["build"], "cwd": "/"}
 
 
 def test_session(small, tmp_path):
