@@ -8,7 +8,7 @@ Weights are those of the ledger of quality rules (``ledger.weight``): an eighth
 Tokens are the ledger's words. So mixing needs a ledger and no texts; one is made where none is given.
 
 Defined results: a null text or one without tokens has no tokens and costs nothing, so it is taken whenever the order reaches it;
-a null source is a source of its own; rows without doc_id share one draw; ties are ordered by doc_id and tokens, and rows equal in
+a document with more tokens than are left is passed over, with all after it; a null source is a source of its own; rows without doc_id share one draw; ties are ordered by doc_id and tokens, and rows equal in
 all of these may be taken in any order; an empty table gives none; a very long text is counted whole; other columns are ignored.
 """
 
