@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.extract.build import extract_files
+from graphloom.extract.build import extract_files, with_users
 from graphloom.model import PropertyGraph
 from graphloom.operators import communities, locate, lookup, manifest, neighbors, review, structure, traverse
 from graphloom.plans.projection import TABLES, project
@@ -254,6 +254,107 @@ def behavior_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.coverage(_sample(spark))
 
 
+# Sources written from tables: a package with a module for each nation and a class for each of its suppliers, files that use it, and texts.
+
+_CLASS = """@tag('k{k}')
+class S{k}(Base):
+    \"\"\"Supplier {k}.\"\"\"
+    limit: int = 3
+
+    def total(self, row: dict, flag: bool = False) -> float:
+        row['out{o}'] = row['in{i}']
+        return self.help(row, flag=True)
+
+    def help(self, row, flag=False):
+        return len(row)
+
+"""
+_BASE = "class Base:\n    def stop(self): ...\n\ndef tag(name):\n    return name\n"
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(k, module)``: suppliers with the module that holds their class."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    return s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("k"), F.format_string("gen.r%d.n%d", "n_regionkey", "n_nationkey").alias("module"))
+
+
+def _package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.lit(_CLASS)
+    for mark, value in (("{k}", F.col("k")), ("{o}", F.col("k") % 10), ("{i}", F.col("k") % 7)):
+        text = F.replace(text, F.lit(mark), value.cast("string"))
+    own = _written(spark, sf_dir).select("module", "k", text.alias("text")).groupBy("module").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("c"))
+    main = F.concat(F.lit("def main():\n    s = S"), F.col("c")[0]["k"].cast("string"), F.lit("()\n    return s.total({}, flag=1)\n"))
+    files = own.select(F.concat(F.replace(F.col("module"), F.lit("."), F.lit("/")), F.lit(".py")).alias("path"), F.concat(F.lit("from gen.base import Base, tag\n\n"), F.array_join("c.text", ""), main).alias("text"))
+    return files.union(spark.createDataFrame([("gen/base.py", _BASE)], "path string, text string"))
+
+
+@functools.lru_cache(maxsize=4)
+def _generated(application: str, sf_dir: str) -> PropertyGraph:
+    spark = SparkSession.active()
+    own, k = _written(spark, sf_dir), F.col("k").cast("string")
+    use = own.select(F.concat(F.lit("use/u"), k, F.lit(".py")).alias("path"), F.concat(F.lit("from "), "module", F.lit(" import S"), k, F.lit("\n\ndef go(row):\n    return S"), k, F.lit("(row, *row).total(row)\n")).alias("text"))
+    docs = own.select(F.concat(F.lit("docs/d"), k, F.lit(".md")).alias("path"), F.concat(F.lit("Call `"), "module", F.lit(".S"), k, F.lit(".total`, not gen.none.at.all.\n\n    from gen.base import tag as t, Base\n")).alias("text"))
+    return with_users(extract_files(_package_files(spark, sf_dir), "gen", deep=True), [("use", use)], [docs], "full")
+
+
+_GENERATED = """
+WITH w AS (SELECT s_suppkey AS k, printf('gen.r%d.n%d', n_regionkey, n_nationkey) AS module, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT *, module || '.S' || k AS id, 2 + 12 * i AS o FROM w), m AS (SELECT module, count(*) AS n, min(k) AS k FROM w GROUP BY module)
+"""
+
+
+@on_tables(
+    _GENERATED
+    + """SELECT id, kind, file, lineno::INT AS lineno, endlineno::INT AS endlineno, signature, docstring, root FROM (
+  SELECT module AS id, 'module' AS kind, replace(module, '.', '/') || '.py' AS file, NULL AS lineno, NULL AS endlineno, NULL AS signature, NULL AS docstring, 'core' AS root FROM m
+  UNION ALL SELECT id, 'class', replace(module, '.', '/') || '.py', o + 1, o + 11, NULL, 'Supplier ' || k || '.', 'core' FROM c
+  UNION ALL SELECT id || '.limit', 'attribute', replace(module, '.', '/') || '.py', o + 4, o + 4, NULL, NULL, 'core' FROM c
+  UNION ALL SELECT id || '.total', 'function', replace(module, '.', '/') || '.py', o + 6, o + 8, 'total(self, row: dict, flag: bool = False) -> float', NULL, 'core' FROM c
+  UNION ALL SELECT id || '.help', 'function', replace(module, '.', '/') || '.py', o + 10, o + 11, 'help(self, row, flag = False)', NULL, 'core' FROM c
+  UNION ALL SELECT module || '.main', 'function', replace(module, '.', '/') || '.py', 3 + 12 * n, 5 + 12 * n, 'main()', NULL, 'core' FROM m
+  UNION ALL SELECT * FROM (VALUES ('gen.base', 'module', 'gen/base.py', NULL, NULL, NULL, NULL, 'core'), ('gen.base.Base', 'class', 'gen/base.py', 1, 2, NULL, NULL, 'core'), ('gen.base.Base.stop', 'function', 'gen/base.py', 2, 2, 'stop(self)', NULL, 'core'), ('gen.base.tag', 'function', 'gen/base.py', 4, 5, 'tag(name)', NULL, 'core'))
+  UNION ALL SELECT DISTINCT 'column:out' || k % 10, 'column', NULL, NULL, NULL, NULL, NULL, 'core' FROM w UNION ALL SELECT DISTINCT 'column:in' || k % 7, 'column', NULL, NULL, NULL, NULL, NULL, 'core' FROM w
+  UNION ALL SELECT 'use.u' || k, 'module', 'use/u' || k || '.py', NULL, NULL, NULL, NULL, 'use' FROM w UNION ALL SELECT 'use.u' || k || '.go', 'function', NULL, 3, NULL, NULL, NULL, 'use' FROM w
+  UNION ALL SELECT 'docs/d' || k || '.md', 'doc', 'docs/d' || k || '.md', NULL, NULL, NULL, NULL, 'docs' FROM w)"""
+)
+def extract_generated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _generated(spark.sparkContext.applicationId, sf_dir).nodes.select("id", "kind", "file", "lineno", "endlineno", "signature", "docstring", "extras.root")
+
+
+@on_tables(
+    _GENERATED
+    + """SELECT type, source, target, exported_as, resolution, callsites, posargs, kwargs, splat FROM (
+  SELECT 'contains' AS type, module AS source, id AS target, NULL AS exported_as, NULL AS resolution, NULL::BIGINT AS callsites, NULL::INT[] AS posargs, NULL::VARCHAR[] AS kwargs, NULL::BOOLEAN AS splat FROM c
+  UNION ALL SELECT 'contains', id, id || x, NULL, NULL, NULL, NULL, NULL, NULL FROM c, (VALUES ('.limit'), ('.total'), ('.help')) v(x)
+  UNION ALL SELECT 'contains', module, module || '.main', NULL, NULL, NULL, NULL, NULL, NULL FROM m
+  UNION ALL SELECT 'contains', regexp_replace(module, '\\.[^.]*$', ''), module, NULL, NULL, NULL, NULL, NULL, NULL FROM m
+  UNION ALL SELECT 'contains', a, b, NULL, NULL, NULL, NULL, NULL, NULL FROM (VALUES ('gen', 'gen.base'), ('gen.base', 'gen.base.Base'), ('gen.base', 'gen.base.tag'), ('gen.base.Base', 'gen.base.Base.stop')) v(a, b)
+  UNION ALL SELECT 'decorated_by', id, 'gen.base.tag', NULL, NULL, NULL, NULL, NULL, NULL FROM c
+  UNION ALL SELECT 'inherits', id, 'gen.base.Base', NULL, NULL, NULL, NULL, NULL, NULL FROM c
+  UNION ALL SELECT 'export', module, 'gen.base.' || x, x, NULL, NULL, NULL, NULL, NULL FROM m, (VALUES ('Base'), ('tag')) v(x)
+  UNION ALL SELECT 'imports', module, 'gen.base', NULL, NULL, NULL, NULL, NULL, NULL FROM m
+  UNION ALL SELECT 'calls', id || '.total', id || '.help', NULL, 'deep', 1, [1], ['flag'], NULL FROM c
+  UNION ALL SELECT 'calls', module || '.main', module || '.S' || k, NULL, 'deep', 1, [0], NULL, NULL FROM m
+  UNION ALL SELECT 'calls', module || '.main', module || '.S' || k || '.total', NULL, 'deep', 1, [1], ['flag'], NULL FROM m
+  UNION ALL SELECT 'reads', id || '.total', 'column:in' || k % 7, NULL, 'string-key', NULL, NULL, NULL, NULL FROM c
+  UNION ALL SELECT 'writes', id || '.total', 'column:out' || k % 10, NULL, 'string-key', NULL, NULL, NULL, NULL FROM c
+  UNION ALL SELECT 'contains', 'use.u' || k, 'use.u' || k || '.go', NULL, NULL, NULL, NULL, NULL, NULL FROM w
+  UNION ALL SELECT 'imports', 'use.u' || k, module, NULL, NULL, NULL, NULL, NULL, NULL FROM w
+  UNION ALL SELECT 'calls', 'use.u' || k || '.go', id, NULL, 'imported', 1, NULL, NULL, true FROM c
+  UNION ALL SELECT 'references', 'docs/d' || k || '.md', t, NULL, 'doc', NULL, NULL, NULL, NULL FROM (SELECT k, unnest([id || '.total', 'gen.base', 'gen.base.Base', 'gen.base.tag']) AS t FROM c))"""
+)
+def extract_generated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _generated(spark.sparkContext.applicationId, sf_dir).edges.select("type", "source", "target", F.col("extras.as").alias("exported_as"), "extras.resolution", "extras.callsites", "extras.posargs", "extras.kwargs", "extras.splat")
+
+
+@on_tables(
+    _GENERATED
+    + """SELECT count(*) * 2 + 2 * (SELECT count(*) FROM m) AS n_out, count(*) + 2 * (SELECT count(*) FROM m) AS n_resolved, count(*) AS n_external, 0::BIGINT AS n_unresolved, 0::BIGINT AS n_dynamic FROM c"""
+)
+def extract_generated_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.coverage(_generated(spark.sparkContext.applicationId, sf_dir))
+
+
 # -- places and review --------------------------------------------------------
 
 

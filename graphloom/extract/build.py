@@ -222,23 +222,27 @@ def _by_type(called: DataFrame, nodes: DataFrame, reached: DataFrame, scope: Dat
 
 
 def extract_repo(spark: SparkSession, core: str, consumers: tuple[str, ...] = (), docs: tuple[str, ...] = (), mode: str = "thin", deep: bool = False) -> PropertyGraph:
-    """The graph of a package with what uses it: folders of Python files (each a root of its own name) and of Markdown files."""
+    """The graph of a package with what uses it: folders of Python files (each a root of its own name) and of Markdown files. Folders that
+    don't exist are passed over."""
     if mode not in ("thin", "full"):
         raise ValueError(f"consumers are read thin or full, not {mode!r}")
-    graph = extract(spark, core, deep)
+    there = lambda folder: "://" in folder or Path(folder).is_dir()
+    users = [(f.rstrip("/").rpartition("/")[2], sources(spark, f, "*.py")) for f in consumers if there(f)]
+    return with_users(extract(spark, core, deep), users, [sources(spark, f, "*.md") for f in docs if there(f)], mode)
+
+
+def with_users(graph: PropertyGraph, consumers: list[tuple[str, DataFrame]], docs: list[DataFrame], mode: str = "thin") -> PropertyGraph:
+    """A package's graph with what uses it: (root, files) of Python files, and Markdown files, all as rows ``(path, text)``."""
     package = graph.target
     exports = graph.of("export").select(F.concat_ws(".", "source", "extras.as").alias("path"), "target")
     modules = graph.nodes.where("kind = 'module'").select(F.col("id").alias("module"))
     nodes, edges, lost = [graph.nodes], [graph.edges], graph.skipped
-    for folder in consumers:
-        if "://" not in folder and not Path(folder).is_dir():
-            continue
-        label = folder.rstrip("/").rpartition("/")[2]
+    for label, files in consumers:
 
         def worker(path: str, text: str, full: bool = mode == "full"):
             return consumer_facts(path.removesuffix(".py").removesuffix("/__init__").replace("/", "."), text, path, package, full)
 
-        facts = cut(_facts(sources(spark, folder, "*.py"), worker))
+        facts = cut(_facts(files, worker))
         lost = lost.union(_skipped(facts))
         root = F.struct(F.lit(label).alias("root")).alias("extras")
         own = facts.where("fact = 'consumer'").select("id", F.lit("module").alias("kind"), F.get_json_object("data", "$.file").alias("file"), root)
@@ -256,10 +260,7 @@ def extract_repo(spark: SparkSession, core: str, consumers: tuple[str, ...] = ()
         edges.append(conform(how.select(F.lit("calls").alias("type"), "source", "target", F.struct(F.lit("imported").alias("resolution"), "callsites", "posargs", "kwargs", "splat").alias("extras")), EDGES))
         plain = uses.groupBy("source", "target").agg(F.bool_or("called").alias("called")).where("not called")
         edges.append(conform(plain.select(F.lit("references").alias("type"), "source", "target", F.struct(F.lit("imported").alias("resolution")).alias("extras")), EDGES))
-    for folder in docs:
-        if "://" not in folder and not Path(folder).is_dir():
-            continue
-        texts = sources(spark, folder, "*.md")
+    for texts in docs:
         lost = lost.union(texts.where("text is null").select("path", F.lit("not UTF-8")))
         refs = doc_references(texts.where("text is not null"), graph.nodes, exports, package)
         nodes.append(conform(refs.select(F.col("source").alias("id"), F.lit("doc").alias("kind"), F.col("source").alias("file"), F.struct(F.lit("docs").alias("root")).alias("extras")).distinct(), NODES))
