@@ -13,18 +13,19 @@ from typing import IO
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.model import SCHEMA_VERSION, PropertyGraph
+from graphloom.model import SCHEMA_VERSION, PropertyGraph, short
 from graphloom.operators import communities, locate, lookup, neighbors, review, traverse
 from graphloom.sinks import rag, text
 from graphloom.sources.freshness import age
 
+ROWS = 200_000
 PARTIAL = {"callers", "callees", "impact", "flows", "call_contract"}
 NOTE = "calls are resolved as far as the source tells, so there may be more"
 
 
 class Session:
     def __init__(self, graph: PropertyGraph, source_root: str | None = None, graph_path: str | None = None) -> None:
-        self.graph = PropertyGraph(graph.target, graph.nodes.cache(), graph.edges.cache())
+        self.graph = PropertyGraph(graph.target, self.held(graph.nodes), self.held(graph.edges))
         self.spark, self.source_root, self.graph_path = graph.nodes.sparkSession, source_root, graph_path
         self.resolution: dict | None = None
         self.ops: dict[str, Callable[[dict], object]] = {n[4:]: getattr(self, n) for n in dir(self) if n.startswith("_op_")}
@@ -58,11 +59,27 @@ class Session:
 
     # -- helpers
 
+    @staticmethod
+    def held(df: DataFrame) -> DataFrame:
+        """The rows in memory, in as few partitions as their number needs: a question about one symbol costs a task for each."""
+        own = df.cache()
+        parts = max(1, -(-own.count() // ROWS))
+        if parts >= own.rdd.getNumPartitions():
+            return own
+        few = own.coalesce(parts).cache()
+        few.count()
+        own.unpersist()
+        return few
+
     def one(self, value: str, name: str) -> DataFrame:
         return self.spark.createDataFrame([(value,)], f"{name} string")
 
     def resolve(self, name: str) -> dict | None:
-        r = lookup.resolve(self.graph, self.one(name, "input")).first()
+        """As ``lookup.resolve``, which only looks at nodes of the same last segment; those are found first."""
+        if not self.graph.nodes.where(F.col("id") == name).isEmpty():
+            return {"input": name, "id": name, "ambiguous": False, "alternatives": []}
+        alike = self.graph.nodes.where(short("id") == name.rpartition(".")[2]).select("id")
+        r = lookup.resolve(PropertyGraph(self.graph.target, alike, self.graph.edges), self.one(name, "input")).first()
         return None if r is None else {"input": r.input, "id": r.id, "ambiguous": r.ambiguous, "alternatives": r.alternatives}
 
     def canonical(self, name: str) -> str:
