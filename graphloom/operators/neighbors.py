@@ -65,6 +65,14 @@ def under(graph: PropertyGraph, rows: DataFrame, member: str) -> DataFrame:
     return known.withColumn("symbol", F.explode(ancestry(member))).join(ids, "symbol", "left_semi")
 
 
+def members_of(graph: PropertyGraph, symbols: DataFrame | None) -> DataFrame:
+    """``(target, symbol)``: the nodes that are or lie under a node; symbols: for those only. Ancestors are worked out once for a node, not for every edge."""
+    ids = graph.nodes.select(F.col("id").alias("symbol"))
+    own = graph.nodes.select(F.col("id").alias("target"), F.explode(ancestry("id")).alias("symbol"))
+    own = own if symbols is None else own.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    return own.join(ids, "symbol", "left_semi")
+
+
 def call_contract(graph: PropertyGraph, symbols: DataFrame | None = None) -> DataFrame:
     """``(symbol, caller, target, callsites, posargs, kwargs, splat)``: how a symbol, or a member of it, is called; symbols: for those only."""
     calls = graph.of("calls").where("extras.callsites is not null").select(
@@ -76,10 +84,7 @@ def call_contract(graph: PropertyGraph, symbols: DataFrame | None = None) -> Dat
         F.coalesce("extras.splat", F.lit(False)).alias("splat"),
     )
     if symbols is not None:
-        asked = symbols.select("symbol").distinct()
-        ids = graph.nodes.select(F.col("id").alias("symbol"))
-        own = graph.nodes.select(F.col("id").alias("target"), F.explode(ancestry("id")).alias("symbol")).join(asked, "symbol", "left_semi").join(ids, "symbol", "left_semi")
-        return calls.join(own, "target").select("symbol", "caller", "target", "callsites", "posargs", "kwargs", "splat")
+        return calls.join(members_of(graph, symbols), "target").select("symbol", "caller", "target", "callsites", "posargs", "kwargs", "splat")
     return under(graph, calls, "target").select("symbol", "caller", "target", "callsites", "posargs", "kwargs", "splat")
 
 
@@ -117,19 +122,9 @@ def with_is_node(graph: PropertyGraph, df: DataFrame, c: str) -> DataFrame:
 def references_to(graph: PropertyGraph, symbols: DataFrame | None = None) -> DataFrame:
     """``(symbol, source, type, root, target)``: direct references to a symbol or its members from elsewhere; repeated edges stay.
 
-    symbols: a DataFrame with the column ``symbol``, to answer for those only: then their members are found first, and only edges
-    into those are looked at.
+    symbols: a DataFrame with the column ``symbol``, to answer for those only: then only edges into their members are looked at.
     """
-    ids = graph.nodes.select(F.col("id").alias("symbol"))
-    if symbols is not None:
-        asked = symbols.select("symbol").distinct()
-        own = graph.nodes.select(F.col("id").alias("target"), F.explode(ancestry("id")).alias("symbol")).join(asked, "symbol", "left_semi").join(ids, "symbol", "left_semi")
-        refs = with_is_node(graph, inbound(graph).join(own, "target"), "source").where(~(within("source", "symbol") & F.col("is_node")))
-    else:
-        refs = with_is_node(graph, inbound(graph).join(ids.withColumnRenamed("symbol", "target"), "target", "left_semi"), "source")
-        # Symbols that hold both ends are left out before there is a row for each.
-        above = F.filter(ancestry("target"), lambda a: ~(F.col("is_node") & within(F.col("source"), a)))
-        refs = refs.withColumn("symbol", F.explode(above)).join(ids, "symbol", "left_semi")
+    refs = with_is_node(graph, inbound(graph), "source").join(members_of(graph, symbols), "target").where(~(F.col("is_node") & within("source", "symbol")))
     return refs.select("symbol", "source", "type", "root", "target")
 
 

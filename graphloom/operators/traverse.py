@@ -6,7 +6,7 @@ from the third on, what was found so far is checkpointed, as each level would ot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph, union, with_root, within
@@ -31,9 +31,10 @@ def impact(graph: PropertyGraph, symbols: DataFrame | None = None, depth: int =
             found = cut(found)
         frontier = found.where(F.col("distance") == level - 1).select("symbol", "source").distinct()
         reached = frontier.join(arcs, "source").where(~(within("next", "symbol") & F.col("is_node")))
-        # The minimum is combined before the shuffle, and what is known leaves without another one.
-        first = reached.groupBy("symbol", "next").agg(F.min(F.struct("source", "kind", "next_root")).alias("way"))
-        new = first.join(found.select("symbol", F.col("source").alias("next")).distinct(), ["symbol", "next"], "left_anti").select("symbol", "next", "way.*")
+        # What is known leaves first; the rest is ordered in the same partitions.
+        reached = reached.join(found.select("symbol", F.col("source").alias("next")).distinct(), ["symbol", "next"], "left_anti")
+        first = Window.partitionBy("symbol", "next").orderBy("source", "kind")
+        new = reached.withColumn("k", F.row_number().over(first)).where("k = 1")
         found = found.union(new.select("symbol", F.col("next").alias("source"), F.col("kind").alias("type"), F.col("next_root").alias("root"), F.col("source").alias("target"), F.lit(level).alias("distance")))
     return found
 

@@ -1,6 +1,6 @@
 """A property graph over ordinary tables: regions and nations are modules, customers and suppliers classes, orders functions.
 
-* every part is a module ``w.L<0-6>.M<part>``, which imports the next of its dozen (the last one the first) and one some dozens on;
+* every part is a module ``w.L<0-6>.M<part>``, which imports the next of its dozen (the last one the first), and those of every fourth dozen one of the next;
 * modules ``w``, ``w.R<region>``, ``w.R<region>.N<nation>``; classes ``<nation>.C<customer>`` and ``<nation>.S<supplier>``; functions
   ``<customer>.O<order>`` in the file ``N<nation>.py``; ``ev.U<user>`` for the users of events; ``reg.P<part>`` for parts up to size 40;
 * an order calls the order that next ships one of its parts; a nation's suppliers import the two nations that buy most from them;
@@ -140,7 +140,7 @@ def _part_imports(spark: SparkSession, sf: str) -> DataFrame:
     parts = _library(spark, sf)
     dozen = Window.partitionBy("dozen").orderBy("k")
     ring = parts.select(F.col("module").alias("source"), F.coalesce(F.lead("module").over(dozen), F.first("module").over(dozen)).alias("target")).where("source <> target")
-    ahead = parts.select(F.col("module").alias("source"), (F.col("k") + 13 * (1 + F.col("k") % 7)).alias("k")).join(parts.select("k", F.col("module").alias("target")), "k").select("source", "target")
+    ahead = parts.select(F.col("module").alias("source"), (F.col("k") + 13).alias("k"), "dozen").where("dozen % 4 = 0").drop("dozen").join(parts.select("k", F.col("module").alias("target")), "k").select("source", "target")
     return ring.union(ahead).select(F.lit("imports").alias("type"), "source", "target")
 
 
@@ -222,7 +222,7 @@ trade AS (SELECT s_nationkey, c_nationkey, row_number() OVER (PARTITION BY s_nat
 calls AS MATERIALIZED (SELECT a.id AS source, b.id AS target, callsites, posargs, kwargs, splat, CASE WHEN splat THEN 'module' ELSE 'imported' END AS resolution FROM cal JOIN ord a ON a.o_orderkey = l_orderkey JOIN ord b ON b.o_orderkey = next),
 imports AS (SELECT a.module AS source, b.module AS target FROM trade JOIN nat a ON a.n_nationkey = s_nationkey JOIN nat b ON b.n_nationkey = c_nationkey WHERE k <= 2
   UNION ALL SELECT * FROM (SELECT module AS source, coalesce(lead(module) OVER d, first_value(module) OVER d) AS target FROM lib WINDOW d AS (PARTITION BY dozen ORDER BY k)) WHERE source <> target
-  UNION ALL SELECT a.module, b.module FROM lib a JOIN lib b ON b.k = a.k + 13 * (1 + a.k % 7)),
+  UNION ALL SELECT a.module, b.module FROM lib a JOIN lib b ON b.k = a.k + 13 WHERE a.dozen % 4 = 0),
 edges AS MATERIALIZED (
   SELECT 'contains' AS type, 'w' AS source, printf('w.R%d', r_regionkey) AS target FROM region
   UNION ALL SELECT 'contains', printf('w.R%d', n_regionkey), module FROM nat
