@@ -7,9 +7,15 @@ of equal fields, counted with ``bit_count`` and corrected for the 1 in 16 fields
 
 Documents with the same minima are one node of the search, so thousands of exact copies cost one comparison each. In a band, all
 nodes are compared with the band's smallest; those that match it are connected through it, and those that don't are compared with
-every member. So the components are those of all candidate pairs, though a band of m copies needs m comparisons and not m * m.
-A band's smallest node and size are grouped sums, made before anything is shuffled. Nothing is capped. With 40 bands of 4 rows a pair of
-similarity 0.5 is a candidate with a probability of 0.92, one of 0.6 with 0.996.
+every member where there are at most ``SMALL``. So the components are those of all candidate pairs, though a band of m copies needs m
+comparisons and not m * m. A band's smallest node and size are grouped sums, made before anything is shuffled. Nothing is capped.
+With 40 bands of 4 rows a pair of similarity 0.5 is a candidate with a probability of 0.92, one of 0.6 with 0.996.
+
+Larger bands, as those of a passage that very many documents share, are split by a prefix filter: two nodes that agree in enough fields have at
+least ``need`` minima in common, so with the minima of each in one order, by how many nodes have them, both share one among the first
+``HASHES - need + 1``. Nodes that share such a minimum are a group, which is treated as a band is; what a passage gives to
+all of them is frequent and comes last. ``need`` allows for ``SLACK`` fields that agree by chance, more than which two unlike
+texts have once in a million. Groups whose nodes are connected by then have nothing left to compare.
 
 Defined results: a null text is an empty one; a text with fewer tokens than a shingle is one shingle, and one without tokens is
 known by its bytes, so that empty texts are copies of each other; rows are known by doc_id and text, so that different texts that share a
@@ -40,6 +46,7 @@ WORDS = HASHES * BITS // 64
 THRESHOLD = 0.5
 BLOCK = 8192
 LOW = 0x1111111111111111
+SMALL, SLACK = 64, 21
 
 WORD_COLUMNS = [f"s{i}" for i in range(WORDS)]
 
@@ -105,15 +112,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = (mixed * weight).sum(axis=1, dtype=np.uint64), mix(low + weight).sum(axis=1, dtype=np.uint64)
         words = pack(low)
         rows, row = np.arange(row, row + len(low)), row + len(low)
+        fine = pa.ListArray.from_arrays(np.arange(0, mixed.size + 1, HASHES, dtype=np.int32), pa.array((mixed >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows), batch.column("doc_id"), batch.column("content"), *[pa.array(mix(w).view(np.int64)) for w in whole], pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).ravel())), *[pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(WORDS)]],
-            ["row", "doc_id", "content", "w0", "w1", "bands", *WORD_COLUMNS],
+            [pa.array(rows), batch.column("doc_id"), batch.column("content"), *[pa.array(mix(w).view(np.int64)) for w in whole], pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).ravel())), *[pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(WORDS)], fine],
+            ["row", "doc_id", "content", "w0", "w1", "bands", *WORD_COLUMNS, "fine"],
         )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, content, w0, w1, bands, s0 ... s9)`` of each row, stored: a number for it, a hash of its text; w0 and w1 stand for all minima."""
-    schema = "row long, doc_id long, content long, w0 long, w1 long, bands array<long>, " + ", ".join(f"{c} long" for c in WORD_COLUMNS)
+    """``(row, doc_id, content, w0, w1, bands, s0 ... s9, fine)`` of each row, stored: a number for it, a hash of its text; w0 and w1 stand for all
+    minima; fine has 32 bits of each, which only nodes of large bands are asked for."""
+    schema = "row long, doc_id long, content long, w0 long, w1 long, bands array<long>, " + ", ".join(f"{c} long" for c in WORD_COLUMNS) + ", fine array<int>"
     text = F.col("text").cast("string")
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text")).mapInArrow(_signatures, schema))
 
@@ -136,19 +145,60 @@ def _estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(sigs.select(F.col("node").alias("u"), words.alias("a")), "u").join(sigs.select(F.col("node").alias("v"), words.alias("b")), "v").select("u", "v", estimate("a", "b").alias("similarity"))
 
 
+def _led(groups: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of groups (key, node, odd): members (key, node, leader, n, odd) beside the leader; their estimated pairs with it; and (key, u, n) of the odd ones that don't match it.
+    Groups of one, and those without an odd node, have nothing to compare."""
+    leaders = stored(groups.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n"), F.max("odd").alias("any")).where("n > 1 and any").drop("any"))
+    shared = stored(groups.join(leaders, "key").where("node <> leader"))
+    first = stored(_estimated(shared.select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), nodes))
+    unlike = first.where(F.col("similarity") < threshold).select(F.col("u").alias("node"), F.col("v").alias("leader"))
+    return shared, first, shared.join(unlike, ["node", "leader"]).select("key", F.col("node").alias("u"), "n")
+
+
+def _within(odd: DataFrame, shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Estimated pairs of what doesn't match its group's leader with all of the group."""
+    rest = odd.select("key", "u").join(shared.select("key", F.col("node").alias("v")), "key").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return _estimated(rest, nodes)
+
+
+def _split(hot: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """Groups (key, node, odd) of the nodes in large bands, by the minima they share: every pair of a band that could match is in one of them."""
+    own = stored(hot.select("node").distinct())
+    total = own.count()
+    item = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    items = stored(sigs.select(F.col("row").alias("node"), "fine").join(sized(own), "node").select("node", F.posexplode("fine")).select("node", item.alias("item")))
+    counts = stored(items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1"))
+    # What a thousandth of the nodes has is at most 1000 * HASHES minima, so they can be broadcast; no other is frequent.
+    common = F.broadcast(counts.where(F.col("n") * 1000 > total))
+    rare = items.join(common.select("item"), "item", "left_anti").join(counts.where(F.col("n") * 1000 <= total), "item")
+    again = items.join(common, "item").select("node", "item", "n").union(rare.select("node", "item", "n"))
+    need = max(1, int(np.ceil(HASHES * (threshold * (1 - 2.0**-BITS) + 2.0**-BITS))) - SLACK)
+    # Minima that no other node has come first in the order and lead to nothing.
+    ranked = again.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("x"))
+    first = ranked.select("node", F.explode(F.expr(f"slice(x, 1, greatest(0, size(x) - {need - 1}))")).alias("x"))
+    return stored(hot.join(first, "node").select(F.xxhash64("key", "x.item").alias("key"), "node", "odd"))
+
+
 def edges(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Edges (u, v) between row numbers that connect every group of near duplicates."""
     nodes = stored(sigs.groupBy("w0", "w1").agg(F.min("row").alias("node"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in WORD_COLUMNS]))
     copies = sigs.select("row", "w0", "w1").join(nodes.select("node", "w0", "w1"), ["w0", "w1"]).where("row <> node").select(F.col("row").alias("u"), F.col("node").alias("v"))
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    leaders = stored(keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"))
-    shared = stored(keys.join(leaders, "key").where("node <> leader"))
-    first = stored(_estimated(shared.select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), nodes))
-    # What doesn't match its band's leader is compared with all of the band.
-    odd = shared.join(first.where(F.col("similarity") < threshold).select(F.col("u").alias("node"), F.col("v").alias("leader")), ["node", "leader"]).select("key", F.col("node").alias("u"))
-    rest = odd.join(shared.select("key", F.col("node").alias("v")), "key").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    second = _estimated(rest, nodes)
-    return copies.union(first.union(second).where(F.col("similarity") >= threshold).select("u", "v"))
+    shared, first, odd = _led(nodes.select("node", F.explode("bands").alias("key"), F.lit(True).alias("odd")), nodes, threshold)
+    like = F.col("similarity") >= threshold
+    found = first.union(_within(odd.where(F.col("n") <= SMALL), shared, nodes)).where(like).select("u", "v")
+    many = stored(odd.where(F.col("n") > SMALL))
+    if many.isEmpty():
+        return copies.union(found)
+    large = shared.join(sized(stored(many.select("key").distinct())), "key", "left_semi").select("key", "node")
+    hot = stored(large.join(many.select("key", F.col("u").alias("node"), F.lit(True).alias("_odd")), ["key", "node"], "left").select("key", "node", F.coalesce("_odd", F.lit(False)).alias("odd")))
+    shared, first, odd = _led(_split(hot, sigs, threshold), nodes, threshold)
+    found = stored(found.union(first.where(like).select("u", "v")))
+    known = stored(components(found))
+    rooted = shared.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lead = shared.select("key", F.col("leader").alias("node")).distinct().join(known, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    apart = stored(rooted.select("key", "root").union(lead).groupBy("key").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("key"))
+    left = _within(odd.join(apart, "key", "left_semi"), shared.join(apart, "key", "left_semi"), nodes)
+    return copies.union(found).union(left.where(like).select("u", "v"))
 
 
 def members(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

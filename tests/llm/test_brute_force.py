@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import chat, common, decontaminate, htmltext, langid, ledger, licenses, measures, mixing, neardup, pii, queries, ruleclassifier
 from graphloom.llm.textkit import Hasher
@@ -81,6 +82,32 @@ def test_hot_groups(spark):
     assert len(got) == 1499 and {r.duplicate_of for r in got} == {0}
 
 
+@pytest.mark.parametrize("part", [40, 60])
+def test_bands_of_a_shared_passage(spark, monkeypatch, part):
+    """Bands that a passage makes large give the links that comparing all of each would, by few comparisons."""
+    random.seed(part)
+    passage = [f"p{i}" for i in range(part)]
+    rows = []
+    for i in range(300):
+        own = [f"u{i}x{j}" for j in range(100 - part)]
+        rows.append(passage + own)
+        if i % 10 == 0:
+            rows += [passage + own[: random.randint(30, 100 - part) if part == 40 else 25] + [f"v{i}x{k}x{j}" for j in range(random.randint(1, 20))] for k in range(3)]
+    sigs = neardup.signatures(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3))
+    compared = []
+    monkeypatch.setattr(neardup, "_within", lambda *a, real=neardup._within: compared.append(real(*a)) or compared[-1])
+    out = {}
+    for small in (8, 10**9):
+        compared.clear()
+        monkeypatch.setattr(neardup, "SMALL", small)
+        found = neardup.components(neardup.edges(sigs)).join(sigs.select(F.col("row").alias("node"), "doc_id"), "node").groupBy("root").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).collect()
+        out[small] = sorted(tuple(r.ids) for r in found), sum(c.count() for c in compared), len(compared)
+    assert out[8][0] == out[10**9][0] and len(out[8][0]) >= (25 if part == 40 else 1)
+    assert out[8][2] == 2 and out[10**9][2] == 1
+    if part == 40:
+        assert out[8][1] < out[10**9][1] / 3
+
+
 def test_exact_and_proximity_matches(spark, texts):
     random.seed(5)
     items = [" ".join(random.choices(texts[i].split(), k=14)) for i in range(0, 10)]
