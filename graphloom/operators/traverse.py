@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph, union, with_root
 from graphloom.operators.neighbors import ancestors, inbound, members_of, references_to
-from graphloom.session import cut, stored
+from graphloom.session import cut, held, stored
 
 IMPACT = ["symbol", "source", "type", "root", "target", "distance"]
 
@@ -75,7 +75,7 @@ def _reached(level: DataFrame, distance: int) -> DataFrame:
 
 def impact_counted(graph: PropertyGraph, depth: int, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """count, one of the functions below, of the impact of all nodes. Nodes go by number up to the last, small join: their ids would be most of what is shuffled."""
-    names = stored(graph.nodes.select("id").distinct().withColumn("name", F.monotonically_increasing_id()))
+    names = held(graph.nodes.select("id").distinct().withColumn("name", F.monotonically_increasing_id()))
     counted = count(union([_reached(r, k) for k, r in enumerate(_impact(graph, None, depth, names), 1)]))
     return counted.withColumnRenamed("symbol", "name").join(names.withColumnRenamed("id", "symbol"), "name").select(*counted.columns)
 
@@ -114,7 +114,7 @@ def flow(graph: PropertyGraph, entries: DataFrame | None = None, max_depth: int
     All calls of each node reached are listed, also those back to nodes reached before; a node is followed once. entries: a
     DataFrame with the column ``entry``; the core's entry points if None.
     """
-    calls = graph.pairs("calls")
+    calls = graph.of("calls").select("source", "target").repartition("source").distinct()  # in place for the joins
     starts = entry_points(graph).select(F.col("id").alias("entry")) if entries is None else entries.select("entry").distinct()
     frontier, out = starts.select("entry", F.col("entry").alias("source")), None
     seen = frontier.select("entry", F.col("source").alias("node"))

@@ -55,3 +55,25 @@ def test_counts_of_impact_are_those_of_its_rows(spark):
     g = deep(spark)
     for depth, count in ((2, traverse.impact_by_root), (2, traverse.impact_summary), (3, traverse.impact_by_distance)):
         assert sorted(traverse.impact_counted(g, depth, count).collect()) == sorted(count(traverse.impact(g, depth=depth)).collect())
+
+
+def test_large_stored_tables_are_not_broadcast(spark):
+    """A few columns of a wide, compressed table look small to Spark, which would send millions of calls through the driver."""
+    from graphloom.session import held
+
+    df = spark.range(1000).select("id", F.lit("same").alias("text"))
+    for rows, broadcast in ((100, False), (1000, True)):
+        joined = spark.range(5000).join(held(df, rows).select("id").distinct(), "id")
+        assert joined.count() == 1000
+        assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == broadcast
+
+
+def test_flow_does_not_broadcast_calls(spark):
+    from graphloom.session import held
+
+    calls = spark.range(300_000).select(F.lit("calls").alias("type"), F.format_string("u.f%d", "id").alias("source"), F.format_string("u.f%d", F.col("id") + 1).alias("target"))
+    g = PropertyGraph("u", conform(spark.createDataFrame([("u", "module")], "id string, kind string"), NODES), by_type={"calls": lambda: held(conform(calls, EDGES))})
+    flow = traverse.flow(g, max_depth=2)
+    assert "BroadcastHashJoin source" not in flow._jdf.queryExecution().executedPlan().toString() and flow.count() == 2
+    assert "Join Inner, (source" in flow._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in flow._jdf.queryExecution().optimizedPlan().toString()
