@@ -77,3 +77,12 @@ def test_flow_does_not_broadcast_calls(spark):
     assert "BroadcastHashJoin source" not in flow._jdf.queryExecution().executedPlan().toString() and flow.count() == 2
     assert "Join Inner, (source" in flow._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=merge)" in flow._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sibling_families_lose_no_pair(spark):
+    """Classes of one, of several and of overlapping protocols; 300 of one family are 300 rows, not 90,000 pairs."""
+    own = {f"k.c{i}": ("P",) for i in range(300)} | {"k.a": ("P", "Q"), "k.b": ("Q", "R"), "k.d": ("P", "Q"), "k.e": ("S",), "k.f": ("R", "P")}
+    edges = spark.createDataFrame([("implements", c, p) for c, ps in own.items() for p in ps] * 2, "type string, source string, target string")
+    g = PropertyGraph("k", conform(spark.createDataFrame([("k", "module")], "id string, kind string"), NODES), conform(edges, EDGES))
+    want = {c: (sorted(ps), sum(bool({*ps} & {*o}) for o in own.values()) - 1) for c, ps in own.items()}
+    assert {r["class"]: (r["family"], r["n_siblings"]) for r in neighbors.sibling_families(g).collect()} == want
