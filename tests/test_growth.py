@@ -86,3 +86,19 @@ def test_sibling_families_lose_no_pair(spark):
     g = PropertyGraph("k", conform(spark.createDataFrame([("k", "module")], "id string, kind string"), NODES), conform(edges, EDGES))
     want = {c: (sorted(ps), sum(bool({*ps} & {*o}) for o in own.values()) - 1) for c, ps in own.items()}
     assert {r["class"]: (r["family"], r["n_siblings"]) for r in neighbors.sibling_families(g).collect()} == want
+
+
+def test_calls_are_grouped_where_their_orders_are(unbroadcast):
+    """Grouping by order and next order apart from the join with orders would shuffle every line once more."""
+    from graphloom.plans import projection
+
+    plan = projection._calls(unbroadcast, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and ", next#" not in "".join(line for line in plan.splitlines() if "hashpartitioning(l_orderkey" in line)
+
+
+def test_call_contract_shuffles_no_row_for_each_symbol(unbroadcast):
+    g = deep(unbroadcast)
+    sites = F.struct(F.lit(1).cast("bigint").alias("callsites"))
+    g = PropertyGraph("n0", g.nodes, conform(g.edges.drop("extras").withColumn("extras", sites), EDGES))
+    assert neighbors.call_contract(g).count() == DEEP * CALLERS + CALLERS
+    assert shuffled(unbroadcast, lambda: neighbors.call_contract(g)) < DEEP * CALLERS
