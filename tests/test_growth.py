@@ -102,3 +102,14 @@ def test_call_contract_shuffles_no_row_for_each_symbol(unbroadcast):
     g = PropertyGraph("n0", g.nodes, conform(g.edges.drop("extras").withColumn("extras", sites), EDGES))
     assert neighbors.call_contract(g).count() == DEEP * CALLERS + CALLERS
     assert shuffled(unbroadcast, lambda: neighbors.call_contract(g)) < DEEP * CALLERS
+
+
+def test_class_outward_calls_shuffle_no_row_for_each_prefix(unbroadcast):
+    """Functions nested 30 deep in one class: their calls meet the classes above, not every prefix of an id."""
+    at = ".".join(f"m{i}" for i in range(30))
+    ids = [("m0", "module"), (f"{at}.K", "class")] + [(f"{at}.K.f{i}", "function") for i in range(200)]
+    nodes = unbroadcast.createDataFrame(ids, "id string, kind string")
+    edges = unbroadcast.createDataFrame([("calls", f"{at}.K.f{i}", f"x.y{i}") for i in range(200)] * 2, "type string, source string, target string")
+    g = PropertyGraph("m0", conform(nodes, NODES).cache(), conform(edges, EDGES).cache())
+    assert sorted(neighbors.class_outward_calls(g).collect()) == sorted((f"{at}.K", f"x.y{i}", f"{at}.K.f{i}") for i in range(200))
+    assert shuffled(unbroadcast, lambda: neighbors.class_outward_calls(g)) < 200 * 10
