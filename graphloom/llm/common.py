@@ -1,11 +1,11 @@
-"""Storage, running totals and connected components for the operators of this subpackage."""
+"""Storage and running totals for the operators of this subpackage; connected components are the session's."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import cut
+from graphloom.session import components, cut  # noqa: F401
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -37,24 +37,3 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
         same &= F.col(g).eqNullSafe(F.col(f"_group_{g}"))
     out = ranged.withColumn(name, F.sum(value).over(inside)).join(totals, same)
     return out.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_range2", "_before", *[f"_group_{g}" for g in group])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node of the undirected edges ``(u, v)``; the root is the smallest node of its component.
-
-    Alternates large-star and small-star steps (Kiveris et al. 2014): each is a grouped minimum and a join, and the number of
-    rounds grows with the logarithm of a component's diameter. Nothing is gathered in one place.
-    """
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
-        seen = tuple(mark)

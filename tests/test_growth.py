@@ -1,10 +1,13 @@
 """How much queries shuffle, broadcast and send, on small graphs of awkward shape."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.model import EDGES, NODES, PropertyGraph, conform
-from graphloom.operators import neighbors, traverse
+from graphloom.operators import communities, lookup, neighbors, traverse
+from graphloom.sinks import symbols
 
 DEEP, CALLERS = 40, 400
 
@@ -113,3 +116,34 @@ def test_class_outward_calls_shuffle_no_row_for_each_prefix(unbroadcast):
     g = PropertyGraph("m0", conform(nodes, NODES).cache(), conform(edges, EDGES).cache())
     assert sorted(neighbors.class_outward_calls(g).collect()) == sorted((f"{at}.K", f"x.y{i}", f"{at}.K.f{i}") for i in range(200))
     assert shuffled(unbroadcast, lambda: neighbors.class_outward_calls(g)) < 200 * 10
+
+
+def sent(spark, df) -> int:
+    """The bytes that all stages sent to the driver while df was computed, broadcast tables among them."""
+
+    def total():
+        jvm = spark.sparkContext._jvm
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        none = jvm.java.util.ArrayList()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none).iterator()
+        out = 0
+        while stages.hasNext():
+            out += stages.next().resultSize()
+        return out
+
+    before = total()
+    df().count()
+    return total() - before
+
+
+def test_communities_go_by_component(spark):
+    """The groups of all components together are those of each, for the number of imports of all."""
+    rng = random.Random(5)
+    pairs = {(f"k.c{c}.m{min(a, b)}", f"k.c{c}.m{max(a, b)}") for c in range(12) for a, b in (rng.sample(range(9), 2) for _ in range(14))}
+    parts = [communities.greedy_modularity([], [p for p in pairs if f".c{c}." in p[0]], len(pairs)) for c in range(12)]
+    whole = communities.greedy_modularity([], list(pairs))
+    assert sorted(g for part in parts for g in part) == sorted(whole)
+    ids = sorted({m for p in pairs for m in p} | {"k.alone"})
+    nodes = spark.createDataFrame([(i, "module") for i in ids], "id string, kind string")
+    g = PropertyGraph("k", conform(nodes, NODES), conform(spark.createDataFrame([("imports", *p) for p in pairs], "type string, source string, target string"), EDGES))
+    assert sorted(r.modules for r in communities.communities(g).collect()) == sorted([*whole, ["k.alone"]])
