@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph, union, with_root
 from graphloom.operators.neighbors import ancestors, inbound, members_of, references_to
-from graphloom.session import cut, held, stored
+from graphloom.session import cut, held, merged, stored
 
 IMPACT = ["symbol", "source", "type", "root", "target", "distance"]
 
@@ -145,17 +145,18 @@ def import_cycles(graph: PropertyGraph, longest: int | None = None) -> DataFrame
     first, level by level, so that imports that close no circuit cost nothing. Circuits can be exponentially many.
     """
     arcs = cut(graph.pairs("imports"))
+    n = arcs.count()
     new = arcs.where("source >= target").select(F.col("target").alias("start"), F.col("source").alias("node"))
-    known, level = cut(new), 1
-    before = arcs.select(F.col("source").alias("before"), F.col("target").alias("node"))
+    known, level = merged(cut(new), n), 1
+    before = merged(arcs.select(F.col("source").alias("before"), F.col("target").alias("node")), n)
     while longest is None or level < longest:
         new = cut(new.join(before, "node").where("node <> start and before > start").select("start", F.col("before").alias("node")).distinct().join(known, ["start", "node"], "left_anti"))
         if new.isEmpty():
             break
-        known, level = cut(known.union(new)), level + 1
+        known, level = merged(cut(known.union(new)), n), level + 1
     starts = known.select("start").distinct()
-    allowed = cut(known.union(starts.select("start", "start")).distinct().select("start", F.col("node").alias("next")))
-    ahead = arcs.select(F.col("source").alias("last"), F.col("target").alias("next"))
+    allowed = merged(cut(known.union(starts.select("start", "start")).distinct().select("start", F.col("node").alias("next"))), n)
+    ahead = merged(arcs.select(F.col("source").alias("last"), F.col("target").alias("next")), n)
     paths, found, size = cut(starts.select("start", F.col("start").alias("last"), F.array("start").alias("path"))), [], 1
     while (longest is None or size <= longest) and not paths.isEmpty():
         on = cut(paths.join(ahead, "last").join(allowed, ["start", "next"], "left_semi"))

@@ -136,6 +136,16 @@ def sent(spark, df) -> int:
     return total() - before
 
 
+def test_import_cycles_send_no_arcs_to_the_driver(spark):
+    """12,000 rings of two modules: each level's joins would broadcast them all."""
+    n = F.format_string("m%05d", "id")
+    rings = spark.range(12_000).select(F.lit("imports").alias("type"), F.concat(F.lit("a."), n).alias("source"), F.concat(F.lit("b."), n).alias("target"))
+    edges = conform(rings.union(rings.select("type", "target", "source")), EDGES).cache()
+    g = PropertyGraph("a", conform(spark.createDataFrame([("a", "module")], "id string, kind string"), NODES), edges)
+    assert traverse.import_cycles(g).count() == 12_000
+    assert sent(spark, lambda: traverse.import_cycles(g)) < 2_000_000
+
+
 def test_communities_go_by_component(spark):
     """The groups of all components together are those of each, for the number of imports of all."""
     rng = random.Random(5)
