@@ -39,14 +39,20 @@ def resolve(graph: PropertyGraph, requests: DataFrame) -> DataFrame:
     ids = graph.nodes.select("id")
     exact = asked.join(ids, F.col("input") == F.col("id")).select("input", "id", F.lit(False).alias("ambiguous"), F.expr("cast(array() as array<string>)").alias("alternatives"))
     rest = asked.join(ids, F.col("input") == F.col("id"), "left_anti").withColumn("name", short("input"))
-    pairs = rest.join(ids.select(short("id").alias("name"), "id"), "name")
-    pairs = pairs.withColumn("shared", F.size(F.array_intersect(F.split("input", r"\."), F.split("id", r"\."))))
-    best = Window.partitionBy("input")
-    ranked = pairs.withColumn("k", F.row_number().over(best.orderBy(F.desc("shared"), F.length("id"), "id"))).withColumn("top", F.max("shared").over(best))
-    chosen = ranked.groupBy("input").agg(
-        F.max(F.when(F.col("k") == 1, F.col("id"))).alias("id"),
-        (F.count_if(F.col("shared") == F.col("top")) > 1).alias("ambiguous"),
-        F.array_sort(F.collect_list(F.when(F.col("k") > 1, F.col("id")))).alias("alternatives"),
+    # All ids of a name are one row, in order: a row for each request and id, ranked by windows, would be sorted in a few tasks.
+    split = F.split("id", r"\.").alias("parts")
+    alike = ids.select(short("id").alias("name"), F.struct("id", split).alias("c")).groupBy("name").agg(F.array_sort(F.collect_list("c")).alias("all"))
+    shared = F.transform("all", lambda c: F.size(F.array_intersect(c["parts"], F.split("input", r"\."))))
+    asked_of = rest.join(alike.hint("merge"), "name").select("input", F.col("all.id").alias("ids"), F.explode(F.array(shared)).alias("shared"))
+    top = asked_of.select("input", "ids", "shared", F.explode(F.array(F.array_max("shared"))).alias("top"))
+    # Ids are in order, so the first of the shortest is the smallest.
+    best = F.array_min(F.filter(F.transform("ids", lambda x, i: F.when(F.get("shared", i) == F.col("top"), F.struct(F.length(x).alias("n"), i.alias("at")))), lambda x: x.isNotNull()))["at"]
+    at = top.select("input", "ids", "shared", "top", F.explode(F.array(best)).alias("at"))
+    chosen = at.select(
+        "input",
+        F.get("ids", F.col("at")).alias("id"),
+        (F.size(F.filter("shared", lambda n: n == F.col("top"))) > 1).alias("ambiguous"),
+        F.filter("ids", lambda x, i: i != F.col("at")).alias("alternatives"),
     )
     return exact.unionByName(chosen)
 

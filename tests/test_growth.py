@@ -136,6 +136,21 @@ def sent(spark, df) -> int:
     return total() - before
 
 
+def test_resolution_shuffles_no_row_for_each_candidate(unbroadcast):
+    """100 requests for one name of 300 ids: repeated ids and equal scores included, as before."""
+    ids = [f"p{i % 7}.q{i:03}.f" for i in range(300)] + ["p1.q001.f"]
+    g = PropertyGraph("p", conform(unbroadcast.createDataFrame([(i, "function") for i in ids], "id string, kind string"), NODES).cache(), conform(unbroadcast.createDataFrame([], "type string, source string, target string"), EDGES))
+    asked = unbroadcast.createDataFrame([(f"p{i % 7}.z{i}.f",) for i in range(100)], "input string").cache()
+    got = {r.input: r for r in lookup.resolve(g, asked).collect()}
+    for r in asked.collect():
+        near = [i for i in ids if i.split(".")[0] == r.input.split(".")[0]]
+        best = min(near, key=lambda i: (len(i), i))
+        rest = sorted(ids)
+        rest.remove(best)
+        assert (got[r.input].id, got[r.input].ambiguous, got[r.input].alternatives) == (best, len(near) > 1, rest)
+    assert shuffled(unbroadcast, lambda: lookup.resolve(g, asked)) < 5000
+
+
 def test_import_cycles_send_no_arcs_to_the_driver(spark):
     """12,000 rings of two modules: each level's joins would broadcast them all."""
     n = F.format_string("m%05d", "id")
