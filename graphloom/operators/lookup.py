@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.model import PropertyGraph, ancestry, parent, short, with_root
+from graphloom.model import PropertyGraph, parent, short, with_root
+from graphloom.operators.neighbors import ancestors
 
 #: Containers in a type that say nothing about what it holds.
 TYPE_NOISE = ["Any", "Callable", "Dict", "Iterable", "List", "Mapping", "None", "Optional", "Sequence", "Set", "Tuple", "Type", "Union"]
@@ -82,8 +83,7 @@ def impact_targets(graph: PropertyGraph, requests: DataFrame) -> DataFrame:
 
 def members(graph: PropertyGraph) -> DataFrame:
     """``(symbol, member)``: every node with itself and the nodes under it."""
-    pairs = graph.nodes.select(F.explode(ancestry("id")).alias("symbol"), F.col("id").alias("member"))
-    return pairs.join(graph.nodes.select(F.col("id").alias("symbol")), "symbol", "left_semi")
+    return ancestors(graph).select(F.explode("ups").alias("symbol"), F.col("target").alias("member"))
 
 
 def decorated(graph: PropertyGraph, decorator: str | None = None) -> DataFrame:
