@@ -21,11 +21,14 @@ def descriptors(graph: PropertyGraph) -> DataFrame:
 
     An ancestor that is no node counts as a module, the last segment as an attribute.
     """
-    kinds = graph.nodes.select(F.col("id").alias("prefix"), "kind")
-    parts = graph.nodes.select("id", F.posexplode(ancestry("id")).alias("i", "prefix")).join(kinds, "prefix", "left")
     mark = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in ("module", "/", "class", "#", "function", "().", "attribute", ".", "doc", "/", "column", "/")]), F.col("kind")), F.lit("/"))
-    one = F.concat(escaped(short("prefix")), mark)
-    return parts.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", one.alias("d")))), lambda x: x["d"]), "").alias("descriptor"))
+    own = graph.nodes.select("id", F.concat(escaped(short("id")), mark).alias("d"), F.when(F.contains("id", F.lit(".")), parent("id")).alias("parent"))
+    # What is above is written once for each parent, not for each of its children.
+    parts = own.where("parent is not null").select("parent").distinct().select("parent", F.posexplode(ancestry("parent")).alias("i", "prefix"))
+    known = own.join(parts.select(F.col("prefix").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("prefix"), F.col("d").alias("known"))
+    one = F.coalesce("known", F.concat(escaped(short("prefix")), F.lit("/")))
+    above = parts.join(known, "prefix", "left").groupBy("parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", one.alias("d")))), lambda x: x["d"]), "").alias("above"))
+    return own.join(above, "parent", "left").select("id", F.concat(F.coalesce("above", F.lit("")), "d").alias("descriptor"))
 
 
 def symbol_kind(graph: PropertyGraph) -> DataFrame:

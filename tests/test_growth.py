@@ -136,6 +136,17 @@ def sent(spark, df) -> int:
     return total() - before
 
 
+def test_members_and_descriptors_shuffle_no_row_for_each_prefix(unbroadcast):
+    """200 functions nested 40 deep: what is above them is found once, not for each."""
+    at = [".".join(f"m{i}" for i in range(k)) for k in range(1, DEEP + 1)]
+    nodes = unbroadcast.createDataFrame([(a, "module") for a in at] + [(f"{at[-1]}.f{i}", "function") for i in range(200)], "id string, kind string")
+    g = PropertyGraph("m0", conform(nodes, NODES).cache(), conform(unbroadcast.createDataFrame([], "type string, source string, target string"), EDGES))
+    assert lookup.members(g).count() == DEEP * (DEEP + 1) // 2 + 200 * (DEEP + 1)
+    assert shuffled(unbroadcast, lambda: lookup.members(g)) < 5000
+    assert {r.id: r.descriptor for r in symbols.descriptors(g).collect()}[f"{at[-1]}.f7"] == at[-1].replace(".", "/") + "/f7()."
+    assert shuffled(unbroadcast, lambda: symbols.descriptors(g)) < 5000
+
+
 def test_resolution_shuffles_no_row_for_each_candidate(unbroadcast):
     """100 requests for one name of 300 ids: repeated ids and equal scores included, as before."""
     ids = [f"p{i % 7}.q{i:03}.f" for i in range(300)] + ["p1.q001.f"]
