@@ -42,7 +42,8 @@ def resolve(graph: PropertyGraph, requests: DataFrame) -> DataFrame:
     rest = asked.join(ids, F.col("input") == F.col("id"), "left_anti").withColumn("name", short("input"))
     # All ids of a name are one row, in order: a row for each request and id, ranked by windows, would be sorted in a few tasks.
     split = F.split("id", r"\.").alias("parts")
-    alike = ids.select(short("id").alias("name"), F.struct("id", split).alias("c")).groupBy("name").agg(F.array_sort(F.collect_list("c")).alias("all"))
+    named = ids.select(short("id").alias("name"), F.struct("id", split).alias("c")).join(rest.select("name").distinct(), "name", "left_semi")
+    alike = named.groupBy("name").agg(F.array_sort(F.collect_list("c")).alias("all"))
     shared = F.transform("all", lambda c: F.size(F.array_intersect(c["parts"], F.split("input", r"\."))))
     asked_of = rest.join(alike.hint("merge"), "name").select("input", F.col("all.id").alias("ids"), F.explode(F.array(shared)).alias("shared"))
     top = asked_of.select("input", "ids", "shared", F.explode(F.array(F.array_max("shared"))).alias("top"))

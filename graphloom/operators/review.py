@@ -9,6 +9,7 @@ from graphloom.model import PropertyGraph
 from graphloom.operators.locate import symbols_in_ranges
 from graphloom.operators.lookup import resolve
 from graphloom.operators.neighbors import call_contract, callees, callers, columns_of, references_to
+from graphloom.session import few
 
 
 def changed_symbols(graph: PropertyGraph, hunks: DataFrame | None, symbols: DataFrame | None) -> DataFrame:
@@ -34,7 +35,7 @@ def dossier(graph: PropertyGraph, symbols: DataFrame) -> DataFrame:
 
     score: callers, twice the references from outside the core, rows of the call contract, and one for touching columns.
     """
-    asked = symbols.select("symbol").distinct()
+    asked = few(symbols.select("symbol").distinct())
     kinds = graph.nodes.select(F.col("id").alias("symbol"), "kind")
     none = F.expr("cast(array() as array<string>)")
 

@@ -183,3 +183,14 @@ def test_communities_go_by_component(spark):
     nodes = spark.createDataFrame([(i, "module") for i in ids], "id string, kind string")
     g = PropertyGraph("k", conform(nodes, NODES), conform(spark.createDataFrame([("imports", *p) for p in pairs], "type string, source string, target string"), EDGES))
     assert sorted(r.modules for r in communities.communities(g).collect()) == sorted([*whole, ["k.alone"]])
+
+
+def test_members_of_asked_symbols_shuffle_no_row_for_each_prefix(unbroadcast):
+    """Of 200 functions nested 40 deep, those under one symbol; a symbol that is no node has no members."""
+    at = [".".join(f"m{i}" for i in range(k)) for k in range(1, DEEP + 1)]
+    nodes = unbroadcast.createDataFrame([(a, "module") for a in at] + [(f"{at[-1]}.f{i}", "function") for i in range(200)], "id string, kind string")
+    g = PropertyGraph("m0", conform(nodes, NODES).cache(), conform(unbroadcast.createDataFrame([], "type string, source string, target string"), EDGES))
+    asked = unbroadcast.createDataFrame([(at[-1],), (f"{at[-1]}.f3",), ("m0.gone",), (at[-1],)], "symbol string")
+    want = sorted([(at[-1], at[-1]), (f"{at[-1]}.f3", f"{at[-1]}.f3"), *((f"{at[-1]}.f{i}", at[-1]) for i in range(200))])
+    assert sorted(tuple(r) for r in neighbors.members_of(g, asked).collect()) == want
+    assert shuffled(unbroadcast, lambda: neighbors.members_of(g, asked)) < 3000
