@@ -11,20 +11,22 @@ from graphloom.operators import neighbors as N
 SHOWN = 8
 
 
-def _lists(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    return df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set(value)).alias(name))
+def _lists(graph: PropertyGraph, kind: str, key: str, value: str, name: str) -> DataFrame:
+    """The other ends of edges, as a sorted list for each key; repeated edges go with the list, so edges are shuffled once, and not combined before."""
+    own = graph.of(kind).select(F.col(key).alias("id"), value)
+    return own.repartition("id").groupBy("id").agg(F.array_sort(F.collect_set(value)).alias(name))
 
 
-def neighborhoods(graph: PropertyGraph) -> DataFrame:
-    """``(id, bases, calls, called_by, implements, implementers, calls_via_methods, registered_as)``; empty lists are null."""
+def neighborhoods(graph: PropertyGraph, *more: Column | str) -> DataFrame:
+    """``(id, bases, calls, called_by, implements, implementers, calls_via_methods, registered_as)``; empty lists are null. more: further columns of nodes."""
     via = N.class_outward_calls(graph).groupBy(F.col("class").alias("id")).agg(F.array_sort(F.collect_list(F.struct("target", "via"))).alias("calls_via_methods"))
-    out = graph.nodes.where(F.col("kind").isin("class", "function")).select("id", F.col("extras.registry.key").alias("registered_as"))
+    out = graph.nodes.where(F.col("kind").isin("class", "function")).select("id", *more, F.col("extras.registry.key").alias("registered_as"))
     for part in (
-        _lists(N.bases(graph), "class", "base", "bases"),
-        _lists(N.callees(graph), "symbol", "callee", "calls"),
-        _lists(N.callers(graph), "symbol", "caller", "called_by"),
-        _lists(N.implementers(graph), "implementer", "protocol", "implements"),
-        _lists(N.implementers(graph), "protocol", "implementer", "implementers"),
+        _lists(graph, "inherits", "source", "target", "bases"),
+        _lists(graph, "calls", "source", "target", "calls"),
+        _lists(graph, "calls", "target", "source", "called_by"),
+        _lists(graph, "implements", "source", "target", "implements"),
+        _lists(graph, "implements", "target", "source", "implementers"),
         via,
     ):
         out = out.join(part, "id", "left")
@@ -43,7 +45,7 @@ def _shorts(c: str, limit: int | None = None) -> Column:
 
 def chunks(graph: PropertyGraph) -> DataFrame:
     """The chunks, with their embedding ``text``."""
-    nodes = graph.nodes.where(F.col("kind").isin("class", "function")).select("id", "kind", parent("id").alias("module"), "file", "lineno", "endlineno", "signature", "docstring", F.when(F.col("is_deprecated"), True).alias("deprecated"))
+    own = ("kind", parent("id").alias("module"), "file", "lineno", "endlineno", "signature", "docstring", F.when(F.col("is_deprecated"), True).alias("deprecated"))
     first = F.trim(F.get(F.split(F.trim(F.col("docstring")), "\n"), F.lit(0)))
     seams = F.slice(F.transform("calls_via_methods", lambda x: F.concat(short(x["target"]), F.lit(" (via "), short(x["via"]), F.lit(")"))), 1, SHOWN)
     text = F.concat_ws(
@@ -59,7 +61,7 @@ def chunks(graph: PropertyGraph) -> DataFrame:
         _sentence("Implemented by: ", _shorts("implementers", SHOWN)),
         _sentence("Methods call: ", seams),
     )
-    return nodes.join(neighborhoods(graph), "id").withColumn("text", text)
+    return neighborhoods(graph, *own).withColumn("text", text)
 
 
 def json_lines(graph: PropertyGraph) -> DataFrame:

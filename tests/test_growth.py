@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import EDGES, NODES, PropertyGraph, conform
 from graphloom.operators import communities, lookup, neighbors, traverse
-from graphloom.sinks import symbols
+from graphloom.sinks import rag, symbols
 
 DEEP, CALLERS = 40, 400
 
@@ -194,3 +194,13 @@ def test_members_of_asked_symbols_shuffle_no_row_for_each_prefix(unbroadcast):
     want = sorted([(at[-1], at[-1]), (f"{at[-1]}.f3", f"{at[-1]}.f3"), *((f"{at[-1]}.f{i}", at[-1]) for i in range(200))])
     assert sorted(tuple(r) for r in neighbors.members_of(g, asked).collect()) == want
     assert shuffled(unbroadcast, lambda: neighbors.members_of(g, asked)) < 3000
+
+
+def test_chunks_shuffle_each_call_once_for_each_end(unbroadcast):
+    """Calls that repeat are listed once; each is shuffled by its source, by its target and to the classes above, but not to drop repetitions first."""
+    n, name = 2000, lambda c: F.concat(F.lit("k.f"), F.format_string("%04d", c))
+    ids = unbroadcast.range(n).select(name(F.col("id")).alias("id"), F.lit("function").alias("kind"))
+    calls = unbroadcast.range(3 * n).select(F.lit("calls").alias("type"), name(F.col("id") % n).alias("source"), name((F.col("id") * 7 + 1) % n).alias("target"))
+    g = PropertyGraph("k", conform(ids, NODES).cache(), conform(calls, EDGES).cache())
+    assert {tuple(r.calls) for r in rag.chunks(g).select("calls").collect()} == {(f"k.f{(i * 7 + 1) % n:04d}",) for i in range(n)}
+    assert shuffled(unbroadcast, lambda: rag.chunks(g).select("id", "calls", "called_by")) < 2 * 3 * n + 2 * n
