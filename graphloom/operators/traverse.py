@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph, union, with_root
 from graphloom.operators.neighbors import ancestors, inbound, members_of, references_to
-from graphloom.session import cut, held, merged, stored
+from graphloom.session import cut, few, held, merged, stored
 
 IMPACT = ["symbol", "source", "type", "root", "target", "distance"]
 
@@ -112,21 +112,20 @@ def flow(graph: PropertyGraph, entries: DataFrame | None = None, max_depth: int
     """``(entry, source, target, distance)``: the calls that an entry sets in motion.
 
     All calls of each node reached are listed, also those back to nodes reached before; a node is followed once. entries: a
-    DataFrame with the column ``entry``; the core's entry points if None.
+    DataFrame with the column ``entry``; the core's entry points if None. What a level follows is made once, and broadcast while it
+    is small: calls are then read where they are, not shuffled for each level, and never sent to the driver.
     """
-    calls = graph.of("calls").select("source", "target").repartition("source").distinct()  # in place for the joins
-    starts = entry_points(graph).select(F.col("id").alias("entry")) if entries is None else entries.select("entry").distinct()
+    calls = graph.of("calls").select("source", "target")
+    starts = few(entry_points(graph).select(F.col("id").alias("entry")) if entries is None else entries.select("entry").distinct())
     frontier, out = starts.select("entry", F.col("entry").alias("source")), None
     seen = frontier.select("entry", F.col("source").alias("node"))
     for level in range(1, max_depth + 1):
-        step = frontier.join(calls, "source").select("entry", "source", "target", F.lit(level).alias("distance"))
-        if level > 2:
+        step = frontier.join(calls, "source").select("entry", "source", "target").distinct().withColumn("distance", F.lit(level))
+        if level > 2 or level < max_depth:
             step = cut(step)
         out = step if out is None else out.union(step)
         if level < max_depth:
-            new = step.select("entry", F.col("target").alias("node")).distinct().join(seen, ["entry", "node"], "left_anti")
-            if level >= 2:
-                new = cut(new)
+            new = few(step.select("entry", F.col("target").alias("node")).distinct().join(seen, ["entry", "node"], "left_anti"))
             seen, frontier = seen.union(new), new.select("entry", F.col("node").alias("source"))
     if out is None:
         return starts.select("entry", F.col("entry").alias("source"), F.col("entry").alias("target"), F.lit(0).alias("distance")).limit(0)

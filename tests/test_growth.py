@@ -204,3 +204,23 @@ def test_chunks_shuffle_each_call_once_for_each_end(unbroadcast):
     g = PropertyGraph("k", conform(ids, NODES).cache(), conform(calls, EDGES).cache())
     assert {tuple(r.calls) for r in rag.chunks(g).select("calls").collect()} == {(f"k.f{(i * 7 + 1) % n:04d}",) for i in range(n)}
     assert shuffled(unbroadcast, lambda: rag.chunks(g).select("id", "calls", "called_by")) < 2 * 3 * n + 2 * n
+
+
+def test_flow_shuffles_no_call_for_each_level(unbroadcast):
+    """Few entries: each level reads the calls where they are; only finding the entries shuffles their ends."""
+    n, name = 3000, lambda c: F.concat(F.lit("u.f"), F.format_string("%04d", c))
+    calls = unbroadcast.range(n).select(F.lit("calls").alias("type"), name(F.col("id")).alias("source"), name(F.col("id") + 1).alias("target"))
+    g = PropertyGraph("u", conform(unbroadcast.createDataFrame([("u", "module")], "id string, kind string"), NODES).cache(), conform(calls, EDGES).cache())
+    flow = traverse.flow(g, max_depth=5).collect()
+    assert sorted(tuple(r) for r in flow) == [("u.f0000", f"u.f{i:04}", f"u.f{i + 1:04}", i + 1) for i in range(5)]
+    assert shuffled(unbroadcast, lambda: traverse.flow(g, max_depth=5)) < 3 * n
+
+
+def test_orders_are_not_broadcast(spark, monkeypatch):
+    """A few columns of the orders' file look small to Spark; beyond so many customers, orders and customers merge."""
+    from graphloom.plans import projection
+
+    shown = lambda: projection._orders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in shown() and "BuildLeft" not in shown()
+    monkeypatch.setattr(projection, "FEW", 10)
+    assert "SortMergeJoin [o_custkey" in shown()
