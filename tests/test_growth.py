@@ -224,3 +224,15 @@ def test_orders_are_not_broadcast(spark, monkeypatch):
     assert "BuildRight" in shown() and "BuildLeft" not in shown()
     monkeypatch.setattr(projection, "FEW", 10)
     assert "SortMergeJoin [o_custkey" in shown()
+
+
+def test_files_are_parsed_by_all_cores(spark):
+    """40 files of one partition, and as many texts: each pass over them is spread; files of a folder are placed when they are listed."""
+    from graphloom.extract import build
+
+    made = spark.range(40).coalesce(1).select(F.format_string("k/m%02d.py", "id").alias("path"), F.format_string("def f%d(): ...\n", "id").alias("text"))
+    at = build._facts(made, build._core_worker).where("fact = 'node'").select(F.spark_partition_id().alias("p"), "id").collect()
+    assert len(at) == 80 and len({r.p for r in at}) > 8
+    assert build.spread(made).rdd.getNumPartitions() == 12
+    read = build.sources(spark, str(__import__("pathlib").Path(build.__file__).parent), "*.py")
+    assert build.spread(read) is read
