@@ -236,3 +236,13 @@ def test_files_are_parsed_by_all_cores(spark):
     assert build.spread(made).rdd.getNumPartitions() == 12
     read = build.sources(spark, str(__import__("pathlib").Path(build.__file__).parent), "*.py")
     assert build.spread(read) is read
+
+
+def test_edges_are_counted_without_being_stored(spark, monkeypatch):
+    """Counting them takes neither what calls carry nor the ids of their ends."""
+    from graphloom import catalog
+    from graphloom.plans import projection
+
+    monkeypatch.setattr(projection, "held", None)
+    plan = catalog.QUERIES["graph_stats_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "l_quantity" not in plan and "l_returnflag" not in plan
