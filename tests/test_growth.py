@@ -244,5 +244,5 @@ def test_edges_are_counted_without_being_stored(spark, monkeypatch):
     from graphloom.plans import projection
 
     monkeypatch.setattr(projection, "held", None)
-    plan = catalog.QUERIES["graph_stats_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    plan = catalog.QUERIES["graph_stats_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "collect_set" not in plan and "l_quantity" not in plan and "l_returnflag" not in plan
